@@ -14,11 +14,14 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKED = "part int, kind int, payload binary"
 _PACKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 #: A task sends what it has packed when so many records have come together.
 FLUSH = 1 << 20
+#: Rows of a few numbers that are still broadcast: some 10 MB.
+BROADCAST_ROWS = 400_000
 
 _local: list[str] = []
 
@@ -44,6 +47,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a few numbers a row, marked for broadcast if it's counted to be small; joined by shuffle if not."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import suffix_dedup
+from . import suffix_dedup, window_index
+from .exchange import parts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,14 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op6_fingerprint_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = window_index.FingerprintIndex(parts(spark))
+    return window_index.digest(window_index.deduplicate(_table(spark, sf_dir, "documents"), index=index))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op6_fingerprint_index_dedup": op6_fingerprint_index_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}

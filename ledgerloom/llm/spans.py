@@ -83,6 +83,25 @@ def gathered(packed: DataFrame) -> DataFrame:
     return dealt(packed, reduce, "doc long, stamp int, spans binary", parts(packed.sparkSession))
 
 
+def per_document(ask: np.dtype):
+    """Packed spans (kind 0) and questions (kind 1) to rows (doc, stamp, spans, asks), with one of the two null."""
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans, asks = unpack(batches, SPAN, ask)
+        if len(spans):
+            rows = by_document(spans)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(len(rows), pa.binary())], names=["doc", "stamp", "spans", "asks"])
+        if len(asks):
+            asks = asks[np.lexsort((asks["first"], asks["stamp"], asks["doc"]))]
+            first = np.flatnonzero(heads(asks["doc"], asks["stamp"]))
+            stop = np.append(first[1:], len(asks))
+            packed = pa.array([asks[a:b].tobytes() for a, b in zip(first, stop, strict=True)], pa.binary())
+            columns = [pa.array(asks["doc"][first]), pa.array(asks["stamp"][first]), pa.nulls(len(first), pa.binary()), packed]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "stamp", "spans", "asks"])
+
+    return reduce
+
+
 def masks(offsets: np.ndarray, *columns: pa.Array) -> np.ndarray:
     """Marks what the spans of these columns cover in a batch of documents at ``offsets``."""
     change = np.zeros(int(offsets[-1]) + 1, np.int32)
@@ -115,4 +134,4 @@ def span_lists(start: np.ndarray, stop: np.ndarray, doc: np.ndarray, count: int)
     return pa.ListArray.from_arrays(pa.array(offsets), pairs)
 
 
-__all__ = ["PACKED", "SPAN", "by_document", "doc_part", "gathered", "id_of", "keyed", "masks", "merged", "packed_spans", "runs", "span_lists"]
+__all__ = ["PACKED", "SPAN", "by_document", "doc_part", "gathered", "id_of", "keyed", "masks", "merged", "packed_spans", "per_document", "runs", "span_lists"]

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .exchange import FLUSH, PACKED, dealt, heads, pack, part_of, parts, saved, unpack
 from .lyndon import FIRST_BYTE, SENTINEL, SEPARATOR, suffix_order
-from .spans import SPAN, by_document, doc_part, gathered, id_of, keyed, masks, packed_spans, runs, span_lists
+from .spans import SPAN, doc_part, gathered, id_of, keyed, masks, packed_spans, per_document, runs, span_lists
 from .textkit import Anchors, Hasher, buffers, chunks
 
 LENGTH, KEY = 200, 64
@@ -116,24 +116,6 @@ def _match_contexts(length: int, count: int):
     return match
 
 
-def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, stamp, spans, asks), the latter two packed."""
-    spans, asks = unpack(batches, SPAN, _ASK)
-    for found, column in ((spans, "spans"), (asks, "asks")):
-        if not len(found):
-            continue
-        if column == "spans":
-            rows = by_document(found)
-            none = pa.nulls(len(rows), pa.binary())
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), none], names=["doc", "stamp", "spans", "asks"])
-        else:
-            found = found[np.lexsort((found["first"], found["stamp"], found["doc"]))]
-            first = np.flatnonzero(heads(found["doc"], found["stamp"]))
-            stop = np.append(first[1:], len(found))
-            packed = pa.array([found[a:b].tobytes() for a, b in zip(first, stop, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(found["doc"][first]), pa.array(found["stamp"][first]), pa.nulls(len(first), pa.binary()), packed], names=["doc", "stamp", "spans", "asks"])
-
-
 def _fetch(length: int, count: int):
     """The texts of the contexts asked for."""
 
@@ -303,7 +285,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = keyed(docs, id_col, text_col)
     sent = rows.mapInArrow(_send_contexts(length, key, count), PACKED)
     matched = dealt(sent, _match_contexts(length, count), PACKED, count)
-    known = saved(dealt(matched, _per_document, "doc long, stamp int, spans binary, asks binary", count), "contexts")
+    known = saved(dealt(matched, per_document(_ASK), "doc long, stamp int, spans binary, asks binary", count), "contexts")
     texts = rows.repartition(count, "doc", "stamp")
     asked = texts.join(known.where("asks is not null").select("doc", "stamp", "asks"), ["doc", "stamp"])
     fetched = asked.select("text", "asks").mapInArrow(_fetch(length, count), _TEXTS)
