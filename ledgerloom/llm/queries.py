@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import suffix_dedup, window_index
+from . import ngram_join, suffix_dedup, window_index
 from .exchange import parts
 
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicate_groups(_table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
 
@@ -24,6 +28,7 @@ def op6_fingerprint_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op6_fingerprint_index_dedup": op6_fingerprint_index_dedup,
 }
