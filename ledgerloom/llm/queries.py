@@ -1,4 +1,4 @@
-"""The queries of this subpackage and, where SQL can express them, their DuckDB equivalents."""
+"""The queries of this subpackage and, where SQL can express them on whole tables, their DuckDB equivalents."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, suffix_dedup, window_index
+from . import decontaminate, html_text, language, multiset_hash, ngram_join, packing, pii, suffix_dedup, toxicity, window_index
 from .exchange import parts
 
 
@@ -14,23 +14,115 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_files() -> tuple[str, str]:
+    """The installed public vocabulary, and the same one as ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicate_groups(_table(spark, sf_dir, "documents"))
+    return ngram_join.near_duplicate_groups(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op4_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~language.fold_of("doc_id", 4, 2)))
+    return toxicity.score(docs, model).select("doc_id", language.fold_of("doc_id", 4, 2).alias("held_out"), "score", "predicted")
+
+
 def op6_fingerprint_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = window_index.FingerprintIndex(parts(spark))
     return window_index.digest(window_index.deduplicate(_table(spark, sf_dir, "documents"), index=index))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    profiles = language.learn(docs.where(~language.fold_of("doc_id", 3, 1)))
+    return language.identify(docs, profiles).select("doc_id", language.fold_of("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), *tokenizer_files())
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_multiset_fingerprints": op4_multiset_fingerprints,
+    "op5_toxicity": op5_toxicity,
     "op6_fingerprint_index_dedup": op6_fingerprint_index_dedup,
+    "op7_pii": op7_pii,
+    "op8_language_id": op8_language_id,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * shared.n >= 75 * (p.n + q.n - shared.n)),
+reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON l.x = r.other)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, min(r.other)::BIGINT AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN reached r USING (doc_id) GROUP BY ALL
+""",
+    "op6_fingerprint_index_dedup": """
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)),
+firsts AS (SELECT h, min(doc_id) AS least FROM windows GROUP BY h),
+starts AS (SELECT DISTINCT doc_id, i FROM windows JOIN firsts USING (h) WHERE doc_id > least),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM starts),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM
+  (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM words LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
+    "op10_benchmark_decontamination": f"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all({_ASCII_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS s FROM items WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, sizes WHERE len(w) >= n)),
+found AS (SELECT doc_id, item_id, n, i FROM places JOIN windows USING (n, s)),
+hits AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM found) GROUP BY doc_id),
+names AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_hit, coalesce(names.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated
+FROM words LEFT JOIN hits ON hits.doc_id = words.doc_id LEFT JOIN names ON names.doc_id = words.doc_id
+""",
+}
