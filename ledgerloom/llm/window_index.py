@@ -252,17 +252,20 @@ def _verify(length: int, count: int):
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [(x or "").encode().split() for x in batch.column("text").to_pylist()]
-        offsets = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum([len(x) for x in texts], out=offsets[1:])
-        gone = masks(offsets, batch.column("spans"), batch.column("more"))
-        start, stop, doc = runs(gone, offsets)
-        for i in np.unique(doc).tolist():
-            texts[i] = compress(texts[i], (~gone[offsets[i] : offsets[i + 1]]).tolist())
-        kept = pa.array([b" ".join(x) for x in texts], pa.binary()).cast(pa.string())
-        columns = [id_of(batch.column("doc")), pa.array(np.diff(offsets)), kept, span_lists(start, stop, doc, len(texts))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "kept", "removed"])
+    for whole in batches:
+        _, at = buffers(whole.column("text"))
+        for lo, hi in chunks(at):
+            batch = whole.slice(lo, hi - lo)
+            texts = [(x or "").encode().split() for x in batch.column("text").to_pylist()]
+            offsets = np.zeros(len(texts) + 1, np.int64)
+            np.cumsum([len(x) for x in texts], out=offsets[1:])
+            gone = masks(offsets, batch.column("spans"), batch.column("more"))
+            start, stop, doc = runs(gone, offsets)
+            for i in np.unique(doc).tolist():
+                texts[i] = compress(texts[i], (~gone[offsets[i] : offsets[i + 1]]).tolist())
+            kept = pa.array([b" ".join(x) for x in texts], pa.binary()).cast(pa.string())
+            columns = [id_of(batch.column("doc")), pa.array(np.diff(offsets)), kept, span_lists(start, stop, doc, len(texts))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "kept", "removed"])
 
 
 def _cuts(rows: DataFrame, batches: int) -> list[int]:
