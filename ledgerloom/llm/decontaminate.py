@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import saved
+from .exchange import arrow_map, kept, saved, small_batches
 from .textkit import buffers, words
 
 WIDTH = 10
@@ -57,20 +57,18 @@ def windows(items: list[tuple[int, str]], width: int) -> dict[str, tuple[int, li
     return found
 
 
-_automata: dict[tuple, ahocorasick.Automaton] = {}
-
-
 def _automaton(items: list[tuple[int, str]], width: int) -> ahocorasick.Automaton | None:
     """Built once in each Python worker."""
-    key = (width, hash(tuple(items)))
-    if key not in _automata:
-        _automata.clear()
+
+    def make() -> ahocorasick.Automaton:
         made = ahocorasick.Automaton()
         for pattern, (size, holders) in windows(items, width).items():
             made.add_word(pattern, (len(pattern), size, holders))
         made.make_automaton()
-        _automata[key] = made
-    return _automata[key] if len(_automata[key]) else None
+        return made
+
+    made = kept(("windows", width, tuple(items)), make)
+    return made if len(made) else None
 
 
 def _hits(automaton: ahocorasick.Automaton | None, text: str) -> tuple[int, np.ndarray, set[int]]:
@@ -142,13 +140,14 @@ def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH
 ) -> DataFrame:
     """(doc_id, n_words, n_hit, items, hits) of every row: the items whose windows occur, and the characters that they cover."""
+    small_batches(docs.sparkSession)
     state = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.array().cast("array<long>").alias("items"), F.lit(None).cast("binary").alias("marks")
     )
     for items, last in _slices(benchmark, item_col, item_text_col):
         schema = "doc_id long, n_words long, n_hit long, items array<long>, "
         schema += "hits array<struct<start:int,stop:int>>" if last else "marks binary, text string"
-        state = state.select("doc_id", "text", "items", "marks").mapInArrow(_scan(items, width, last), schema)
+        state = arrow_map(state.select("doc_id", "text", "items", "marks"), _scan(items, width, last), schema)
         state = state if last else saved(state, "scanned")
     return state
 
@@ -156,16 +155,17 @@ def contamination(
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """The rows, with all their columns, in which no item's window occurs."""
 
-    def kept_by(items: list[tuple[int, str]]):
-        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def without(items: list[tuple[int, str]]):
+        def clean_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(items, width)
             for batch in batches:
                 yield batch.filter(pa.array([_hits(automaton, x.as_py() or "")[1] is None for x in batch.column(text_col)], pa.bool_()))
 
-        return kept
+        return clean_rows
 
+    small_batches(docs.sparkSession)
     for items, last in _slices(benchmark, item_col, item_text_col):
-        docs = docs.mapInArrow(kept_by(items), docs.schema)
+        docs = arrow_map(docs, without(items), docs.schema)
         docs = docs if last else saved(docs, "scanned")
     return docs
 

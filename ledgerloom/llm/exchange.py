@@ -7,9 +7,12 @@ moves a few large rows instead of one row per fingerprint; the receiving task un
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +22,10 @@ from pyspark.sql import functions as F
 PACKED = "part int, kind int, payload binary"
 _PACKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 #: A task sends what it has packed when so many records have come together.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 #: Rows of a few numbers that are still broadcast: some 10 MB.
 BROADCAST_ROWS = 400_000
+BATCH_BYTES = 4 << 20
 
 _local: list[str] = []
 
@@ -47,6 +51,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python workers of this session get at most ``BATCH_BYTES`` at a time, however long the texts are.
+
+    A session may have set less, which stays.  The setting is read when a plan runs, so it's left in the session.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if not re.fullmatch(r"\d+b?", now) or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, a few numbers a row, marked for broadcast if it's counted to be small; joined by shuffle if not."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
@@ -82,9 +97,39 @@ def unpack(batches: Iterable[pa.RecordBatch], *dtypes: np.dtype) -> list[np.ndar
     return [np.concatenate(x) if x else np.zeros(0, d) for x, d in zip(found, dtypes, strict=True)]
 
 
+_kept: dict = {}
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def kept(key: Hashable, make: Callable):
+    """What ``make`` gives, kept in this Python worker for its next task; another key lets go of it."""
+    if key not in _kept:
+        _kept.clear()
+        trim()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` whose workers don't hold on to a task's memory after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(run, schema)
+
+
 def dealt(packed: DataFrame, reduce: Callable, schema: str, count: int) -> DataFrame:
     """``reduce`` over all packed rows of each part; parts go to partitions one to one."""
-    return packed.repartitionById(count, "part").mapInArrow(reduce, schema)
+    return arrow_map(packed.repartitionById(count, "part"), reduce, schema)
 
 
 def heads(*columns: np.ndarray) -> np.ndarray:

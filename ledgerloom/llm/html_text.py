@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .dom import MAIN_TAGS, MAIN_WORDS, Block, Text, read
-from .exchange import parts, saved
+from .exchange import arrow_map, parts, saved, small_batches
 
 SHARE, PAGES, KEPT = 0.9, 5, 96
 #: Hosts that a task holds before it sends their wrappers; bytes of wrappers that are broadcast.
@@ -260,9 +260,9 @@ def _join_wrappers(share: float, pages: int):
 
 def wrappers(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataFrame:
     """(host, wrapper) of every host with template texts; ``pages`` has ``host`` and ``html``."""
-    partial = pages.where("host is not null").select("host", "html").mapInArrow(_induce, "host string, wrapper string")
+    partial = arrow_map(pages.where("host is not null").select("host", "html"), _induce, "host string, wrapper string")
     dealt = partial.repartition(parts(pages.sparkSession), "host").sortWithinPartitions("host", "wrapper")
-    return dealt.mapInArrow(_join_wrappers(share, least), "host string, wrapper string")
+    return arrow_map(dealt, _join_wrappers(share, least), "host string, wrapper string")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,9 +280,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = SHARE, least: int = PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
+    small_batches(pages.sparkSession)
     url = F.col(f"`{url_col}`").cast("string")
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"), F.lower(F.try_parse_url(url, F.lit("HOST"))).alias("host"))
     found = saved(wrappers(rows, share, least), "wrappers")
     size = found.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("host")), F.lit(0))).head()[0]
     joined = rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
-    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return arrow_map(joined.select("page_id", "url", "html", "wrapper"), _extract, "page_id long, url string, text string, n_chars long")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import arrow_map, small_batches
+
 #: N-grams in a profile; labelled texts of a language that it is learned from; languages at most.
 PROFILE, SAMPLE, LANGUAGES = 300, 1000, 400
 _BITS = 21  # of a code point
@@ -139,6 +141,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, sample: int = SAMPLE) -> Profiles:
     """Profiles of the languages of the labelled rows, each from about ``sample`` texts (all, if there are fewer)."""
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("text is not null and lang is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
@@ -146,7 +149,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     # A text is in the sample if its hash, evenly spread over 0 .. 2^20, lies below its language's limit.
     limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, max(1, min(1 << 20, (sample << 20) // n)))])
     chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.coalesce(F.element_at(limit, F.col("lang")), F.lit(0)))
-    sums = chosen.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    sums = arrow_map(chosen, _count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = sums.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "code")), False), 1, 4 * size).alias("best")).collect()
     learned = {}
     for row in best:
@@ -164,8 +167,9 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
             columns = [batch.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    return arrow_map(rows, predict, "doc_id long, lang_pred string, score double")
 
 
 def fold_of(id_col: str, folds: int, held: int):

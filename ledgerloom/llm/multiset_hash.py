@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import parts
+from .exchange import arrow_map, parts, small_batches
 from .spans import NO_ID
 from .textkit import Hasher, U, buffers, chunks, mix, stream, words
 
@@ -184,6 +184,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The edited text: its last half, rounded down, replaced by as many first characters of the next document, or all.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     count = parts(spark)
     doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc")
     rows = docs.select(doc, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
@@ -199,4 +200,4 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dealt = placed.select("doc", "text", F.explode(F.filter(homes, lambda x: x["part"].isNotNull())).alias("at")).select("doc", "text", "at.part", "at.guest")
     ordered = dealt.repartitionById(max(count, len(cuts) + 1), "part").sortWithinPartitions("guest", F.desc("doc"), "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return ordered.select("doc", "text", "guest").mapInArrow(_compare, schema)
+    return arrow_map(ordered.select("doc", "text", "guest"), _compare, schema)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .exchange import FLUSH, PACKED, dealt, heads, pack, part_of, parts, saved, small_or_not, unpack
+from .exchange import FLUSH, PACKED, arrow_map, dealt, heads, pack, part_of, parts, saved, small_batches, small_or_not, unpack
 from .textkit import LOWER, Hasher, U, buffers, chunks, mix, stream, words
 
 WORDS, PERCENT = 5, 75
@@ -51,7 +51,7 @@ _META = np.dtype([("doc", "<i8"), ("c", "<u8"), ("n", "<i4")])
 _SHARED = np.dtype([("c", "<u8"), ("h", "<u8"), ("df", "<u4")])
 _SCORED = np.dtype([("h", "<u8"), ("c", "<u8"), ("n", "<i4"), ("score", "<f8")])
 _HUB = np.dtype([("c", "<u8"), ("hub", "<u8"), ("n", "<i4")])
-_LONGER = np.dtype([("h", "<u8"), ("c", "<u8"), ("n", "<i4"), ("level", "<i4"), ("rank", "<i4"), ("df", "<u4")])
+_LONGER = np.dtype([("h", "<u8"), ("c", "<u8"), ("group", "<u8"), ("n", "<i4"), ("level", "<i4"), ("rank", "<i4"), ("df", "<u4")])
 _MEMBER = np.dtype([("h", "<u8"), ("c", "<u8"), ("n", "<i4"), ("level", "<i4"), ("own", "<i4"), ("drop", "<i4"), ("looks", "u1"), ("group", "<u8")])
 _PAIR = np.dtype([("x", "<u8"), ("y", "<u8"), ("nx", "<i4"), ("ny", "<i4"), ("level", "<i4"), ("drop", "<i4"), ("shared", "<i4")])
 
@@ -304,6 +304,7 @@ def _send_longer(size: int, percent: int, count: int):
             row, rank = row[take], rank[take]
             out = np.zeros(len(row), _LONGER)
             out["h"], out["c"], out["n"], out["level"], out["rank"] = h[take], c[row], n[row], level[row], rank
+            out["group"] = batch.column("group").to_numpy()[rows].astype(np.uint64)[row]
             yield from pack(out, part_of(out["h"], count))
 
     return send
@@ -325,8 +326,8 @@ def _share_longer(count: int):
     return share
 
 
-def _look(percent: int):
-    """The elements that a lengthened class looks up: all but the most frequent l - 1."""
+def _look(percent: int, count: int):
+    """The lists that lengthened classes stand in; a class looks up all of its elements but the most frequent l - 1."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (rows,) = unpack(batches, _LONGER)
@@ -340,12 +341,12 @@ def _look(percent: int):
         alone = prefix(n, rows["level"][first].astype(np.int64), percent) - size
         looked = np.clip(p - alone, 0, size)
         nth = np.arange(len(rows)) - np.repeat(first, size)
-        columns = {
-            "c": rows["c"].astype(np.int64), "h": rows["h"].astype(np.int64), "n": rows["n"], "level": rows["level"],
-            "own": np.maximum(1, rows["rank"] - np.repeat(p, size) + 2).astype(np.int32),
-            "drop": np.repeat(size - looked, size).astype(np.int32), "looks": (nth < np.repeat(looked, size)).astype(np.int32),
-        }
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], names=list(columns))
+        out = np.zeros(len(rows), _MEMBER)
+        for name in ("h", "c", "n", "level", "group"):
+            out[name] = rows[name]
+        out["own"], out["drop"] = np.maximum(1, rows["rank"] - np.repeat(p, size) + 2), np.repeat(size - looked, size)
+        out["looks"] = nth < np.repeat(looked, size)
+        yield from pack(out, part_of(out["h"], count))
 
     return look
 
@@ -394,14 +395,19 @@ def _pair_up(percent: int, count: int):
 
     def outsiders(rows: np.ndarray, first: int, size: int) -> Iterator[np.ndarray]:
         """What isn't in a long list's largest group, against the whole list."""
-        member = rows["group"][first : first + size]
+        member, looks = rows["group"][first : first + size], rows["looks"][first : first + size] == 1
         groups, n = np.unique(member, return_counts=True)
         out = np.flatnonzero(member != groups[np.argmax(n)])
-        rank = np.full(size, -1)
+        inside = np.ones(size, bool)
+        inside[out] = False
+        looking = np.flatnonzero(inside & looks)
+        rank = np.full(size, size)
         rank[out] = np.arange(len(out))
         for i in out.tolist():
-            other = np.flatnonzero((rank < 0) | (rank > rank[i]))
-            yield _pairs_of(rows, np.full(len(other), first + i), first + other, percent)
+            # Of a pair at least one looks the element up.
+            other = np.flatnonzero(inside | ~looks | (rank > rank[i])) if looks[i] else looking
+            if len(other):
+                yield _pairs_of(rows, np.full(len(other), first + i), first + other, percent)
 
     def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (rows,) = unpack(batches, _MEMBER)
@@ -483,9 +489,10 @@ class _Join:
             raise ValueError("percent must lie in 1..100 and size be positive")
         self.spark, self.size, self.percent = docs.sparkSession, size, percent
         self.count = parts(self.spark)
+        small_batches(self.spark)
         text = F.col(f"`{text_col}`").cast("string").alias("text")
         self.docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), text).where("doc is not null")
-        sent = self.docs.mapInArrow(_send_base(size, percent, self.count), PACKED)
+        sent = arrow_map(self.docs, _send_base(size, percent, self.count), PACKED)
         shared = dealt(sent, _share(self.count), PACKED, self.count)
         known = saved(dealt(shared, _describe(percent, choose), _KNOWN, self.count), "classes")
         self.members = known.where("kind = 0").select("doc", "c", "n")
@@ -493,7 +500,7 @@ class _Join:
         self.tokens = known.where("kind = 2").select("c", "h", "n", "level", "score")
 
     def packed(self, rows: DataFrame, dtype: np.dtype, by: str) -> DataFrame:
-        return rows.select(*dtype.names).mapInArrow(_send(dtype, by, self.count), PACKED)
+        return arrow_map(rows.select(*dtype.names), _send(dtype, by, self.count), PACKED)
 
     def texts_of(self, rows: DataFrame) -> DataFrame:
         """The text of the first document of each class of ``rows``, which has ``doc`` besides its other columns."""
@@ -503,10 +510,10 @@ class _Join:
         """Those of the pairs (x, y) of classes that link."""
         wanted = pairs.select(F.col("x").alias("c")).union(pairs.select("y")).distinct()
         wanted = saved(self.classes.select("doc", "c").join(wanted, "c"), "wanted")
-        sets = self.texts_of(wanted).select("text", "c").mapInArrow(_give_sets(self.size), "c long, elements binary").dropDuplicates(["c"])
+        sets = arrow_map(self.texts_of(wanted).select("text", "c"), _give_sets(self.size), "c long, elements binary").dropDuplicates(["c"])
         sets = saved(sets, "sets")
         x, y = sets.select(F.col("c").alias("x"), F.col("elements").alias("ex")), sets.select(F.col("c").alias("y"), F.col("elements").alias("ey"))
-        return saved(pairs.join(x, "x").join(y, "y").select("x", "y", "ex", "ey").mapInArrow(_compare(self.percent), "x long, y long"), "links")
+        return saved(arrow_map(pairs.join(x, "x").join(y, "y").select("x", "y", "ex", "ey"), _compare(self.percent), "x long, y long"), "links")
 
     def stars(self) -> DataFrame:
         hubs = dealt(self.packed(self.tokens, _SCORED, "h"), _hubs(self.percent, self.count), PACKED, self.count)
@@ -515,17 +522,18 @@ class _Join:
     def others(self, stars: DataFrame) -> DataFrame:
         """Links between classes that ``stars`` doesn't connect directly."""
         group = small_or_not(stars.select(F.col("x").alias("c"), F.col("y").alias("hub")))
-        longer = saved(self.classes.where("level > 1").select("doc", "c", "level"), "longer")
-        sent = self.texts_of(longer).select("text", "c", "level").mapInArrow(_send_longer(self.size, self.percent, self.count), PACKED)
+
+        def grouped(rows: DataFrame) -> DataFrame:
+            return rows.join(group, "c", "left").withColumn("group", F.coalesce("hub", "c"))
+
+        longer = saved(grouped(self.classes.where("level > 1")).select("doc", "c", "level", "group"), "longer")
+        sent = arrow_map(self.texts_of(longer).select("text", "c", "level", "group"), _send_longer(self.size, self.percent, self.count), PACKED)
         shared = dealt(sent, _share_longer(self.count), PACKED, self.count)
-        schema = "c long, h long, n int, level int, own int, drop int, looks int"
-        far = dealt(shared, _look(self.percent), schema, self.count)
+        far = dealt(shared, _look(self.percent, self.count), PACKED, self.count)
         near = self.tokens.select("c", "h", "n", "level", F.lit(1).alias("own"), F.lit(0).alias("drop"), F.when(F.col("level") == 1, 1).otherwise(0).alias("looks"))
-        pairs = None
-        for lists in (near, far):
-            lists = lists.join(group, "c", "left").withColumn("group", F.coalesce("hub", "c"))
-            found = dealt(self.packed(lists, _MEMBER, "h"), _pair_up(self.percent, self.count), PACKED, self.count)
-            pairs = found if pairs is None else pairs.unionByName(found)
+        near = self.packed(grouped(near), _MEMBER, "h")
+        pairs = [dealt(lists, _pair_up(self.percent, self.count), PACKED, self.count) for lists in (near, far)]
+        pairs = pairs[0].unionByName(pairs[1])
         return self.verified(saved(dealt(pairs, _bounded(self.percent), "x long, y long", self.count), "pairs"))
 
 
@@ -553,7 +561,7 @@ def near_duplicate_groups(
         F.when(empty, F.col("doc")).otherwise(F.coalesce("least", "first")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
     unnamed = docs.where(F.col(f"`{id_col}`").isNull()).select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    unnamed = unnamed.mapInArrow(_sizes(size), "n_shingles long").select(
+    unnamed = arrow_map(unnamed, _sizes(size), "n_shingles long").select(
         F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(0).cast("long").alias("n_links")
     )
     return named.unionByName(unnamed)

@@ -23,6 +23,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exchange import saved
+from .exchange import arrow_map, kept, saved, small_batches
 
 CAPACITY, CLOSING = 1024, 2
 #: Texts without anything else take the faster of two equal encoders.
@@ -46,14 +47,8 @@ class Encoder:
     times as fast; on others, where Unicode versions of the two libraries may differ, `tokenizers` itself is used.
     """
 
-    _loaded: dict[tuple[str, str | None], Encoder] = {}
-
     def __init__(self, path: str, ranks: str | None):
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
-        self.fast = None
+        self.path, self.fast = path, None
         if ranks:
             import base64
 
@@ -67,9 +62,16 @@ class Encoder:
     @classmethod
     def of(cls, path: str, ranks: str | None) -> Encoder:
         """Loaded once in each Python worker."""
-        if (path, ranks) not in cls._loaded:
-            cls._loaded[path, ranks] = cls(path, ranks)
-        return cls._loaded[path, ranks]
+        return kept(("encoder", path, ranks), lambda: cls(path, ranks))
+
+    @cached_property
+    def exact(self):
+        """Of the `tokenizers` library; loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.encode_special_tokens = True
+        return made
 
     def ids(self, text: str) -> np.ndarray:
         if self.fast is not None and _PLAIN.fullmatch(text) and not _BLANKS.search(text):
@@ -197,8 +199,8 @@ def _place(rows: np.ndarray):
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("before").to_numpy() + batch.column("nth").to_numpy()
             row = rows[np.searchsorted(keys, (length << 48) | rank, "right") - 1]
-            kept = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            columns = [*kept, pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])]
+            same = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
+            columns = [*same, pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     return place
@@ -206,12 +208,13 @@ def _place(rows: np.ndarray):
 
 def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits(), closing: int = CLOSING) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every row."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
-    pieces = saved(rows.mapInArrow(_cut(tokenizer, ranks, limits.tokens, closing), schema), "pieces")
+    pieces = saved(arrow_map(rows, _cut(tokenizer, ranks, limits.tokens, closing), schema), "pieces")
     counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["total"] for r in counts.groupBy("length").agg(F.sum("n").alias("total")).collect()}
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     ranked = pieces.join(counts.select("length", "task", F.coalesce(before, F.lit(0)).alias("before")), ["length", "task"])
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.mapInArrow(_place(plan(histogram, limits)), schema)
+    return arrow_map(ranked, _place(plan(histogram, limits)), schema)

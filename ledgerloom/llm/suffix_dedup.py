@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import FLUSH, PACKED, dealt, heads, pack, part_of, parts, saved, unpack
+from .exchange import FLUSH, PACKED, arrow_map, dealt, heads, pack, part_of, parts, saved, small_batches, unpack
 from .lyndon import FIRST_BYTE, SENTINEL, SEPARATOR, suffix_order
 from .spans import SPAN, doc_part, gathered, id_of, keyed, masks, packed_spans, per_document, runs, span_lists
 from .textkit import Anchors, Hasher, buffers, chunks
@@ -40,7 +40,7 @@ LENGTH, KEY = 200, 64
 #: Bytes of contexts that are sorted together; a larger set is split first.
 LARGE = 1 << 14
 #: Symbols of a batch of sorts.
-BATCH = 1 << 20
+BATCH = 1 << 19
 
 _CONTEXT = np.dtype([("key", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("stamp", "<i4"), ("first", "<i4"), ("run", "<u2"), ("at", "<u2"), ("many", "u1")])
 _ASK = np.dtype([("doc", "<i8"), ("stamp", "<i4"), ("key", "<u8"), ("first", "<i4"), ("run", "<u2"), ("at", "<u2"), ("open", "u1")])
@@ -281,19 +281,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 0 < key <= length:
         raise ValueError("key must lie between 1 and length")
     spark = docs.sparkSession
+    small_batches(spark)
     count = parts(spark)
     rows = keyed(docs, id_col, text_col)
-    sent = rows.mapInArrow(_send_contexts(length, key, count), PACKED)
+    sent = arrow_map(rows, _send_contexts(length, key, count), PACKED)
     matched = dealt(sent, _match_contexts(length, count), PACKED, count)
     known = saved(dealt(matched, per_document(_ASK), "doc long, stamp int, spans binary, asks binary", count), "contexts")
     texts = rows.repartition(count, "doc", "stamp")
     asked = texts.join(known.where("asks is not null").select("doc", "stamp", "asks"), ["doc", "stamp"])
-    fetched = asked.select("text", "asks").mapInArrow(_fetch(length, count), _TEXTS)
+    fetched = arrow_map(asked.select("text", "asks"), _fetch(length, count), _TEXTS)
     sorted_ = gathered(dealt(fetched, _sort_contexts(length, key, count), PACKED, count))
     whole = known.where("spans is not null").select("doc", "stamp", "spans")
     out = texts.join(whole, ["doc", "stamp"], "left").join(sorted_.withColumnRenamed("spans", "more"), ["doc", "stamp"], "left")
     schema = "doc_id long, n_bytes long, kept binary, removed array<struct<start:int,stop:int>>"
-    return out.select("doc", "text", "spans", "more").mapInArrow(_finish, schema)
+    return arrow_map(out.select("doc", "text", "spans", "more"), _finish, schema)
 
 
 def digest(result: DataFrame) -> DataFrame:

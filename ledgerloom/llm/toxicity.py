@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import arrow_map, kept, small_batches
+
 THRESHOLD = 0.3
 #: Labelled rows to learn from, about; candidates and entries at most.
 SAMPLE, CANDIDATES, ENTRIES = 12_000, 4000, 300
@@ -109,8 +111,6 @@ def _features(evidence: np.ndarray, n_words: np.ndarray) -> np.ndarray:
 class Matcher:
     """The automaton of a lexicon, built once in each Python worker."""
 
-    _made: dict[tuple, Matcher] = {}
-
     def __init__(self, lexicon: dict[str, float], exceptions: tuple[str, ...]):
         self.automaton = ahocorasick.Automaton()
         for entry, weight in lexicon.items():
@@ -121,11 +121,7 @@ class Matcher:
 
     @classmethod
     def of(cls, lexicon: dict[str, float], exceptions: tuple[str, ...]) -> Matcher:
-        key = (tuple(sorted(lexicon.items())), exceptions)
-        if key not in cls._made:
-            cls._made.clear()
-            cls._made[key] = cls(lexicon, exceptions)
-        return cls._made[key]
+        return kept(("lexicon", tuple(sorted(lexicon.items())), exceptions), lambda: cls(lexicon, exceptions))
 
     def matches(self, folded: str) -> list[tuple[int, str, float]]:
         """(place of the word, entry, weight): the longest entry of each word outside the exception phrases."""
@@ -214,6 +210,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """A model learned from about ``sample`` of the labelled documents."""
+    small_batches(docs.sparkSession)
     marks = labels.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where("doc is not null and toxic is not null")
     n = marks.count()
     marks = marks.where(F.pmod(F.xxhash64("doc"), F.lit(1 << 20)) < min(1 << 20, (sample << 20) // max(n, 1)))
@@ -225,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         toxic, clean = sides.get(1, 0), sides.get(0, 0)
         if not toxic or not clean:
             return Model()
-        counted = rows.select("text", (F.col("toxic") != 0).cast("int").alias("toxic")).mapInArrow(_candidates, "entry string, toxic long, clean long")
+        counted = arrow_map(rows.select("text", (F.col("toxic") != 0).cast("int").alias("toxic")), _candidates, "entry string, toxic long, clean long")
         counted = counted.groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
         likely = F.col("t") * clean > 4 * F.col("c") * toxic
         best = counted.where((F.col("t") >= 3) & likely).orderBy(F.desc(F.col("t") - F.col("c") * (toxic / clean)), F.desc(F.length("entry")), "entry").limit(CANDIDATES).collect()
@@ -235,15 +232,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             if g >= STATISTIC and ratio >= RATIO:
                 ranked.append((-round(g, 6), -len(r["entry"]), r["entry"], ratio, r["t"]))
         ranked.sort()
-        kept: dict[str, tuple[float, int]] = {}
+        learned: dict[str, tuple[float, int]] = {}
         for _, _, entry, ratio, t in ranked:
-            if not any(entry.startswith(x) or x.startswith(entry) for x in kept):
-                kept[entry] = (ratio, t)
-        lexicon = dict.fromkeys(SEEDS, SEED_WEIGHT) | {e: w for e, (w, _) in kept.items()}
-        found = rows.mapInArrow(_found(lexicon, EXCEPTIONS), "entries array<string>, n_words long, toxic int").collect()
+            if not any(entry.startswith(x) or x.startswith(entry) for x in learned):
+                learned[entry] = (ratio, t)
+        lexicon = dict.fromkeys(SEEDS, SEED_WEIGHT) | {e: w for e, (w, _) in learned.items()}
+        found = arrow_map(rows, _found(lexicon, EXCEPTIONS), "entries array<string>, n_words long, toxic int").collect()
     finally:
         rows.unpersist()
-    chosen = _useful(kept, [set(r["entries"]) for r in found if r["toxic"]], toxic)
+    chosen = _useful(learned, [set(r["entries"]) for r in found if r["toxic"]], toxic)
     seeds = {x: SEED_WEIGHT for x in SEEDS if not any(x.startswith(y) for y in chosen)}
     final = seeds | dict(list(chosen.items())[:ENTRIES])
     evidence = np.array([sum(final.get(e, 0.0) for e in r["entries"]) for r in found])
@@ -251,12 +248,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(final, EXCEPTIONS, _logistic(_features(evidence, np.array([r["n_words"] for r in found])), y))
 
 
-def _useful(kept: dict[str, tuple[float, int]], having: list[set[str]], toxic: int) -> dict[str, float]:
+def _useful(learned: dict[str, tuple[float, int]], having: list[set[str]], toxic: int) -> dict[str, float]:
     """Common entries, and rare ones if they show enough documents that no common one does."""
-    common = {e for e, (_, t) in kept.items() if t >= COMMON * toxic}
+    common = {e for e, (_, t) in learned.items() if t >= COMMON * toxic}
     rest = [x for x in having if not x & common]
     out = {}
-    for entry, (weight, t) in kept.items():
+    for entry, (weight, t) in learned.items():
         if entry in common or sum(entry in x for x in rest) >= NEW * t:
             out[entry] = weight
     return out
@@ -280,14 +277,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             columns = [batch.column("doc_id"), pa.array(value), pa.array((value >= threshold).astype(np.int32)), pa.array(matches, kind)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "predicted", "matches"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(scored, "doc_id long, score double, predicted int, matches array<struct<start:int,entry:string>>")
+    return arrow_map(rows, scored, "doc_id long, score double, predicted int, matches array<struct<start:int,entry:string>>")
 
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows, with all their columns, that score below the threshold."""
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher.of(model.lexicon, model.exceptions)
         for batch in batches:
             evidence, sizes = [], []
@@ -297,4 +295,5 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
                 sizes.append(_words(folded))
             yield batch.filter(pa.array(model.score(np.array(evidence, float), np.array(sizes, float)) < threshold))
 
-    return docs.mapInArrow(kept, docs.schema)
+    small_batches(docs.sparkSession)
+    return arrow_map(docs, below, docs.schema)

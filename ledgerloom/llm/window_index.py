@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .exchange import FLUSH, PACKED, dealt, heads, pack, part_of, parts, saved, table_path, unpack
+from .exchange import FLUSH, PACKED, arrow_map, dealt, heads, pack, part_of, parts, saved, small_batches, table_path, unpack
 from .spans import NO_ID, SPAN, doc_part, gathered, id_of, keyed, masks, packed_spans, per_document, runs, span_lists
 from .textkit import Anchors, Hasher, U, buffers, chunks, mix, words
 
@@ -290,10 +290,11 @@ def deduplicate(
     if not 0 < key <= length:
         raise ValueError("key must lie between 1 and length")
     spark = docs.sparkSession
+    small_batches(spark)
     count = index.count if index else parts(spark)
     rows = keyed(docs, id_col, text_col)
     named = rows.where(F.col("doc") != NO_ID)
-    sent = named.mapInArrow(_send(length, key, count), PACKED)
+    sent = arrow_map(named, _send(length, key, count), PACKED)
     if index and index.tables:
         sent = sent.unionByName(index.rows(spark))
     looked = dealt(sent, _look_up(length, count, _cuts(named, batches), index is not None), PACKED, count)
@@ -307,11 +308,11 @@ def deduplicate(
     texts = rows.repartition(count, "doc", "stamp")
     older = texts if history is None else texts.unionByName(keyed(history, id_col, text_col).repartition(count, "doc", "stamp"))
     asked = older.join(known.where("asks is not null").select("doc", "stamp", "asks"), ["doc", "stamp"])
-    verified = gathered(dealt(asked.mapInArrow(_fetch(length, count), PACKED), _verify(length, count), PACKED, count))
+    verified = gathered(dealt(arrow_map(asked, _fetch(length, count), PACKED), _verify(length, count), PACKED, count))
     whole = known.where("spans is not null").select("doc", "stamp", "spans")
     out = texts.join(whole, ["doc", "stamp"], "left").join(verified.withColumnRenamed("spans", "more"), ["doc", "stamp"], "left")
     schema = "doc_id long, n_words long, kept string, removed array<struct<start:int,stop:int>>"
-    return out.select("doc", "text", "spans", "more").mapInArrow(_finish, schema)
+    return arrow_map(out.select("doc", "text", "spans", "more"), _finish, schema)
 
 
 def digest(result: DataFrame) -> DataFrame:
