@@ -53,13 +53,24 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     wanted = terms.select("term").distinct()
     words = docs.select("doc_id", tokens(F.col("text")).alias("words"))
     totals = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
-    posts = words.select("doc_id", F.size("words").alias("length"), F.explode("words").alias("term")).join(F.broadcast(wanted), "term")
+    # The length goes into the exploded elements, so rows don't carry their document's array along.
+    sized = F.transform("words", lambda x: F.struct(x.alias("term"), F.size("words").alias("length")))
+    posts = words.select("doc_id", F.explode(sized).alias("x")).select("doc_id", "x.*").join(F.broadcast(wanted), "term")
     posts = posts.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = posts.join(df, "term").crossJoin(F.broadcast(totals)).select("term", "doc_id", (idf * weight).alias("part"))
-    return terms.join(scored, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 4).alias("score"))
+    # The terms of the stated queries bound both broadcast sides.
+    scored = posts.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals)).select("term", "doc_id", (idf * weight).alias("part"))
+    return _by_document(scored).join(F.broadcast(terms), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 4).alias("score"))
+
+
+def _by_document(postings: DataFrame) -> DataFrame:
+    """Postings by document, before they meet the queries: what a query adds to a document is then summed where it's made.
+
+    The number of partitions is fixed, since the join multiplies rows that are few bytes when the shuffle is planned.
+    """
+    return postings.repartition(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:
@@ -71,8 +82,8 @@ def top(scores: DataFrame, k: int) -> DataFrame:
 def term_overlap(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): how many distinct query terms a document has."""
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    return words.join(F.broadcast(terms), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(F.broadcast(terms.select("term").distinct()), "term")
+    return _by_document(words).join(F.broadcast(terms), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
 
 
 def fuse(a: DataFrame, b: DataFrame, k: int = FUSION) -> DataFrame:
