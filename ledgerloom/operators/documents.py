@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import object_key
@@ -105,3 +105,24 @@ def prior_numbers(versions: DataFrame) -> DataFrame:
     """Each version with the one before it: the history of a document."""
     order = Window.partitionBy("document_id").orderBy("version_number")
     return versions.select("id", "document_id", "version_number", F.lag("id").over(order).alias("previous_id"))
+
+
+def searchable_versions(documents: DataFrame, versions: DataFrame, workspace: int | None) -> DataFrame:
+    """The versions that retrieval may see: active ones that their document, not deleted, points at, of one workspace.
+
+    Applied before anything is ranked, so a candidate of another tenant takes up no place.
+    """
+    shown = scoped(documents, workspace).where(~F.col("deleted")).select(F.col("active_version_id").alias("id"))
+    return scoped(versions, workspace).where("status = 'active'").join(shown, "id", "left_semi")
+
+
+def version_cards(versions: DataFrame) -> DataFrame:
+    """How a version is shown: size in KiB, rounded up, and its status as words."""
+    words = F.replace("status", F.lit("_"), F.lit(" "))
+    shown = F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 100))
+    return versions.select("id", F.ceil(F.col("byte_size") / 1024).cast("long").alias("kib"), shown.alias("status"))
+
+
+def quarantined(versions: DataFrame, verdict: Column) -> DataFrame:
+    """Versions that a scanner, a column that is null for a clean object, objects to."""
+    return versions.select("id", verdict.alias("verdict")).where("verdict is not null")

@@ -28,20 +28,6 @@ def fixed_chunks(docs: DataFrame, size: int = WINDOW, overlap: int = OVERLAP) ->
     return rows.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.size(part).cast("long").alias("n_words"), F.array_join(part, " ").alias("text"))
 
 
-def paragraph_chunks(docs: DataFrame, limit: int) -> DataFrame:
-    """Paragraphs packed greedily in order into chunks of at most ``limit`` characters; a longer one is a chunk of its own."""
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def add(a: Column, x: Column) -> Column:
-        fits = (a["open"] != "") & (F.length(a["open"]) + 1 + F.length(x) <= limit)
-        done = F.when(fits | (a["open"] == ""), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"])))
-        return F.struct(done.alias("done"), F.when(fits, F.concat(a["open"], F.lit("\n"), x)).otherwise(x).alias("open"))
-
-    packed = F.aggregate(lines, start, add, lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
-    return docs.select("doc_id", F.posexplode(packed).alias("chunk_no", "text"))
-
-
 def with_context(chunks: DataFrame, titles: DataFrame) -> DataFrame:
     """Chunks with their document's title in front, for the index only."""
     return chunks.join(titles, "doc_id").select("doc_id", "chunk_no", F.concat_ws("\n", "title", "text").alias("indexed"))
@@ -149,6 +135,18 @@ def quality(ranked: DataFrame, relevant: DataFrame, cutoff: int = 5) -> DataFram
     return found.join(ideal, "query_id").select("query_id", "hit_1", "hit_k", F.round("rr", 6).alias("rr"), F.round(F.col("dcg") / best, 6).alias("ndcg"))
 
 
+def paired(a: DataFrame, b: DataFrame, categories: DataFrame) -> DataFrame:
+    """(category, wins, ties, losses, mean_a, mean_b) of ranking a against b by reciprocal rank; both as ``quality`` gives them.
+
+    A query that only one of them has counts with 0 for the other.
+    """
+    both = a.select("query_id", F.col("rr").alias("a")).join(b.select("query_id", F.col("rr").alias("b")), "query_id", "full_outer")
+    x, y = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))
+    rows = both.join(categories, "query_id").select("category", x.alias("a"), y.alias("b"))
+    times = [F.count(F.when(c, 1)).alias(name) for c, name in ((F.col("a") > F.col("b"), "wins"), (F.col("a") == F.col("b"), "ties"), (F.col("a") < F.col("b"), "losses"))]
+    return rows.groupBy("category").agg(*times, F.round(F.avg("a"), 5).alias("mean_a"), F.round(F.avg("b"), 5).alias("mean_b"))
+
+
 def invalid_citations(cited: DataFrame, retrieved: DataFrame) -> DataFrame:
     return cited.join(retrieved, ["query_id", "doc_id"], "left_anti")
 

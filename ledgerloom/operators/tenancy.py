@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import can_manage
@@ -49,3 +52,46 @@ def member_decisions(requests: DataFrame, memberships: DataFrame) -> DataFrame:
         .when(~allowed | (~remove & ~grants), 403).when(add & F.col("target_role").isNotNull(), 409).when(add, 201).when(remove, 204).otherwise(200)
     )
     return rows.select("request_id", decision.alias("decision"))
+
+
+#: Session variables that late-bound filters read, as null until a context sets them.
+CONTEXT = ("app_user_id", "app_workspace_id", "app_worker_id")
+
+
+@contextmanager
+def context(spark: SparkSession, user: int | None = None, workspace: int | None = None, worker: str | None = None) -> Iterator[None]:
+    """Sets who asks for the queries that are made inside; everything is null again afterwards, also after an error.
+
+    A DataFrame keeps the values it was made under, so it may run after the context has ended.
+    """
+    values = dict(zip(CONTEXT, (user, workspace, worker), strict=True))
+    try:
+        for name, value in values.items():
+            kind = "STRING" if name == "app_worker_id" else "BIGINT"
+            spark.sql(f"DECLARE OR REPLACE VARIABLE {name} {kind} DEFAULT NULL")
+            if value is not None:
+                spark.sql(f"SET VAR {name} = :value", {"value": value})
+        yield
+    finally:
+        for name in CONTEXT:
+            spark.sql(f"SET VAR {name} = NULL")
+
+
+def in_context(rows: DataFrame) -> DataFrame:
+    """The rows of the workspace in context; none if none is set, since a comparison with null holds for no row."""
+    return rows.where("workspace_id = session.app_workspace_id")
+
+
+def visible_memberships(memberships: DataFrame) -> DataFrame:
+    """Those of the workspace in context, and the asking user's own in any workspace."""
+    return memberships.where("workspace_id = session.app_workspace_id OR user_id = session.app_user_id")
+
+
+def for_worker(rows: DataFrame) -> DataFrame:
+    """What a queue worker may read or change: everything; others only the workspace in context."""
+    return rows.where("workspace_id = session.app_workspace_id OR session.app_worker_id IS NOT NULL")
+
+
+def refused_writes(rows: DataFrame) -> DataFrame:
+    """Rows that may not be written in this context; a write goes ahead only if there's none."""
+    return rows.where("NOT coalesce(workspace_id = session.app_workspace_id, false)")

@@ -40,3 +40,33 @@ def repeated_lines(docs: DataFrame, least: int) -> DataFrame:
     """Lines that at least so many documents have, as headers and footers do; counted with map-side sums."""
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "").distinct()
     return lines.groupBy("line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= least)
+
+
+def without_repeated_lines(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, text, n_dropped) without the lines that ``least`` documents have; blank lines stay.
+
+    Texts are never taken apart and put together again by a shuffle: what travels are the repeated lines that a document
+    has, which are then dropped within its row.
+    """
+    lines = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where(F.trim("line") != "").distinct()
+    often = lines.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("line")
+    own = lines.join(often, "line").groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    every = F.split("text", "\n")
+    kept = F.filter(every, lambda x: ~F.array_contains("gone", x))
+    rows = docs.select("doc_id", "text").join(own, "doc_id", "left")
+    return rows.select(
+        "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size(every) - F.size(kept)).cast("long").alias("n_dropped"),
+    )
+
+
+def by_workspace(costs: DataFrame, owners: DataFrame) -> DataFrame:
+    """Conversations, tokens and cost of each workspace; ``owners``: (conv_id, workspace_id)."""
+    sums = [F.sum(c).alias(c) for c in ("input_tokens", "output_tokens")]
+    return costs.join(owners, "conv_id").groupBy("workspace_id").agg(F.count("*").alias("conversations"), *sums, F.round(F.sum("cost"), 9).alias("cost"))
+
+
+def outcomes_by_workspace(events: DataFrame) -> DataFrame:
+    """Shares of what was deflected, escalated and accepted in each workspace; ``events``: (workspace_id, outcome)."""
+    share = [F.round(F.count(F.when(F.col("outcome") == x, 1)) / F.count("*"), 6).alias(x) for x in ("deflected", "escalated", "accepted")]
+    return events.groupBy("workspace_id").agg(F.count("*").alias("n"), *share)

@@ -100,6 +100,14 @@ class Overlay:
         )
 
 
+class StreamOverlay(Overlay):
+    """The same relations as streams, with the schemas of the tables; for relations without windows or joins."""
+
+    def table(self, name: str) -> DataFrame:
+        schema = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").schema
+        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
+
+
 def _names(index: str, names: tuple[str, ...]) -> str:
     return "CASE " + " ".join(f"WHEN {index} = {i} THEN '{x}'" for i, x in enumerate(names)) + " END"
 

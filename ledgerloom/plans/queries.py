@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
+from ledgerloom.operators import changes as C
+from ledgerloom.operators import chunking as K
 from ledgerloom.operators import documents as D
 from ledgerloom.operators import jobs as J
 from ledgerloom.operators import retrieval as R
@@ -16,7 +18,7 @@ from ledgerloom.operators import tenancy as T
 from ledgerloom.operators import usage as G
 from ledgerloom.streaming import queue as Q
 
-from .overlay import NOW, Overlay, now, with_relations
+from .overlay import NOW, Overlay, StreamOverlay, now, with_relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -110,6 +112,68 @@ def member_decisions(o: Overlay) -> DataFrame:
     return T.member_decisions(asked, o.memberships())
 
 
+# Who asks, as session variables
+
+
+@query("SELECT id FROM jobs_ WHERE workspace_id = 3")
+def tenant_context(o: Overlay) -> DataFrame:
+    with T.context(o.spark, workspace=3):
+        return T.in_context(o.jobs()).select("id")
+
+
+@query("SELECT id, workspace_id FROM memberships_ WHERE workspace_id = 3 OR user_id = 45")
+def membership_visibility(o: Overlay) -> DataFrame:
+    with T.context(o.spark, user=45, workspace=3):
+        return T.visible_memberships(o.memberships()).select("id", "workspace_id")
+
+
+@query("SELECT state, count(*) AS n FROM jobs_ GROUP BY state")
+def worker_visibility(o: Overlay) -> DataFrame:
+    with T.context(o.spark, worker="worker-1"):
+        return T.for_worker(o.jobs()).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("SELECT id, workspace_id FROM documents_ WHERE id % 2 = 0 AND workspace_id <> 4")
+def refused_writes(o: Overlay) -> DataFrame:
+    with T.context(o.spark, workspace=4):
+        return T.refused_writes(o.documents().where("id % 2 = 0")).select("id", "workspace_id")
+
+
+# Changes and what they return
+
+
+_ASKED = "SELECT event_id AS id, user_id % 25 AS workspace_id, user_id FROM events WHERE event_type = 'signup'"
+
+
+@query(f"SELECT id, workspace_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, user_id ORDER BY id) AS nth FROM ({_ASKED})) a WHERE nth > 1 OR EXISTS (SELECT 1 FROM memberships_ m WHERE m.workspace_id = a.workspace_id AND m.user_id = a.user_id)")
+def refused_inserts(o: Overlay) -> DataFrame:
+    asked = o.table("events").where("event_type = 'signup'").select(F.col("event_id").alias("id"), (F.col("user_id") % 25).alias("workspace_id"), "user_id")
+    return C.inserted(o.memberships().select("id", "workspace_id", "user_id"), asked, ["workspace_id", "user_id"], "id")[1]
+
+
+@query(f"SELECT id, family_id, {_NOW} AS revoked_at FROM sessions_ WHERE family_id = 7 AND revoked_at IS NULL")
+def update_returning(o: Overlay) -> DataFrame:
+    where = (F.col("family_id") == 7) & F.col("revoked_at").isNull()
+    return C.updated(o.sessions(), where, {"revoked_at": now()})[1].select("id", "family_id", "revoked_at")
+
+
+@query("SELECT id, user_id FROM memberships_ WHERE workspace_id = 5 AND role = 'viewer'")
+def delete_returning(o: Overlay) -> DataFrame:
+    return C.deleted(o.memberships(), (F.col("workspace_id") == 5) & (F.col("role") == "viewer"))[1].select("id", "user_id")
+
+
+@query("SELECT id, CASE WHEN active_version_id % 3 <> 0 THEN active_version_id END AS active_version_id FROM documents_")
+def reference_set_null(o: Overlay) -> DataFrame:
+    return C.without_reference(o.documents().select("id", "active_version_id"), "active_version_id", o.versions().where("id % 3 <> 0"), "id")
+
+
+@query("SELECT workspace_id, user_id, count(*) AS n FROM memberships_ GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT user_id % 25, user_id, count(*) FROM events GROUP BY ALL HAVING count(*) > 1")
+def unique_violations(o: Overlay) -> DataFrame:
+    pairs = o.table("events").select((F.col("user_id") % 25).alias("workspace_id"), "user_id")
+    key = ["workspace_id", "user_id"]
+    return C.duplicate_keys(o.memberships(), key).unionByName(C.duplicate_keys(pairs, key))
+
+
 # Documents and versions
 
 
@@ -189,6 +253,16 @@ def version_history(o: Overlay) -> DataFrame:
     return D.prior_numbers(o.versions())
 
 
+@query("SELECT id, ceil(byte_size / 1024)::BIGINT AS kib, upper(status[1]) || status[2:] AS status FROM versions_")
+def version_cards(o: Overlay) -> DataFrame:
+    return D.version_cards(o.versions())
+
+
+@query("SELECT id, 'large' AS verdict FROM versions_ WHERE byte_size > 4000")
+def quarantined_versions(o: Overlay) -> DataFrame:
+    return D.quarantined(o.versions(), F.when(F.col("byte_size") > 4000, "large"))
+
+
 # The queue
 
 
@@ -365,13 +439,27 @@ def fixed_token_chunks(o: Overlay) -> DataFrame:
     return R.fixed_chunks(o.table("documents"))
 
 
+_BLOCKS = """lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
+plain AS (SELECT doc_id, i, trim(raw, chr(32) || chr(9) || chr(13)) AS text FROM lines)"""
+
+
+@query(f"WITH {_BLOCKS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i)::BIGINT - 1 AS ord, regexp_full_match(text, '#{{1,6}}[ \\t]+.*') AS heading, text FROM plain WHERE text <> ''")
+def document_blocks(o: Overlay) -> DataFrame:
+    return K.document_blocks(o.table("documents")).select("doc_id", "ord", (F.col("kind") == "heading").alias("heading"), "text")
+
+
 @query()
 def structure_chunks(o: Overlay) -> DataFrame:
-    chunks = R.paragraph_chunks(o.table("documents"), 2000)
+    chunks = K.structure_chunks(o.table("documents"))
     titles = o.table("documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"))
     return R.with_context(chunks, titles)
 
 
+@query("SELECT v.id, v.document_id FROM versions_ v JOIN documents_ d ON d.active_version_id = v.id WHERE v.workspace_id = 3 AND d.workspace_id = 3 AND NOT deleted AND status = 'active'")
+def searchable_versions(o: Overlay) -> DataFrame:
+    return D.searchable_versions(o.documents(), o.versions(), 3).select("id", "document_id")
+
+
 _CANDIDATES = """q AS (SELECT vec_id AS query_id, embedding, label FROM embeddings WHERE vec_id % 20 = 0),
 scores AS (SELECT query_id, vec_id AS doc_id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 6) AS score, q.label = e.label AS hit FROM q, embeddings e WHERE vec_id <> query_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::BIGINT AS rank FROM scores)"""
@@ -397,6 +485,24 @@ def recall_mrr_ndcg(o: Overlay) -> DataFrame:
     return R.quality(_vectors(o, 5), relevant)
 
 
+_HALVES = _CANDIDATES.replace("SELECT vec_id AS query_id, embedding, label FROM embeddings", "SELECT vec_id AS query_id, embedding[1:32] AS embedding, label FROM embeddings").replace(
+    "FROM q, embeddings e", "FROM q, (SELECT vec_id, embedding[1:32] AS embedding, label FROM embeddings) e"
+)
+_RR = "SELECT query_id, round(coalesce(max(CASE WHEN hit THEN 1.0::DOUBLE / rank END), 0), 6) AS rr FROM ranked WHERE rank <= 5 AND query_id IN (SELECT query_id FROM scores WHERE hit) GROUP BY query_id"
+
+
+@query(f"""SELECT label AS category, count(*) FILTER (WHERE a.rr > b.rr) AS wins, count(*) FILTER (WHERE a.rr = b.rr) AS ties, count(*) FILTER (WHERE a.rr < b.rr) AS losses,
+round(avg(a.rr), 5) AS mean_a, round(avg(b.rr), 5) AS mean_b FROM (WITH {_CANDIDATES} {_RR}) a JOIN (WITH {_HALVES} {_RR}) b USING (query_id) JOIN embeddings ON vec_id = query_id GROUP BY label""")
+def paired_comparison(o: Overlay) -> DataFrame:
+    v = o.table("embeddings")
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    relevant = q.select("query_id", "label").join(v.select("vec_id", "label"), "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("doc_id"))
+    half = F.slice("embedding", 1, 32).alias("embedding")
+    full = R.quality(R.vector_top(v, q.select("query_id", "embedding"), 5), relevant)
+    halves = R.quality(R.vector_top(v.select("vec_id", half), q.select("query_id", half), 5), relevant)
+    return R.paired(full, halves, q.select("query_id", F.col("label").alias("category")))
+
+
 _LEXICAL = f"""words AS (SELECT doc_id, {_TOKENS.format("text")} AS w FROM documents),
 terms AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS.format("text")}) AS term FROM benchmark),
 posts AS (SELECT term, doc_id, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM terms) GROUP BY term, doc_id),
@@ -466,6 +572,32 @@ def repeated_lines(o: Overlay) -> DataFrame:
     return G.repeated_lines(o.table("documents"), 5)
 
 
+_REPEATED = "SELECT line FROM (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY line HAVING count(*) >= 5"
+
+
+@query(f"""SELECT doc_id, array_to_string(kept, chr(10)) AS text, (len(every) - len(kept))::BIGINT AS n_dropped FROM (SELECT doc_id, string_split(text, chr(10)) AS every,
+list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(gone, x)) AS kept FROM documents, (SELECT coalesce(list(line), []) AS gone FROM ({_REPEATED})))""")
+def without_repeated_lines(o: Overlay) -> DataFrame:
+    return G.without_repeated_lines(o.table("documents"), 5)
+
+
+@query("""SELECT conv_id % 25 AS workspace_id, count(*) AS conversations, sum(a)::BIGINT AS input_tokens, sum(b)::BIGINT AS output_tokens, round(sum(round((a * 0.15::DOUBLE + b * 0.6::DOUBLE) / 1000000, 9)), 9) AS cost FROM (
+SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN 0 ELSE ceil(length(text) / 4.0)::BIGINT END) AS a, sum(CASE WHEN role = 'assistant' THEN ceil(length(text) / 4.0)::BIGINT ELSE 0 END) AS b
+FROM conversations GROUP BY conv_id) GROUP BY conv_id % 25""")
+def cost_by_workspace(o: Overlay) -> DataFrame:
+    turns = o.table("conversations")
+    owners = turns.select("conv_id").distinct().withColumn("workspace_id", F.col("conv_id") % 25)
+    return G.by_workspace(G.cost(turns, 0.15, 0.6), owners)
+
+
+@query("""SELECT user_id % 25 AS workspace_id, count(*) AS n, round(count(*) FILTER (WHERE event_type = 'view') / count(*)::DOUBLE, 6) AS deflected,
+round(count(*) FILTER (WHERE event_type = 'error') / count(*)::DOUBLE, 6) AS escalated, round(count(*) FILTER (WHERE event_type = 'purchase') / count(*)::DOUBLE, 6) AS accepted FROM events GROUP BY user_id % 25""")
+def outcomes_by_workspace(o: Overlay) -> DataFrame:
+    kind = F.col("event_type")
+    outcome = F.when(kind == "view", "deflected").when(kind == "error", "escalated").when(kind == "purchase", "accepted")
+    return G.outcomes_by_workspace(o.table("events").select((F.col("user_id") % 25).alias("workspace_id"), outcome.alias("outcome")))
+
+
 # Streams; those without SQL depend on the order of micro-batches
 
 
@@ -483,3 +615,25 @@ def stream_leases(o: Overlay) -> DataFrame:
 def stream_windows(o: Overlay) -> DataFrame:
     counts = Q.run_once(Q.windowed_counts(Q.event_stream(o.spark, o.sf_dir)), "complete")
     return counts.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+@query("SELECT id, 'exhausted' AS error_code FROM jobs_ WHERE state IN ('leased', 'processing') AND attempt_count >= max_attempts")
+def stream_dead_letters(o: Overlay) -> DataFrame:
+    jobs = StreamOverlay(o.spark, o.sf_dir).jobs()
+    ended = J.failed(jobs, F.lit(True), F.lit("exhausted"), F.lit(""), now())
+    return Q.split_once(ended, {"dead": F.col("state") == "dead_letter", "again": F.col("state") == "retrying"})["dead"].select("id", "error_code")
+
+
+@query(f"SELECT id FROM jobs_ WHERE (state IN ('queued', 'retrying') AND available_at <= {_NOW}) OR (state IN ('leased', 'processing') AND lease_expires_at < {_NOW})")
+def stream_due_jobs(o: Overlay) -> DataFrame:
+    return Q.run_once(StreamOverlay(o.spark, o.sf_dir).jobs().where(J.is_claimable(now())).select("id"))
+
+
+@query("""SELECT user_id, (epoch(ts) + 60)::BIGINT AS lapsed_at FROM (SELECT user_id, event_type, date_trunc('second', ts) AS ts,
+lead(date_trunc('second', ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) WHERE event_type IN ('click', 'view') AND next > ts + INTERVAL 60 SECOND""")
+def stream_lapsed_leases(o: Overlay) -> DataFrame:
+    lapsed = Q.run_once(Q.lapsed_leases(Q.event_stream(o.spark, o.sf_dir)))
+    last = o.table("events").groupBy("user_id").agg(F.max("ts").alias("ts"))
+    # A job's last lease lapses once the watermark passes it, which no later event of the stream may do.
+    rows = lapsed.join(last, "user_id").where(F.col("lapsed_at") <= F.unix_timestamp(F.col("ts").cast("timestamp")))
+    return rows.select("user_id", "lapsed_at")

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -78,3 +78,55 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(schema).parquet(f"{place}/out/batch=*")
+
+
+def split_once(stream: DataFrame, routes: dict[str, Column]) -> dict[str, DataFrame]:
+    """Everything that is there, each row into the table of every route whose condition it meets.
+
+    A batch is read once and kept while it's written; batches that are tried again replace their own files.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    place = scratch(spark)
+
+    def write(batch: DataFrame, number: int) -> None:
+        held = batch.persist()
+        for name, condition in routes.items():
+            held.where(condition).write.mode("overwrite").parquet(f"{place}/{name}/batch={number}")
+        held.unpersist()
+
+    query = stream.writeStream.option("checkpointLocation", f"{place}/state").foreachBatch(write).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return {name: spark.read.schema(schema).parquet(f"{place}/{name}/batch=*") for name in routes}
+
+
+LAPSED = "user_id long, lapsed_at long"
+
+
+def lapsed_leases(events: DataFrame, lease_seconds: int = 60, delay: str = "0 seconds") -> DataFrame:
+    """Leases that ran out without a result: (job, end in seconds), as soon as the watermark or a later event passes the end.
+
+    A click or view takes the lease, any other event is the result that ends it.  Timers are in event time, so a replay
+    gives the same rows; state of a job without a lease is dropped.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        until = state.get[0] if state.exists else 0
+        lapsed = []
+        if state.hasTimedOut:
+            lapsed, until = [until], 0
+        else:
+            rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
+            for at, kind in zip(rows["at"].to_numpy().astype("datetime64[s]").astype("int64").tolist(), rows["event_type"], strict=True):
+                if until and at > until:
+                    lapsed.append(until)
+                    until = 0
+                until = at + lease_seconds if kind in ("click", "view") else 0
+        if until:
+            state.update((int(until),))
+            state.setTimeoutTimestamp(max(until * 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"user_id": [key[0]] * len(lapsed), "lapsed_at": lapsed}).astype("int64")
+
+    rows = events.withWatermark("at", delay).select("user_id", "event_id", "at", "event_type")
+    return rows.groupBy("user_id").applyInPandasWithState(step, LAPSED, "until long", "append", GroupStateTimeout.EventTimeTimeout)
