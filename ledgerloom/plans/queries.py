@@ -16,6 +16,7 @@ from ledgerloom.operators import retrieval as R
 from ledgerloom.operators import sessions as Z
 from ledgerloom.operators import tenancy as T
 from ledgerloom.operators import usage as G
+from ledgerloom.operators import vector_index as V
 from ledgerloom.streaming import queue as Q
 
 from .overlay import NOW, Overlay, StreamOverlay, now, with_relations
@@ -485,6 +486,16 @@ def recall_mrr_ndcg(o: Overlay) -> DataFrame:
     return R.quality(_vectors(o, 5), relevant)
 
 
+@query()
+def vector_index_recall(o: Overlay) -> DataFrame:
+    v = o.table("embeddings")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    centres, exact = V.fit(v), _vectors(o, 5)
+    index = V.assign(v, centres)
+    visits = V.visits_for(index, centres, asked, exact, 5)
+    return V.recall(V.search(index, centres, asked, 5, visits), exact).withColumn("visited", F.lit(visits / max(1, len(centres))))
+
+
 _HALVES = _CANDIDATES.replace("SELECT vec_id AS query_id, embedding, label FROM embeddings", "SELECT vec_id AS query_id, embedding[1:32] AS embedding, label FROM embeddings").replace(
     "FROM q, embeddings e", "FROM q, (SELECT vec_id, embedding[1:32] AS embedding, label FROM embeddings) e"
 )
