@@ -8,9 +8,10 @@ descending length to the sequence that is left with the least weighted norm of i
 where every capacity holds; a new one is opened if there is none.
 
 Pieces of one length are alike, so the driver packs the *histogram* of lengths, at most ``capacity`` numbers, and
-whole ranges of equal pieces go to whole ranges of alike sequences.  The plan's size depends on the capacity, not on the
-number of documents.  Each piece then finds its place from its rank among the pieces of its length: its place in its
-task plus the counts of the tasks before, so no task holds all pieces of a length.
+whole ranges of equal pieces go to whole ranges of alike sequences, as many to each as fit, which is where they would
+go one by one.  The plan's size depends on the capacity, not on the number of documents.  Each piece then finds its
+place from its rank among the pieces of its length: its place in its task plus the counts of the tasks before, so no
+task holds all pieces of a length.
 
 A null text is empty: one piece, the closing id.  Strings of special tokens in a text are ordinary text.  Rows are
 packed independently of their ids; a null id, or one that repeats, stays as it is.  An empty table gives an empty one.
@@ -111,21 +112,26 @@ def plan(histogram: dict[int, int], limits: Limits = Limits()) -> np.ndarray:
                 norm = ((weights * after[fits] / capacity) ** 2).sum(axis=1)
                 best = int(fits[np.argmin(norm)])
             else:
-                kinds.append([(opened, todo)])
+                fresh = -(-todo // int((capacity // need).min()))
+                kinds.append([(opened, fresh)])
                 left = np.vstack([left, capacity])
-                opened += todo
+                opened += fresh
                 best = len(kinds) - 1
+            # The sequence that took a piece is the best for the next one too, until the length no longer fits there.
+            layers = min(todo, int((left[best] // need).min()))
             offset = int(capacity[0] - left[best, 0])
             moved = []
-            while todo and kinds[best]:
+            while todo >= layers and kinds[best]:
                 first, count = kinds[best].pop()
-                used = min(count, todo)
+                used = min(count, todo // layers)
                 if used < count:
                     kinds[best].append((first + used, count - used))
-                rows.append((length, rank, used, first, offset))
+                for i in range(layers):
+                    rows.append((length, rank, used, first, offset + i * length))
+                    rank += used
                 moved.append((first, used))
-                rank, todo = rank + used, todo - used
-            state = left[best] - need
+                todo -= layers * used
+            state = left[best] - layers * need
             if not kinds[best]:
                 kinds[best], left[best] = moved, state
             else:

@@ -284,6 +284,28 @@ def test_plan_keeps_every_limit():
         packing.plan({101: 1}, limits)
 
 
+def test_plan_is_best_fit_piece_by_piece():
+    for length, count, sequences in ((100, 1000, 100), (300, 1000, 334), (500, 1000, 500), (1, 5000, 5)):
+        rows = packing.plan({length: count})
+        assert (rows[:, 3] + rows[:, 2]).max() == sequences and rows[:, 2].sum() == count
+    rnd = np.random.default_rng(8)
+    for limits in (packing.Limits(), packing.Limits(100, 3, 6000), packing.Limits(100, 100, 2500)):
+        most = min(limits.tokens, int(limits.attention**0.5))
+        for sizes in (rnd.integers(1, most + 1, 300), rnd.choice(rnd.integers(1, most // 3, 6), 900)):
+            capacity, weights = np.array([limits.tokens, limits.documents, limits.attention], float), np.array(limits.weights)
+            left = np.zeros((0, 3))
+            for length in sorted(sizes.tolist(), reverse=True):
+                after = left - (need := np.array([length, 1, length * length], float))
+                fits = np.flatnonzero((after >= 0).all(axis=1))
+                if not len(fits):
+                    left, fits = np.vstack([left, capacity]), np.array([len(left)])
+                left[fits[np.argmin(((weights * (left[fits] - need) / capacity) ** 2).sum(axis=1))]] -= need
+            filled = collections.Counter()
+            for length, _, count, first, _ in packing.plan(collections.Counter(sizes.tolist()), limits).tolist():
+                filled.update({s: length for s in range(first, first + count)})
+            assert sorted(filled.values()) == sorted((limits.tokens - left[:, 0]).astype(int).tolist())
+
+
 def test_encoders_agree():
     encoder = packing.Encoder(*tokenizer_files())
     rnd = random.Random(6)
