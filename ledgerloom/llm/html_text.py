@@ -6,8 +6,9 @@ row with one label count as one repeated node, so lists of any length align.  A
 all pages of a host (``SHARE`` of at least ``PAGES``) is template; slots whose text varies are content.
 
 Pages are aligned within each task first, and a host's partial wrappers are aligned with each other afterwards, so a
-large host costs one small wrapper per task.  Slots count texts with a mergeable heavy-hitter summary of ``KEPT``
-counters, whose error is subtracted, so no slot grows with its host.
+large host costs one small wrapper per task.  A wrapper holds no texts.  The pages are then laid on their host's whole
+wrapper, and the pages that have a text in a slot are counted exactly, by an aggregate over (host, slot, text) with
+partial sums in each task; the constant texts that are left are at most some more than a page has.
 
 A page's main text are the blocks of its main container without template texts and without blocks that are menus,
 headers, footers, sidebars, notices, adverts, forms or reader comments by their element, class, id or role.  The
@@ -23,7 +24,9 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,26 +35,25 @@ from pyspark.sql import functions as F
 from .dom import MAIN_TAGS, MAIN_WORDS, Block, Text, read
 from .exchange import arrow_map, parts, saved, small_batches
 
-SHARE, PAGES, KEPT = 0.9, 5, 96
+SHARE, PAGES = 0.9, 5
 #: Hosts that a task holds before it sends their wrappers; bytes of wrappers that are broadcast.
 HOSTS, BROADCAST_BYTES = 5000, 8 << 20
 
 
 class Slot:
-    """A node of a wrapper: pages that have it, counts of its texts (lower bounds), and its children."""
+    """A node of a wrapper: pages that have it and its children; of a page, also its texts."""
 
-    __slots__ = ("label", "pages", "texts", "kids", "held")
+    __slots__ = ("label", "pages", "number", "kids", "held")
 
-    def __init__(self, label: str, pages: int = 1):
-        self.label, self.pages = label, pages
-        self.texts: dict[int, int] = {}
+    def __init__(self, label: str, pages: int = 1, number: int = 0):
+        self.label, self.pages, self.number = label, pages, number
         self.kids: list[Slot] = []
         self.held: list[Text] = []
 
 
 def key(text: str) -> int:
     data = text.encode("utf-8", "surrogatepass")
-    return zlib.crc32(data) << 32 | zlib.adler32(data)
+    return (zlib.crc32(data) << 32 | zlib.adler32(data)) - (1 << 63)
 
 
 def slots(block: Block) -> Slot:
@@ -59,7 +61,6 @@ def slots(block: Block) -> Slot:
     out = Slot(block.label)
     for kid in block.kids:
         if isinstance(kid, Text):
-            out.texts[key(kid.text)] = 1
             out.held.append(kid)
             continue
         own = slots(kid)
@@ -112,11 +113,6 @@ def aligned(a: list[Slot], b: list[Slot]) -> list[tuple[Slot | None, Slot | None
 def merged(a: Slot, b: Slot, pages: bool = True) -> Slot:
     """Two wrappers of different pages as one; or two siblings of one page (``pages`` false)."""
     a.pages = a.pages + b.pages if pages else max(a.pages, b.pages)
-    for text, n in b.texts.items():
-        a.texts[text] = a.texts.get(text, 0) + n if pages else max(a.texts.get(text, 0), n)
-    if pages and len(a.texts) > KEPT:
-        less = sorted(a.texts.values(), reverse=True)[KEPT]
-        a.texts = {t: n - less for t, n in a.texts.items() if n > less}
     a.held += b.held
     kids: list[Slot] = []
     for x, y in aligned(a.kids, b.kids):
@@ -130,36 +126,27 @@ def merged(a: Slot, b: Slot, pages: bool = True) -> Slot:
 
 
 def dump(slot: Slot) -> list:
-    return [slot.label, slot.pages, {str(t): n for t, n in slot.texts.items()}, [dump(x) for x in slot.kids]]
+    return [slot.label, slot.pages, [dump(x) for x in slot.kids]]
 
 
-def undump(data: list) -> Slot:
-    out = Slot(data[0], data[1])
-    out.texts = {int(t): n for t, n in data[2].items()}
-    out.kids = [undump(x) for x in data[3]]
+def undump(data: list, numbers: Iterator[int] | None = None) -> Slot:
+    """The wrapper, its slots numbered in the order of the data."""
+    numbers = numbers or count()
+    out = Slot(data[0], data[1], next(numbers))
+    out.kids = [undump(x, numbers) for x in data[2]]
     return out
 
 
-def template(slot: Slot, pages: int, share: float = SHARE) -> Slot | None:
-    """The wrapper's constant texts, and the nodes that lead to them."""
-    kids = [x for x in (template(k, pages, share) for k in slot.kids) if x]
-    texts = {t: n for t, n in slot.texts.items() if n >= share * pages}
-    if not kids and not texts:
-        return None
-    out = Slot(slot.label, slot.pages)
-    out.texts, out.kids = texts, kids
+def placed(page: Slot, wrapper: Slot) -> list[tuple[int, Text]]:
+    """The page's texts, each with the wrapper's slot that it stands in."""
+    out, todo = [], [(page, wrapper)]
+    while todo:
+        x, y = todo.pop()
+        out += [(y.number, text) for text in x.held]
+        todo += [(a, b) for a, b in aligned(x.kids, y.kids) if a and b]
     return out
 
 
-def mark(page: Slot, wrapper: Slot) -> None:
-    """Marks the page's texts that the wrapper has as constants in the same slot."""
-    for text in page.held:
-        text.constant = text.constant or key(text.text) in wrapper.texts
-    for x, y in aligned(page.kids, wrapper.kids):
-        if x and y:
-            mark(x, y)
-
-
 def _weight(block: Block) -> int:
     return sum(len(x.text) for x in block.texts())
 
@@ -200,10 +187,12 @@ def container(root: Block) -> Block:
         here = best
 
 
-def main_text(html: str | None, wrapper: Slot | None = None) -> str:
+def main_text(html: str | None, wrapper: Slot | None = None, constants: frozenset[tuple[int, int]] = frozenset()) -> str:
+    """``constants``: (slot, key) of the wrapper's template texts."""
     root = read(html)
     if wrapper is not None:
-        mark(slots(root), wrapper)
+        for slot, text in placed(slots(root), wrapper):
+            text.constant = (slot, key(text.text)) in constants
     block = container(root)
     texts = list(block.texts())
     constant = sum(len(x.text) for x in texts if x.constant)
@@ -221,7 +210,6 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
             page = slots(read(html.as_py()))
             held[host] = merged(held[host], page) if host in held else page
-            held[host].held = []
             _forget(held[host])
             if len(held) >= HOSTS:
                 yield flush()
@@ -236,13 +224,13 @@ def _forget(slot: Slot) -> None:
         _forget(x)
 
 
-def _join_wrappers(share: float, pages: int):
+def _join_wrappers(pages: int):
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         host, whole, out = None, None, []
 
         def done() -> None:
-            if whole is not None and whole.pages >= pages and (found := template(whole, whole.pages, share)):
-                out.append((host, json.dumps(dump(found), ensure_ascii=False)))
+            if whole is not None and whole.pages >= pages:
+                out.append((host, json.dumps(dump(whole), ensure_ascii=False)))
 
         for batch in batches:
             for name, data in zip(batch.column("host").to_pylist(), batch.column("wrapper"), strict=True):
@@ -258,23 +246,52 @@ def _join_wrappers(share: float, pages: int):
     return join
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, Slot] = {}
+    for batch in batches:
+        seen: Counter = Counter()
+        for host, html, data in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("wrapper"), strict=True):
+            if host not in known:
+                if len(known) >= HOSTS:
+                    known.clear()
+                known[host] = undump(json.loads(data.as_py()))
+            texts = placed(slots(read(html.as_py())), known[host])
+            seen.update({(host, known[host].pages, slot, key(text.text)) for slot, text in texts})
+        columns = zip(*seen, strict=True) if seen else [[]] * 4
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns, kinds), pa.array(list(seen.values()), pa.int64())], names=["host", "pages", "slot", "text", "n"])
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if its wrappers are small."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("host")), F.lit(0))).head()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def wrappers(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataFrame:
-    """(host, wrapper) of every host with template texts; ``pages`` has ``host`` and ``html``."""
-    partial = arrow_map(pages.where("host is not null").select("host", "html"), _induce, "host string, wrapper string")
+    """(host, wrapper, constants) of every host with template texts; ``pages`` has ``host`` and ``html``."""
+    own = pages.where("host is not null").select("host", "html")
+    partial = arrow_map(own, _induce, "host string, wrapper string")
     dealt = partial.repartition(parts(pages.sparkSession), "host").sortWithinPartitions("host", "wrapper")
-    return arrow_map(dealt, _join_wrappers(share, least), "host string, wrapper string")
+    whole = saved(arrow_map(dealt, _join_wrappers(least), "host string, wrapper string"), "hosts")
+    counts = arrow_map(own.join(_few(whole), "host").select("host", "html", "wrapper"), _count, "host string, pages long, slot int, text long, n long")
+    constant = counts.groupBy("host", "pages", "slot", "text").agg(F.sum("n").alias("n")).where(F.col("n") >= share * F.col("pages"))
+    return whole.join(constant.groupBy("host").agg(F.collect_list(F.struct("slot", "text")).alias("constants")), "host")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, Slot] = {}
+    known: dict[str, tuple[Slot, frozenset[tuple[int, int]]]] = {}
     for batch in batches:
         texts = []
-        for html, data in zip(batch.column("html"), batch.column("wrapper").to_pylist(), strict=True):
-            if data is not None and data not in known:
+        for host, html, data, constants in zip(*(batch.column(c) for c in ("host", "html", "wrapper", "constants")), strict=True):
+            if not data.is_valid:
+                texts.append(main_text(html.as_py()))
+                continue
+            if (name := host.as_py()) not in known:
                 if len(known) >= HOSTS:
                     known.clear()
-                known[data] = undump(json.loads(data))
-            texts.append(main_text(html.as_py(), None if data is None else known[data]))
+                known[name] = undump(json.loads(data.as_py())), frozenset((x["slot"], x["text"]) for x in constants.as_py())
+            texts.append(main_text(html.as_py(), *known[name]))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -284,6 +301,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     url = F.col(f"`{url_col}`").cast("string")
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"), F.lower(F.try_parse_url(url, F.lit("HOST"))).alias("host"))
     found = saved(wrappers(rows, share, least), "wrappers")
-    size = found.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("host")), F.lit(0))).head()[0]
-    joined = rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
-    return arrow_map(joined.select("page_id", "url", "html", "wrapper"), _extract, "page_id long, url string, text string, n_chars long")
+    joined = rows.join(_few(found), "host", "left")
+    return arrow_map(joined.select("page_id", "url", "host", "html", "wrapper", "constants"), _extract, "page_id long, url string, text string, n_chars long")

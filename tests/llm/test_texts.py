@@ -66,6 +66,19 @@ def test_html_wrapper_drops_constant_nodes(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_html_constant_text_among_many_paragraphs(spark):
+    line = "<p>Read more of our stories every day.</p>"
+    page = lambda i, k, end: f"<body><article><h1>Story {i}</h1>{''.join(f'<p>Words {j} of story {i}</p>' for j in range(k))}{end}</article></body>"
+    rows = [(1000 * k + i, f"http://host{k}.example/{i}", page(i, k, line)) for k in (20, 150) for i in range(100)]
+    rows += [(i, f"http://some.example/{i}", page(i, 20, line if i >= 11 else "")) for i in range(100)]
+    rows += [(500 + i, f"http://most.example/{i}", page(i, 20, line if i >= 10 else "")) for i in range(100)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    for k in (20, 150):
+        for i in range(100):
+            assert got[1000 * k + i] == "\n".join([f"Story {i}", *[f"Words {j} of story {i}" for j in range(k)]])
+    assert sum(got[i].endswith("every day.") for i in range(100)) == 89 and not any(got[500 + i].endswith("every day.") for i in range(100))
+
+
 def test_html_articles_are_whole(spark, sf):
     from html import unescape
 
