@@ -2,12 +2,12 @@
 
 A profile is the list of a text's most frequent n-grams, n = 1 to 3 within a word that is padded with one blank on each
 side, by descending count, ties by code.  A language's profile comes from a bounded sample of labelled texts
-(``SAMPLE`` of each language, chosen by a hash of the text).  A document's score for a language is the sum, over the
+(about ``SAMPLE`` different texts of each language, those with the least hashes).  A document's score for a language is the sum, over the
 n-grams of its own profile, of how far apart their ranks are; an n-gram that the language's profile lacks counts as
 its whole length.  The nearest language wins, ties by name.
 
 The whole text is counted: letters in lower case, everything else is a blank.  Documents are independent of each other
-and nothing is shuffled; the profiles, some kilobytes, go to all tasks.
+and their texts are not shuffled but for the sample; the profiles, some kilobytes, go to all tasks.
 
 A null text, or one without a letter, is `und` with score 0.  Without any labelled text all are `und`.  Rows with a null
 language teach nothing; a null id is never held out.  Rows are independent: equal rows get equal results.  An empty
@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import arrow_map, small_batches
+from .exchange import arrow_map, saved, small_batches, small_or_not
 
-#: N-grams in a profile; labelled texts of a language that it is learned from; languages at most.
-PROFILE, SAMPLE, LANGUAGES = 300, 1000, 400
+#: N-grams in a profile; different labelled texts of a language that it is learned from.
+PROFILE, SAMPLE = 300, 1000
 _BITS = 21  # of a code point
 #: Code points that are counted together.
 _CHUNK = 1 << 20
@@ -86,29 +86,38 @@ def top(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Profiles:
-    """The learned profiles: sorted n-grams, and their rank in each language, ``size`` where it lacks one."""
+    """The learned profiles: sorted n-grams, and for each the languages that have it with its rank there."""
 
     names: list[str]
     codes: np.ndarray
+    #: Where each n-gram's languages and ranks start, and where the last one's end.
+    first: np.ndarray
+    langs: np.ndarray
     ranks: np.ndarray
     size: int
 
     @classmethod
     def of(cls, learned: dict[str, np.ndarray], size: int) -> Profiles:
         names = sorted(learned)
-        codes = np.unique(np.concatenate([learned[x] for x in names])) if names else np.zeros(0, np.uint64)
-        ranks = np.full((len(names), len(codes) + 1), size, np.int64)
-        for i, name in enumerate(names):
-            ranks[i, np.searchsorted(codes, learned[name])] = np.arange(len(learned[name]))
-        return cls(names, codes, ranks, size)
+        lengths = [len(learned[x]) for x in names]
+        every = np.concatenate([np.zeros(0, np.uint64), *(learned[x] for x in names)])
+        order = np.argsort(every, kind="stable")
+        codes, first = np.unique(every[order], return_index=True)
+        langs = np.repeat(np.arange(len(names)), lengths)[order]
+        ranks = np.concatenate([np.zeros(0, np.int64), *(np.arange(n) for n in lengths)])[order]
+        return cls(names, codes, np.append(first, len(every)), langs, ranks, size)
 
     def distances(self, own: np.ndarray) -> np.ndarray:
         """Out-of-place distance of a document's profile to each language's."""
         at = np.searchsorted(self.codes, own)
         at[at == len(self.codes)] = len(self.codes) - 1
-        at = np.where(self.codes[at] == own, at, len(self.codes))
-        ranks = self.ranks[:, at]
-        return np.where(ranks == self.size, self.size, np.abs(ranks - np.arange(len(own)))).sum(axis=1)
+        place = np.flatnonzero(self.codes[at] == own)
+        at = at[place]
+        many = self.first[at + 1] - self.first[at]
+        # The rows of langs and ranks that the n-grams found have.
+        row = np.arange(many.sum()) + np.repeat(self.first[at] - np.cumsum(many) + many, many)
+        near = self.size - np.abs(self.ranks[row] - np.repeat(place, many))
+        return self.size * len(own) - np.bincount(self.langs[row], near, len(self.names)).astype(np.int64)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score): by how much nearer it is than the next, from 0.5 for a tie to 1."""
@@ -140,15 +149,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, sample: int = SAMPLE) -> Profiles:
-    """Profiles of the languages of the labelled rows, each from about ``sample`` texts (all, if there are fewer)."""
+    """Profiles of the languages of the labelled rows, each from about ``sample`` different texts (all, if there are fewer)."""
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return Profiles.of({}, size)
-    # A text is in the sample if its hash, evenly spread over 0 .. 2^20, lies below its language's limit.
-    limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, max(1, min(1 << 20, (sample << 20) // n)))])
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.coalesce(F.element_at(limit, F.col("lang")), F.lit(0)))
+    # The hash, evenly spread over 0 .. 2^63 - 1, below or at its language's limit puts a text in the sample; copies count once.
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    counts = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least"))
+    rate = F.when(F.col("n") <= sample, F.lit((1 << 63) - 1)).otherwise((F.lit(float(sample)) / F.col("n") * float(1 << 63)).cast("long"))
+    limits = saved(counts.select("lang", F.greatest(rate, "least").alias("limit")), "limits")
+    chosen = rows.join(small_or_not(limits), "lang").where("h <= limit").select("lang", "text").distinct()
     sums = arrow_map(chosen, _count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = sums.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "code")), False), 1, 4 * size).alias("best")).collect()
     learned = {}

@@ -238,6 +238,23 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(table(spark, ODD), language.learn(docs.limit(0))).collect()} == {"und"}
 
 
+def test_language_learns_from_different_texts(spark):
+    few, many = [f"abab{'b' * i} acab" for i in range(10)], [f"xyxy zyx{'z' * (i % 30)} {'y' * (i // 30)}" for i in range(900)]
+    rows = spark.createDataFrame([(t, "few") for t in few for _ in range(300)] + [(t, "many") for t in many], "text string, lang string").repartition(4)
+    whole = language.learn(rows.distinct(), sample=10**6)
+    got = language.learn(rows, sample=10)
+    assert got.names == ["few", "many"] and language.learn(rows, sample=1).names == ["few", "many"]
+
+    def of(profiles, name):
+        own = profiles.langs == profiles.names.index(name)
+        return sorted(zip(profiles.ranks[own].tolist(), np.repeat(profiles.codes, np.diff(profiles.first))[own].tolist(), strict=True))
+
+    assert of(got, "few") == of(whole, "few") and of(language.learn(rows, sample=900), "many") == of(whole, "many")
+    names = [f"l{i:03}" for i in range(450)]
+    profiles = language.learn(spark.createDataFrame([(chr(0x4E00 + i) * 3, x) for i, x in enumerate(names)], "text string, lang string"))
+    assert profiles.names == names and [profiles.predict(chr(0x4E00 + i))[0] for i in range(450)] == names
+
+
 def test_rank_distance():
     profiles = language.Profiles.of({"x": np.array([1, 2, 3], np.uint64), "y": np.array([3, 9], np.uint64)}, 4)
     assert profiles.distances(np.array([2, 3, 7], np.uint64)).tolist() == [1 + 1 + 4, 4 + 1 + 4]
