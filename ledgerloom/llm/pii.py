@@ -219,7 +219,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     _, added = _spans(docs, id_col, text_col)
     names = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{x}`") for x in names]).alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    row = row.withColumn("stamp", F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int"))
+    row = row.withColumn("stamp", F.xxhash64("text"))
     row = _base(row.join(small_or_not(added), ["doc", "stamp"], "left"))
     by_start = F.array_sort(F.transform(F.concat("base", F.coalesce("more", F.array().cast(_SPANS))), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))

@@ -1,6 +1,6 @@
 """Spans to remove, brought back to the documents that they lie in.
 
-Documents are known by (doc, stamp): the id, with the least 64-bit value for a null, and 31 bits of the text's hash,
+Documents are known by (doc, stamp): the id, with the least 64-bit value for a null, and the 64-bit hash of the text,
 which tell apart rows that share an id.  Rows with equal id and text are alike for every operator here.
 """
 
@@ -18,13 +18,13 @@ from .exchange import PACKED, dealt, heads, pack, part_of, parts, unpack
 from .textkit import U, buffers, mix
 
 NO_ID = -(1 << 63)
-SPAN = np.dtype([("doc", "<i8"), ("stamp", "<i4"), ("start", "<i4"), ("stop", "<i4")])
+SPAN = np.dtype([("doc", "<i8"), ("stamp", "<i8"), ("start", "<i4"), ("stop", "<i4")])
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, stamp, text) of each row; other columns, whatever their names, are left behind."""
     text = F.col(f"`{text_col}`")
-    stamp: Column = F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int")
+    stamp: Column = F.xxhash64(text)
     return docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc"),
         stamp.alias("stamp"),
@@ -80,7 +80,7 @@ def gathered(packed: DataFrame) -> DataFrame:
         if len(spans):
             yield by_document(spans)
 
-    return dealt(packed, reduce, "doc long, stamp int, spans binary", parts(packed.sparkSession))
+    return dealt(packed, reduce, "doc long, stamp long, spans binary", parts(packed.sparkSession))
 
 
 def per_document(ask: np.dtype):

@@ -42,9 +42,9 @@ LARGE = 1 << 14
 #: Symbols of a batch of sorts.
 BATCH = 1 << 19
 
-_CONTEXT = np.dtype([("key", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("stamp", "<i4"), ("first", "<i4"), ("run", "<u2"), ("at", "<u2"), ("many", "u1")])
-_ASK = np.dtype([("doc", "<i8"), ("stamp", "<i4"), ("key", "<u8"), ("first", "<i4"), ("run", "<u2"), ("at", "<u2"), ("open", "u1")])
-_TEXTS = "part int, key long, doc long, stamp int, first int, run int, at int, open int, text binary"
+_CONTEXT = np.dtype([("key", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("stamp", "<i8"), ("first", "<i4"), ("run", "<u2"), ("at", "<u2"), ("many", "u1")])
+_ASK = np.dtype([("doc", "<i8"), ("stamp", "<i8"), ("key", "<u8"), ("first", "<i4"), ("run", "<u2"), ("at", "<u2"), ("open", "u1")])
+_TEXTS = "part int, key long, doc long, stamp long, first int, run int, at int, open int, text binary"
 
 
 def _spans_of(contexts: np.ndarray, length: int) -> np.ndarray:
@@ -127,8 +127,8 @@ def _fetch(length: int, count: int):
             row = np.repeat(np.arange(len(batch)), np.diff(at) // _ASK.itemsize)
             start = offsets[row] + asks["first"]
             texts = [data[a:b].tobytes() for a, b in zip(start, start + asks["run"] + length, strict=True)]
-            numbers = [asks[n].astype(np.int32) for n in ("stamp", "first", "run", "at", "open")]
-            columns = [part_of(asks["key"], count).astype(np.int32), asks["key"].astype(np.int64), asks["doc"], *numbers]
+            numbers = [asks[n].astype(np.int32) for n in ("first", "run", "at", "open")]
+            columns = [part_of(asks["key"], count).astype(np.int32), asks["key"].astype(np.int64), asks["doc"], asks["stamp"], *numbers]
             names = ["part", "key", "doc", "stamp", "first", "run", "at", "open", "text"]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(texts, pa.binary())], names=names)
 
@@ -286,7 +286,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = keyed(docs, id_col, text_col)
     sent = arrow_map(rows, _send_contexts(length, key, count), PACKED)
     matched = dealt(sent, _match_contexts(length, count), PACKED, count)
-    known = saved(dealt(matched, per_document(_ASK), "doc long, stamp int, spans binary, asks binary", count), "contexts")
+    known = saved(dealt(matched, per_document(_ASK), "doc long, stamp long, spans binary, asks binary", count), "contexts")
     texts = rows.repartition(count, "doc", "stamp")
     asked = texts.join(known.where("asks is not null").select("doc", "stamp", "asks"), ["doc", "stamp"])
     fetched = arrow_map(asked.select("text", "asks"), _fetch(length, count), _TEXTS)

@@ -44,9 +44,9 @@ LENGTH, KEY = 50, 16
 #: Batches that one load comes in, and how much larger than the next younger run a run may be and still be merged.
 BATCHES, FANOUT = 3, 4
 
-_ENTRY = np.dtype([("key", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("stamp", "<i4"), ("first", "<i4"), ("run", "<u2")])
-_ASK = np.dtype([("doc", "<i8"), ("stamp", "<i4"), ("first", "<i4"), ("run", "<u2"), ("open", "u1")])
-_WINDOW = np.dtype([("hash", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("stamp", "<i4"), ("start", "<i4"), ("open", "u1")])
+_ENTRY = np.dtype([("key", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("stamp", "<i8"), ("first", "<i4"), ("run", "<u2")])
+_ASK = np.dtype([("doc", "<i8"), ("stamp", "<i8"), ("first", "<i4"), ("run", "<u2"), ("open", "u1")])
+_WINDOW = np.dtype([("hash", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("stamp", "<i8"), ("start", "<i4"), ("open", "u1")])
 
 
 @dataclass
@@ -304,7 +304,7 @@ def deduplicate(
         looked.where("kind = 2").withColumn("kind", F.lit(1)).write.parquet(path)
         index.tables.append(path)
         looked = looked.where("kind < 2")
-    known = saved(dealt(looked, per_document(_ASK), "doc long, stamp int, spans binary, asks binary", count), "windows")
+    known = saved(dealt(looked, per_document(_ASK), "doc long, stamp long, spans binary, asks binary", count), "windows")
     texts = rows.repartition(count, "doc", "stamp")
     older = texts if history is None else texts.unionByName(keyed(history, id_col, text_col).repartition(count, "doc", "stamp"))
     asked = older.join(known.where("asks is not null").select("doc", "stamp", "asks"), ["doc", "stamp"])

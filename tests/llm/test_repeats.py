@@ -119,6 +119,16 @@ def test_suffix_dedup(spark, seed, length, key):
     assert found(suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, rows), length=length, key=key))) == repeats(rows, length)
 
 
+def test_null_ids_with_hashes_that_end_alike(spark):
+    passage = " ".join(f"passage{i}" for i in range(60))
+    end = F.xxhash64("text").bitwiseAND(0x7FFFFFFF)
+    texts = spark.range(300_000).select(F.when(F.col("id") % 2 == 0, F.concat("id", F.lit(" " + passage))).otherwise(F.concat("id", F.lit(" alone"))).alias("text"))
+    pairs = texts.groupBy(end.alias("end")).agg(F.collect_list("text").alias("texts")).where("size(texts) > 1").collect()
+    pair = next(x.texts for x in pairs if len({len(t) > 100 for t in x.texts}) == 2)
+    rows = [(None, t) for t in pair] + [(7, "other " + passage)]
+    assert found(suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, rows), length=200))) == repeats(rows, 200)
+
+
 def test_suffix_dedup_splits_large_sets(spark, monkeypatch):
     rows = corpus(4)
     monkeypatch.setattr(suffix_dedup, "LARGE", 150)
