@@ -6,7 +6,7 @@ adding or subtracting its vector (``Fingerprint.insert``, ``delete``).  The vect
 
 * ``WIDE`` lanes modulo 2**64, expanded from two independent hashes of the whole paragraph.  Equal sums mean equal
   multisets of paragraphs, up to collisions of 1024-bit sums.
-* ``LANES`` lanes modulo 2**16 to which each run of three words of the paragraph adds 1 or -1 at a place chosen by its
+* ``LANES`` lanes modulo 2**32 to which each run of three words of the paragraph adds 1 or -1 at a place chosen by its
   hash.  The cosine of two such sums estimates that of the documents' multisets of word triples, with a standard
   error of about ``LANES`` ** -0.5; it's the *likeness*, not below 0 nor above 1.  Equal fingerprints have likeness 1.
 
@@ -50,7 +50,7 @@ def _paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def _sums(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(wide sums, lane sums) of each document."""
     count = len(offsets) - 1
-    wide, lanes = np.zeros((count, WIDE), np.uint64), np.zeros((count, LANES), np.int16)
+    wide, lanes = np.zeros((count, WIDE), np.uint64), np.zeros((count, LANES), np.int32)
     start, end, doc = _paragraphs(data, offsets)
     if not len(start):
         return wide, lanes
@@ -79,7 +79,7 @@ def _sums(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     sign = 1.0 - 2.0 * ((feature >> U(40)) & U(1)).astype(float)
     place = home * LANES + (feature % U(LANES)).astype(np.int64)
     total = np.bincount(place, weights=sign, minlength=count * LANES).astype(np.int64)
-    return wide, total.astype(np.uint64).astype(np.uint16).view(np.int16).reshape(count, LANES)
+    return wide, total.astype(np.uint64).astype(np.uint32).view(np.int32).reshape(count, LANES)
 
 
 class Fingerprint:
@@ -112,7 +112,7 @@ def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = buffers(pa.array([(x or "").encode() for x in texts], pa.large_binary()))
     found = [_sums(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets)]
     if not found:
-        return np.zeros((0, WIDE), np.uint64), np.zeros((0, LANES), np.int16)
+        return np.zeros((0, WIDE), np.uint64), np.zeros((0, LANES), np.int32)
     return np.concatenate([w for w, _ in found]), np.concatenate([x for _, x in found])
 
 

@@ -129,6 +129,14 @@ def test_fingerprints_are_homomorphic():
     assert abs(near[0] - 0.75) < 0.2 and near[1] < 0.2
 
 
+def test_likeness_of_long_repetitive_texts():
+    prints = multiset_hash.fingerprints(["a " * 40000, "a " * 20000, "b " * 40000])
+    near = multiset_hash.likeness(tuple(x[[0, 0]] for x in prints), tuple(x[[1, 2]] for x in prints))
+    assert near[0] > 0.99 and near[1] < 0.01
+    grown = multiset_hash.Fingerprint("a " * 40000).delete("a " * 40000)
+    assert grown == multiset_hash.Fingerprint()
+
+
 # Toxicity
 
 
