@@ -1,13 +1,14 @@
 """A training-data pipeline over `documents`: five stages, each a table that the next one reads.
 
 1. toxicity: rows that the learned lexicon scores 0.3 or more go.
-2. n-gram Jaccard join: of each group of near copies the row with the smallest id stays; so do rows with a null id.
+2. n-gram Jaccard join: of each group of near copies the row with the smallest id stays, a null id being the largest.
 3. benchmark decontamination: rows in which a ten-word window of a test item occurs go.
 4. PII: found spans are replaced by their kind; `n_chars` follows the new text.
 5. best-fit packing: what is left, in sequences of 1024 tokens.
 
 The first four return the columns of their input.  Stages 1 to 3 drop rows and change none.  Rows that repeat an id
-and text count as one document in stage 2.
+and text count as one document in stage 2, those with a null id only if the text has words; rows that share an id but
+not a text are documents of their own.  They are known by a 64-bit hash of both.
 """
 
 from __future__ import annotations
@@ -28,12 +29,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = saved(ngram_join.near_duplicate_groups(docs).select("doc_id", "component_id"), "groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(small_or_not(gone), "doc_id", "left_anti").select(*docs.columns)
-    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        named = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-        kept = named.unionByName(kept.where("doc_id is null"))
+    row = F.xxhash64(docs["doc_id"], docs["text"])
+    groups = ngram_join.near_duplicate_groups(docs.select(row.alias("row"), "text"), id_col="row")
+    groups = saved(groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")), "groups")
+    linked = groups.where("row <> component").distinct()
+    linked = saved(linked.unionByName(linked.select(F.col("component").alias("row"), "component").distinct()), "linked")
+    named = linked.join(docs.select(row.alias("row"), "doc_id").distinct(), "row")
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"))
+    gone = saved(linked.join(first.select("first.row"), "row", "left_anti").select(F.col("row").alias("gone")), "gone")
+    kept = docs.join(small_or_not(gone), row == gone["gone"], "left_anti")
+    if groups.groupBy("row").count().where("count > 1").limit(1).count():
+        known = F.coalesce(F.col("doc_id").isNotNull() | F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+        kept = kept.where(known).dropDuplicates(["doc_id", "text"]).unionByName(kept.where(~known))
     return kept
 
 

@@ -425,6 +425,17 @@ def test_pipeline_stages(spark, sf):
             taken = spark.createDataFrame(rows, docs.schema)
 
 
+def test_near_copies_go_row_by_row(spark, sf):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = lambda k: text(k) + " end"
+    rows = [(1, text(1)), (2, near(1)), (2, text(2)), (2, text(3)), (3, text(4)), (3, near(4)), (None, text(5)), (None, near(5)), (None, text(5)), (None, text(6))]
+    rows += [(None, near(1)), (None, None), (None, None), (4, text(7)), (4, text(7))]
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), sf).collect()]
+    for k, ids in ((1, [1]), (2, [2]), (3, [2]), (4, [3]), (5, [None]), (6, [None]), (7, [4])):
+        assert [i for i, t in got if t in (text(k), near(k))] == ids
+    assert len(got) == 9 and got.count((None, None)) == 2
+
+
 def test_pipeline_on_odd_rows(spark, sf, tmp_path):
     rows = [(i, t, "en", "s", len(t or "")) for i, t in ODD] + [(8, None, None, None, None)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
