@@ -31,9 +31,11 @@ _local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where unset, as in tests, a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where unset, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _local:
             _local.append("file://" + tempfile.mkdtemp(prefix="ledgerloom-"))
         base = _local[0]
@@ -48,7 +50,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends here, and a lost executor loses nothing."""
     path = table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``saved`` that no later plan reads."""
+    for table in tables:
+        if path := getattr(table, "saved_path", None):
+            jvm, conf = table.sparkSession._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            place = jvm.org.apache.hadoop.fs.Path(path).getParent()
+            place.getFileSystem(conf).delete(place, True)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -12,11 +12,15 @@ in hash order, classes that link share at least l of the first p + l - 1 element
    it need not be looked up under the l - 1 most frequent ones.  Each class takes the l of 1, 2, 4, ... or its whole
    set that makes the estimated candidates plus the elements to send fewest.  Two classes meet at the lesser l: of
    equals both must look the element up, else the one with the lesser l does.
-3. Each class is first compared with one class that holds its elements and many frequent ones besides (the hub of the
-   lists it stands in).  What links to one hub is connected, so a group of near copies costs a star of comparisons.
-4. Only pairs that no hub connects are then looked for in the lists.  They are counted by shared elements; that count
+3. Each class is first compared with one class of a like size that holds its elements (the hub of the lists it stands
+   in): the one with many frequent elements in the first round, one drawn by hash afterwards.  What links connect is one
+   group; the next round looks for a hub outside the own group, and rounds go on while they find links.  So a group of
+   near copies costs a few stars of comparisons, not its pairs.
+4. Only pairs between two groups are then looked for in the lists.  They are counted by shared elements; that count
    bounds the intersection from above, and pairs whose bound is too low are never verified.
-5. What is left is verified on the whole sets.  Links become components by distributed star contraction.
+5. What is left is verified on the whole sets: of each group first one pair with most shared elements, then two, four
+   and so on, while they find links and what they connect drops out; then all pairs that remain.  Links become components by distributed star
+   contraction.
 
 No step holds more of one list than its classes, and no step writes the pairs within a connected group.  Component ids
 are exact up to collisions of 64-bit hashes.
@@ -36,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .exchange import FLUSH, PACKED, arrow_map, dealt, heads, pack, part_of, parts, saved, small_batches, small_or_not, unpack
+from .exchange import FLUSH, PACKED, arrow_map, dealt, discard, heads, pack, part_of, parts, saved, small_batches, small_or_not, unpack
 from .textkit import LOWER, Hasher, U, buffers, chunks, mix, stream, words
 
 WORDS, PERCENT = 5, 75
@@ -44,12 +48,17 @@ WORDS, PERCENT = 5, 75
 WHOLE = 1 << 30
 #: Lists up to this size are paired as they are; of larger ones only what lies outside the largest group is.
 SHORT = 64
+#: Rounds of comparisons with hubs go on while one in so many finds a link and so many find none.
+RARE, LONE = 64, 1000
+#: Candidates are compared at once if there are so few, or fewer than so many times those of a round, or if a round
+#: with so many for each group finds no link.
+FEW, FAIR, MANY = 4096, 2, 8
 
 _PLACE = stream(23, 64) | U(1)
 _TOKEN = np.dtype([("h", "<u8"), ("c", "<u8")])
 _META = np.dtype([("doc", "<i8"), ("c", "<u8"), ("n", "<i4")])
 _SHARED = np.dtype([("c", "<u8"), ("h", "<u8"), ("df", "<u4")])
-_SCORED = np.dtype([("h", "<u8"), ("c", "<u8"), ("n", "<i4"), ("score", "<f8")])
+_SCORED = np.dtype([("h", "<u8"), ("c", "<u8"), ("group", "<u8"), ("n", "<i4"), ("score", "<f8")])
 _HUB = np.dtype([("c", "<u8"), ("hub", "<u8"), ("n", "<i4")])
 _LONGER = np.dtype([("h", "<u8"), ("c", "<u8"), ("group", "<u8"), ("n", "<i4"), ("level", "<i4"), ("rank", "<i4"), ("df", "<u4")])
 _MEMBER = np.dtype([("h", "<u8"), ("c", "<u8"), ("n", "<i4"), ("level", "<i4"), ("own", "<i4"), ("drop", "<i4"), ("looks", "u1"), ("group", "<u8")])
@@ -256,26 +265,39 @@ def _similar_size(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(a, b).astype(np.int64) >= percent * np.maximum(a, b).astype(np.int64)
 
 
-def _hubs(percent: int, count: int):
-    """Of each list the class with the most frequent elements, to the others of a like size."""
+def _hubs(percent: int, count: int, turn: int):
+    """Of each list and size the class with the most frequent elements, later one drawn by hash; to those of other groups.
+
+    The classes of the hub's own group get the best one outside of it.
+    """
 
     def hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (rows,) = unpack(batches, _SCORED)
         if not len(rows):
             return
-        rows = rows[np.lexsort((rows["c"], rows["score"], rows["h"]))]
-        last = np.append(rows["h"][1:] != rows["h"][:-1], True)
-        hub = rows[last][np.cumsum(heads(rows["h"])) - 1]
-        take = (hub["c"] != rows["c"]) & _similar_size(hub["n"], rows["n"], percent)
+        size = np.floor(np.log(rows["n"]) / np.log(100 / percent) + turn % 2 / 2) if percent < 100 else rows["n"]
+        rank = mix(rows["c"] ^ U(turn)) if turn else rows["score"]
+        order = np.lexsort((rows["c"], rank, size, rows["h"]))
+        rows, size = rows[order], size[order]
+        new = heads(rows["h"], size)
+        group = np.cumsum(new) - 1
+        stop = np.append(np.flatnonzero(new)[1:], len(rows))
+        hub = (stop - 1)[group]
+        # The last row of each list that is not of the hub's group.
+        at = np.where(rows["group"] != rows["group"][hub], np.arange(len(rows)), -1)
+        other = np.maximum.reduceat(at, np.flatnonzero(new))[group]
+        to = np.where(at >= 0, hub, other)
+        take = to >= 0
+        take &= _similar_size(rows["n"][to], rows["n"], percent)
         out = np.zeros(int(take.sum()), _HUB)
-        out["c"], out["hub"], out["n"] = rows["c"][take], hub["c"][take], rows["n"][take]
+        out["c"], out["hub"], out["n"] = rows["c"][take], rows["c"][to[take]], rows["n"][take]
         yield from pack(out, part_of(out["c"], count))
 
     return hubs
 
 
-def _best_hub(percent: int):
-    """The hub that a class shares most lists with, if they are a fair part of its prefix."""
+def _best_hub(percent: int, least: int):
+    """The hub that a class shares most lists with, if they are at least one in ``least`` of its prefix."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (rows,) = unpack(batches, _HUB)
@@ -287,8 +309,9 @@ def _best_hub(percent: int):
         rows = rows[new]
         order = np.lexsort((rows["hub"], -size, rows["c"]))
         rows, size = rows[order], size[order]
-        take = heads(rows["c"]) & (5 * size >= base(rows["n"].astype(np.int64), percent))
-        yield pa.RecordBatch.from_arrays([pa.array(rows["c"][take].astype(np.int64)), pa.array(rows["hub"][take].astype(np.int64))], names=["x", "y"])
+        take = heads(rows["c"]) & (least * size >= base(rows["n"].astype(np.int64), percent))
+        columns = [pa.array(rows["c"][take].astype(np.int64)), pa.array(rows["hub"][take].astype(np.int64)), pa.array(size[take].astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, names=["x", "y", "shared"])
 
     return best
 
@@ -454,7 +477,7 @@ def _bounded(percent: int):
         rest = np.maximum(nx - prefix(nx, level, percent), ny - prefix(ny, level, percent))
         least = (percent * (nx + ny) + 99 + percent) // (100 + percent)
         pairs = pairs[pairs["shared"] + pairs["drop"] + rest >= least]
-        yield pa.RecordBatch.from_arrays([pa.array(pairs["x"].astype(np.int64)), pa.array(pairs["y"].astype(np.int64))], names=["x", "y"])
+        yield pa.RecordBatch.from_arrays([pa.array(pairs["x"].astype(np.int64)), pa.array(pairs["y"].astype(np.int64)), pa.array(pairs["shared"])], names=["x", "y", "shared"])
 
     return bounded
 
@@ -506,35 +529,97 @@ class _Join:
         """The text of the first document of each class of ``rows``, which has ``doc`` besides its other columns."""
         return self.docs.join(small_or_not(rows), "doc")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (x, y) of classes that link."""
+    def sets_of(self, pairs: DataFrame) -> DataFrame:
+        """(c, elements) of the classes in pairs (x, y)."""
         wanted = pairs.select(F.col("x").alias("c")).union(pairs.select("y")).distinct()
         wanted = saved(self.classes.select("doc", "c").join(wanted, "c"), "wanted")
         sets = arrow_map(self.texts_of(wanted).select("text", "c"), _give_sets(self.size), "c long, elements binary").dropDuplicates(["c"])
         sets = saved(sets, "sets")
-        x, y = sets.select(F.col("c").alias("x"), F.col("elements").alias("ex")), sets.select(F.col("c").alias("y"), F.col("elements").alias("ey"))
-        return saved(arrow_map(pairs.join(x, "x").join(y, "y").select("x", "y", "ex", "ey"), _compare(self.percent), "x long, y long"), "links")
+        discard(wanted)
+        return sets
 
-    def stars(self) -> DataFrame:
-        hubs = dealt(self.packed(self.tokens, _SCORED, "h"), _hubs(self.percent, self.count), PACKED, self.count)
-        return self.verified(saved(dealt(hubs, _best_hub(self.percent), "x long, y long", self.count), "stars"))
-
-    def others(self, stars: DataFrame) -> DataFrame:
-        """Links between classes that ``stars`` doesn't connect directly."""
-        group = small_or_not(stars.select(F.col("x").alias("c"), F.col("y").alias("hub")))
-
-        def grouped(rows: DataFrame) -> DataFrame:
-            return rows.join(group, "c", "left").withColumn("group", F.coalesce("hub", "c"))
-
-        longer = saved(grouped(self.classes.where("level > 1")).select("doc", "c", "level", "group"), "longer")
+    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Those of the pairs (x, y) of classes that link."""
+        x, y = sets.select(F.col("c").alias("x"), F.col("elements").alias("ex")), sets.select(F.col("c").alias("y"), F.col("elements").alias("ey"))
+        return saved(arrow_map(pairs.select("x", "y").join(x, "x").join(y, "y").select("x", "y", "ex", "ey"), _compare(self.percent), "x long, y long"), "links")
+
+    def grouped(self, rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """Rows (c, ...) with the group of their class; classes without links are groups of their own."""
+        if roots is None:
+            return rows.withColumn("group", F.col("c"))
+        return rows.join(roots, "c", "left").withColumn("group", F.coalesce("root", "c")).drop("root")
+
+    def stars(self) -> tuple[DataFrame, DataFrame]:
+        """Links with hubs, round after round while a fair part of what is compared links; and the groups they form."""
+        links, roots, turn = None, None, 0
+        while True:
+            scored = self.packed(self.grouped(self.tokens, roots), _SCORED, "h")
+            hubs = dealt(scored, _hubs(self.percent, self.count, turn), PACKED, self.count)
+            pairs = dealt(hubs, _best_hub(self.percent, 2 if turn else 5), "x long, y long, shared int", self.count)
+            if roots is not None:
+                pairs = _nearest(self.grouped(pairs.withColumnRenamed("x", "c"), roots).withColumnsRenamed({"c": "x", "group": "gx"}), ["gx"], 1 << turn)
+            pairs = saved(pairs, "stars")
+            sets = self.sets_of(pairs)
+            found = self.verified(pairs, sets)
+            tried, new = pairs.count(), found.count()
+            discard(pairs, sets)
+            if links is None or new:
+                links = found if links is None else links.unionByName(found)
+                roots = _roots(links)
+            if new * RARE < tried or tried - new < LONE:
+                return links, roots
+            turn += 1
+
+    def candidates(self, roots: DataFrame) -> DataFrame:
+        """(x, y, shared): pairs between two groups that may link."""
+        group = small_or_not(roots)
+        longer = saved(self.grouped(self.classes.where("level > 1"), group).select("doc", "c", "level", "group"), "longer")
         sent = arrow_map(self.texts_of(longer).select("text", "c", "level", "group"), _send_longer(self.size, self.percent, self.count), PACKED)
         shared = dealt(sent, _share_longer(self.count), PACKED, self.count)
         far = dealt(shared, _look(self.percent, self.count), PACKED, self.count)
         near = self.tokens.select("c", "h", "n", "level", F.lit(1).alias("own"), F.lit(0).alias("drop"), F.when(F.col("level") == 1, 1).otherwise(0).alias("looks"))
-        near = self.packed(grouped(near), _MEMBER, "h")
+        near = self.packed(self.grouped(near, group), _MEMBER, "h")
         pairs = [dealt(lists, _pair_up(self.percent, self.count), PACKED, self.count) for lists in (near, far)]
-        pairs = pairs[0].unionByName(pairs[1])
-        return self.verified(saved(dealt(pairs, _bounded(self.percent), "x long, y long", self.count), "pairs"))
+        pairs = saved(dealt(pairs[0].unionByName(pairs[1]), _bounded(self.percent), "x long, y long, shared int", self.count), "pairs")
+        discard(longer)
+        return pairs
+
+    def others(self, links: DataFrame, roots: DataFrame) -> DataFrame:
+        """``links`` and what links the groups that they form."""
+        pairs, each = self.candidates(roots), 1
+        left = pairs.count()
+        sets = self.sets_of(pairs) if left else None
+        while left:
+            if left <= FEW:
+                return links.unionByName(self.verified(pairs, sets))
+            group = small_or_not(roots)
+            x, y = (group.select(F.col("c").alias(a), F.col("root").alias(f"g{a}")) for a in "xy")
+            apart = pairs.join(x, "x", "left").join(y, "y", "left").withColumns({"gx": F.coalesce("gx", "x"), "gy": F.coalesce("gy", "y")}).where("gx <> gy")
+            best = saved(_nearest(apart, ["gx", "gy"], each), "nearest")
+            found = self.verified(best, sets)
+            tried, new, before = best.count(), found.count(), pairs
+            if new:
+                links = links.unionByName(found)
+                roots = _roots(links)
+            pairs = saved(apart.select("x", "y", "shared").join(best, ["x", "y"], "left_anti"), "pairs")
+            left = pairs.count()
+            discard(before, best)
+            if left < FAIR * tried or not new and each >= MANY:
+                return links.unionByName(self.verified(pairs, sets))
+            each *= 2
+        return links
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    return components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("c"), "root")
+
+
+def _nearest(pairs: DataFrame, groups: list[str], each: int) -> DataFrame:
+    """(x, y): of each group the pairs with most shared elements, about ``each``; by sums in each task, not a sort."""
+    sides = [pairs.select(F.col(g).alias("g"), "x", "y", "shared") for g in groups]
+    rows = sides[0].unionByName(sides[1]) if len(sides) > 1 else sides[0]
+    best = rows.groupBy("g", F.pmod(F.xxhash64("x", "y"), F.lit(each)).alias("nth")).agg(F.max(F.struct("shared", "x", "y")).alias("best"))
+    return best.select("best.x", "best.y").distinct()
 
 
 def near_duplicate_groups(
@@ -547,9 +632,8 @@ def near_duplicate_groups(
     1, 2, 4, ... or WHOLE gives the same groups.
     """
     join = _Join(docs, id_col, text_col, size, percent, choose)
-    stars = join.stars()
-    links = stars.unionByName(join.others(stars))
-    roots = components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "c")
+    links = join.others(*join.stars())
+    roots = _roots(links)
     ends = links.select(F.col("x").alias("c")).union(links.select("y")).groupBy("c").agg(F.count("*").alias("n_links"))
     grouped = saved(join.classes.select("c", "doc").join(roots.join(ends, "c"), "c"), "grouped")
     least = grouped.groupBy("root").agg(F.min("doc").alias("least"))

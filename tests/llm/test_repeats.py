@@ -195,6 +195,63 @@ def test_jaccard_levels_do_not_matter(spark, levels):
     assert got == sorted(groups(rows, 2), key=repr)
 
 
+def near_copies(size):
+    """Copies of one text, each with its own edits, a third of them so many that they link with few others."""
+    rnd = random.Random(size)
+    base = [f"word{k}" for k in range(150)]
+    rows = []
+    for i in range(size):
+        copy = list(base)
+        for _ in range(rnd.choice((1, 2, 4))):
+            copy[rnd.randrange(len(copy))] = f"edit{rnd.randrange(10**9)}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("lone", [0, 1000])
+def test_comparisons_grow_with_the_group_not_its_square(spark, monkeypatch, lone):
+    monkeypatch.setattr(ngram_join, "LONE", lone)
+    monkeypatch.setattr(ngram_join, "FEW", 50)
+    compared, verified = [], ngram_join._Join.verified
+
+    def counted(self, pairs, sets):
+        compared.append(pairs.count())
+        return verified(self, pairs, sets)
+
+    monkeypatch.setattr(ngram_join._Join, "verified", counted)
+    for size in (200, 400, 800):
+        rows = near_copies(size)
+        compared.clear()
+        got = found(ngram_join.near_duplicate_groups(table(spark, rows)).drop("n_links"))
+        assert sum(compared) < 16 * size
+        if size < 800:
+            assert got == groups(rows, 5)
+        else:
+            assert {c for _, _, c in got} == {0}
+
+
+def test_groups_that_do_not_link_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LONE", 0)
+    monkeypatch.setattr(ngram_join, "FEW", 10)
+    rnd = random.Random(3)
+    shared, rows = [f"s{k}" for k in range(100)], []
+    for g in range(6):
+        own = shared + [f"g{g}w{k}" for k in range(30)]
+        for i in range(25):
+            copy = list(own)
+            for _ in range(i % 4):
+                copy[rnd.randrange(len(copy))] = f"e{rnd.randrange(10**9)}"
+            rows.append((100 * g + i, " ".join(copy)))
+    assert found(ngram_join.near_duplicate_groups(table(spark, rows)).drop("n_links")) == groups(rows, 5)
+
+
+def test_very_long_texts(spark):
+    words = [f"w{k % 9973}x{k}" for k in range(120_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:100_000])), (3, " ".join(words[:80_000])), (4, "w " * 150_000), (5, "w " * 20)]
+    assert found(ngram_join.near_duplicate_groups(table(spark, rows)).drop("n_links")) == groups(rows, 5)
+    assert found(window_index.digest(window_index.deduplicate(table(spark, rows[:3])))) == windows(rows[:3], 50)
+
+
 def test_level_grows_with_frequent_elements():
     assert ngram_join.choose_level(np.array([2, 2]), 100, 75) == 1
     assert 1 < ngram_join.choose_level(np.array([5000] * 3), 400, 75) < ngram_join.WHOLE
