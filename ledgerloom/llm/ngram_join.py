@@ -13,13 +13,13 @@ in hash order, classes that link share at least l of the first p + l - 1 element
    set that makes the estimated candidates plus the elements to send fewest.  Two classes meet at the lesser l: of
    equals both must look the element up, else the one with the lesser l does.
 3. Each class is first compared with one class of a like size that holds its elements (the hub of the lists it stands
-   in): the one with many frequent elements in the first round, one drawn by hash afterwards.  What links connect is one
-   group; the next round looks for a hub outside the own group, and rounds go on while they find links.  So a group of
-   near copies costs a few stars of comparisons, not its pairs.
+   in): the one with many frequent elements, in later rounds of a part drawn by hash.  What links connect is one
+   group; the next round looks for a hub outside the own group.  So a group of near copies costs a few stars of
+   comparisons, not its pairs.
 4. Only pairs between two groups are then looked for in the lists.  They are counted by shared elements; that count
    bounds the intersection from above, and pairs whose bound is too low are never verified.
-5. What is left is verified on the whole sets: of each group first one pair with most shared elements, then two, four
-   and so on, while they find links and what they connect drops out; then all pairs that remain.  Links become components by distributed star
+5. What is left is verified on the whole sets: of each group some pairs with most shared elements, then more, while
+   they find links and what they connect drops out; then all pairs that remain.  Links become components by distributed star
    contraction.
 
 No step holds more of one list than its classes, and no step writes the pairs within a connected group.  Component ids
@@ -48,11 +48,10 @@ WORDS, PERCENT = 5, 75
 WHOLE = 1 << 30
 #: Lists up to this size are paired as they are; of larger ones only what lies outside the largest group is.
 SHORT = 64
-#: Rounds of comparisons with hubs go on while one in so many finds a link and so many find none.
-RARE, LONE = 64, 1000
-#: Candidates are compared at once if there are so few, or fewer than so many times those of a round, or if a round
-#: with so many for each group finds no link.
-FEW, FAIR, MANY = 4096, 2, 8
+#: Rounds of comparisons with hubs, which end when fewer classes than ``LONE`` find no link.
+TURNS, LONE = 2, 1000
+#: Candidates are compared at once if there are so few, or fewer than so many times those of the round before.
+FEW, FAIR = 4096, 2
 
 _PLACE = stream(23, 64) | U(1)
 _TOKEN = np.dtype([("h", "<u8"), ("c", "<u8")])
@@ -62,7 +61,7 @@ _SCORED = np.dtype([("h", "<u8"), ("c", "<u8"), ("group", "<u8"), ("n", "<i4"),
 _HUB = np.dtype([("c", "<u8"), ("hub", "<u8"), ("n", "<i4")])
 _LONGER = np.dtype([("h", "<u8"), ("c", "<u8"), ("group", "<u8"), ("n", "<i4"), ("level", "<i4"), ("rank", "<i4"), ("df", "<u4")])
 _MEMBER = np.dtype([("h", "<u8"), ("c", "<u8"), ("n", "<i4"), ("level", "<i4"), ("own", "<i4"), ("drop", "<i4"), ("looks", "u1"), ("group", "<u8")])
-_PAIR = np.dtype([("x", "<u8"), ("y", "<u8"), ("nx", "<i4"), ("ny", "<i4"), ("level", "<i4"), ("drop", "<i4"), ("shared", "<i4")])
+_PAIR = np.dtype([("x", "<u8"), ("y", "<u8"), ("gx", "<u8"), ("gy", "<u8"), ("nx", "<i4"), ("ny", "<i4"), ("level", "<i4"), ("drop", "<i4"), ("shared", "<i4")])
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -266,7 +265,7 @@ def _similar_size(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _hubs(percent: int, count: int, turn: int):
-    """Of each list and size the class with the most frequent elements, later one drawn by hash; to those of other groups.
+    """Of each list and size the class with the most frequent elements, later of a fourth drawn by hash; to those of other groups.
 
     The classes of the hub's own group get the best one outside of it.
     """
@@ -276,8 +275,8 @@ def _hubs(percent: int, count: int, turn: int):
         if not len(rows):
             return
         size = np.floor(np.log(rows["n"]) / np.log(100 / percent) + turn % 2 / 2) if percent < 100 else rows["n"]
-        rank = mix(rows["c"] ^ U(turn)) if turn else rows["score"]
-        order = np.lexsort((rows["c"], rank, size, rows["h"]))
+        drawn = mix(rows["c"] ^ U(turn)) % U(4) == 0 if turn else np.zeros(len(rows), bool)
+        order = np.lexsort((rows["c"], rows["score"], drawn, size, rows["h"]))
         rows, size = rows[order], size[order]
         new = heads(rows["h"], size)
         group = np.cumsum(new) - 1
@@ -310,8 +309,7 @@ def _best_hub(percent: int, least: int):
         order = np.lexsort((rows["hub"], -size, rows["c"]))
         rows, size = rows[order], size[order]
         take = heads(rows["c"]) & (least * size >= base(rows["n"].astype(np.int64), percent))
-        columns = [pa.array(rows["c"][take].astype(np.int64)), pa.array(rows["hub"][take].astype(np.int64)), pa.array(size[take].astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(columns, names=["x", "y", "shared"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows["c"][take].astype(np.int64)), pa.array(rows["hub"][take].astype(np.int64))], names=["x", "y"])
 
     return best
 
@@ -386,6 +384,7 @@ def _pairs_of(rows: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> n
     out = np.zeros(len(x), _PAIR)
     swap = x["c"] > y["c"]
     out["x"], out["y"] = np.where(swap, y["c"], x["c"]), np.where(swap, x["c"], y["c"])
+    out["gx"], out["gy"] = np.where(swap, y["group"], x["group"]), np.where(swap, x["group"], y["group"])
     out["nx"], out["ny"] = np.where(swap, y["n"], x["n"]), np.where(swap, x["n"], y["n"])
     out["level"], out["drop"] = lower, np.maximum(np.where(xs, x["drop"], 0), np.where(ys, y["drop"], 0))
     out["shared"] = 1
@@ -477,7 +476,7 @@ def _bounded(percent: int):
         rest = np.maximum(nx - prefix(nx, level, percent), ny - prefix(ny, level, percent))
         least = (percent * (nx + ny) + 99 + percent) // (100 + percent)
         pairs = pairs[pairs["shared"] + pairs["drop"] + rest >= least]
-        yield pa.RecordBatch.from_arrays([pa.array(pairs["x"].astype(np.int64)), pa.array(pairs["y"].astype(np.int64)), pa.array(pairs["shared"])], names=["x", "y", "shared"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(pairs[x].astype(np.int64)) for x in ("x", "y", "gx", "gy")), pa.array(pairs["shared"])], names=["x", "y", "gx", "gy", "shared"])
 
     return bounded
 
@@ -555,9 +554,7 @@ class _Join:
         while True:
             scored = self.packed(self.grouped(self.tokens, roots), _SCORED, "h")
             hubs = dealt(scored, _hubs(self.percent, self.count, turn), PACKED, self.count)
-            pairs = dealt(hubs, _best_hub(self.percent, 2 if turn else 5), "x long, y long, shared int", self.count)
-            if roots is not None:
-                pairs = _nearest(self.grouped(pairs.withColumnRenamed("x", "c"), roots).withColumnsRenamed({"c": "x", "group": "gx"}), ["gx"], 1 << turn)
+            pairs = dealt(hubs, _best_hub(self.percent, 2 if turn else 5), "x long, y long", self.count)
             pairs = saved(pairs, "stars")
             sets = self.sets_of(pairs)
             found = self.verified(pairs, sets)
@@ -566,12 +563,12 @@ class _Join:
             if links is None or new:
                 links = found if links is None else links.unionByName(found)
                 roots = _roots(links)
-            if new * RARE < tried or tried - new < LONE:
-                return links, roots
             turn += 1
+            if tried - new < LONE or turn == TURNS:
+                return links, roots
 
     def candidates(self, roots: DataFrame) -> DataFrame:
-        """(x, y, shared): pairs between two groups that may link."""
+        """(x, y, gx, gy, shared): pairs that may link, and the two groups that they are in."""
         group = small_or_not(roots)
         longer = saved(self.grouped(self.classes.where("level > 1"), group).select("doc", "c", "level", "group"), "longer")
         sent = arrow_map(self.texts_of(longer).select("text", "c", "level", "group"), _send_longer(self.size, self.percent, self.count), PACKED)
@@ -580,44 +577,39 @@ class _Join:
         near = self.tokens.select("c", "h", "n", "level", F.lit(1).alias("own"), F.lit(0).alias("drop"), F.when(F.col("level") == 1, 1).otherwise(0).alias("looks"))
         near = self.packed(self.grouped(near, group), _MEMBER, "h")
         pairs = [dealt(lists, _pair_up(self.percent, self.count), PACKED, self.count) for lists in (near, far)]
-        pairs = saved(dealt(pairs[0].unionByName(pairs[1]), _bounded(self.percent), "x long, y long, shared int", self.count), "pairs")
+        pairs = saved(dealt(pairs[0].unionByName(pairs[1]), _bounded(self.percent), "x long, y long, gx long, gy long, shared int", self.count), "pairs")
         discard(longer)
         return pairs
 
     def others(self, links: DataFrame, roots: DataFrame) -> DataFrame:
         """``links`` and what links the groups that they form."""
-        pairs, each = self.candidates(roots), 1
+        pairs, each = self.candidates(roots), 4
         left = pairs.count()
         sets = self.sets_of(pairs) if left else None
-        while left:
-            if left <= FEW:
-                return links.unionByName(self.verified(pairs, sets))
-            group = small_or_not(roots)
-            x, y = (group.select(F.col("c").alias(a), F.col("root").alias(f"g{a}")) for a in "xy")
-            apart = pairs.join(x, "x", "left").join(y, "y", "left").withColumns({"gx": F.coalesce("gx", "x"), "gy": F.coalesce("gy", "y")}).where("gx <> gy")
-            best = saved(_nearest(apart, ["gx", "gy"], each), "nearest")
+        while left > FEW:
+            best = saved(_nearest(pairs, each), "nearest")
             found = self.verified(best, sets)
-            tried, new, before = best.count(), found.count(), pairs
-            if new:
-                links = links.unionByName(found)
-                roots = _roots(links)
-            pairs = saved(apart.select("x", "y", "shared").join(best, ["x", "y"], "left_anti"), "pairs")
-            left = pairs.count()
-            discard(before, best)
-            if left < FAIR * tried or not new and each >= MANY:
-                return links.unionByName(self.verified(pairs, sets))
-            each *= 2
-        return links
+            links, tried, new = links.unionByName(found), best.count(), found.count()
+            group = small_or_not(_roots(links))
+            x, y = (group.select(F.col("c").alias(f"g{a}"), F.col("root").alias(f"r{a}")) for a in "xy")
+            ends = pairs.select("gx", "gy").distinct().join(x, "gx", "left").join(y, "gy", "left")
+            apart = saved(ends.withColumns({"rx": F.coalesce("rx", "gx"), "ry": F.coalesce("ry", "gy")}).where("rx <> ry"), "apart")
+            rest = pairs.join(apart, ["gx", "gy"]).join(best, ["x", "y"], "left_anti")
+            rest = saved(rest.select("x", "y", F.col("rx").alias("gx"), F.col("ry").alias("gy"), "shared"), "pairs")
+            discard(pairs, best, apart)
+            pairs, left, each = rest, rest.count(), 4 * each
+            if not new or left < FAIR * tried:
+                break
+        return links.unionByName(self.verified(pairs, sets)) if left else links
 
 
 def _roots(links: DataFrame) -> DataFrame:
     return components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("c"), "root")
 
 
-def _nearest(pairs: DataFrame, groups: list[str], each: int) -> DataFrame:
-    """(x, y): of each group the pairs with most shared elements, about ``each``; by sums in each task, not a sort."""
-    sides = [pairs.select(F.col(g).alias("g"), "x", "y", "shared") for g in groups]
-    rows = sides[0].unionByName(sides[1]) if len(sides) > 1 else sides[0]
+def _nearest(pairs: DataFrame, each: int) -> DataFrame:
+    """(x, y): of each group the pairs with most shared elements, about ``each``; by maxima in each task, not a sort."""
+    rows = pairs.select(F.col("gx").alias("g"), "x", "y", "shared").unionByName(pairs.select(F.col("gy").alias("g"), "x", "y", "shared"))
     best = rows.groupBy("g", F.pmod(F.xxhash64("x", "y"), F.lit(each)).alias("nth")).agg(F.max(F.struct("shared", "x", "y")).alias("best"))
     return best.select("best.x", "best.y").distinct()
 
