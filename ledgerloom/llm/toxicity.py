@@ -22,20 +22,23 @@ gives an empty one.  Other columns are not read, whatever their names.
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import arrow_map, kept, small_batches
 
 THRESHOLD = 0.3
-#: Labelled rows to learn from, about; candidates and entries at most.
-SAMPLE, CANDIDATES, ENTRIES = 12_000, 4000, 300
+#: Labelled rows to learn from, about.
+SAMPLE = 12_000
 #: Lengths of word beginnings that are candidates, and the longest word taken whole.
 SHORTEST, LONGEST = 3, 12
 #: Least log-ratio and least G-statistic of an entry; share of the toxic documents below which it must add new ones.
@@ -133,7 +136,18 @@ class Matcher:
                 excused.append((start, end))
             elif start not in found or found[start][0] < size:
                 found[start] = (size, entry, weight)
-        return [(s, e, w) for s, (n, e, w) in found.items() if not any(a <= s and s + n - 1 <= b for a, b in excused)]
+        if not excused:
+            return [(s, e, w) for s, (_, e, w) in found.items()]
+        # Both in order of their places: a match is excused by the phrase that began before it and reaches furthest.
+        excused.sort()
+        out, at, reach = [], 0, -1
+        for s, (n, e, w) in sorted(found.items()):
+            while at < len(excused) and excused[at][0] <= s:
+                reach = max(reach, excused[at][1])
+                at += 1
+            if s + n - 1 > reach:
+                out.append((s, e, w))
+        return out
 
 
 def _words(folded: str) -> int:
@@ -173,19 +187,19 @@ def _found(lexicon: dict[str, float], exceptions: tuple[str, ...]):
     return found
 
 
-def _statistic(t: float, c: float, toxic: int, clean: int) -> float:
+def _statistic(t: Column, c: Column, toxic: int, clean: int) -> Column:
     """G of the two shares' difference."""
     total, both = toxic + clean, t + c
 
-    def part(seen: float, expected: float) -> float:
-        return seen * np.log(seen / expected) if seen else 0.0
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
 
     cells = ((t, toxic, both), (c, clean, both), (toxic - t, toxic, total - both), (clean - c, clean, total - both))
-    return 2.0 * sum(part(seen, side * row / total) for seen, side, row in cells)
+    return 2.0 * reduce(add, (part(seen, side * row / total) for seen, side, row in cells))
 
 
-def _ratio(t: float, c: float, toxic: int, clean: int) -> float:
-    return float(np.log((t + 0.5) / (toxic + 1.0)) - np.log((c + 0.5) / (clean + 1.0)))
+def _ratio(t: Column, c: Column, toxic: int, clean: int) -> Column:
+    return F.log((t + 0.5) / (toxic + 1.0)) - F.log((c + 0.5) / (clean + 1.0))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -224,25 +238,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             return Model()
         counted = arrow_map(rows.select("text", (F.col("toxic") != 0).cast("int").alias("toxic")), _candidates, "entry string, toxic long, clean long")
         counted = counted.groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-        likely = F.col("t") * clean > 4 * F.col("c") * toxic
-        best = counted.where((F.col("t") >= 3) & likely).orderBy(F.desc(F.col("t") - F.col("c") * (toxic / clean)), F.desc(F.length("entry")), "entry").limit(CANDIDATES).collect()
-        ranked = []
-        for r in best:
-            g, ratio = _statistic(r["t"], r["c"], toxic, clean), _ratio(r["t"], r["c"], toxic, clean)
-            if g >= STATISTIC and ratio >= RATIO:
-                ranked.append((-round(g, 6), -len(r["entry"]), r["entry"], ratio, r["t"]))
-        ranked.sort()
+        t, c = F.col("t"), F.col("c")
+        ranked = counted.where(t >= 3).select("entry", "t", F.round(_statistic(t, c, toxic, clean), 6).alias("g"), _ratio(t, c, toxic, clean).alias("ratio")).where((F.col("g") >= STATISTIC) & (F.col("ratio") >= RATIO))
         learned: dict[str, tuple[float, int]] = {}
-        for _, _, entry, ratio, t in ranked:
-            if not any(entry.startswith(x) or x.startswith(entry) for x in learned):
-                learned[entry] = (ratio, t)
+        begun: set[str] = set()
+        for r in sorted(ranked.collect(), key=lambda r: (-r["g"], -len(r["entry"]), r["entry"])):
+            beginnings = [r["entry"][:n] for n in range(1, len(r["entry"]) + 1)]
+            if r["entry"] not in begun and not any(x in learned for x in beginnings):
+                learned[r["entry"]] = (r["ratio"], r["t"])
+                begun.update(beginnings)
         lexicon = dict.fromkeys(SEEDS, SEED_WEIGHT) | {e: w for e, (w, _) in learned.items()}
         found = arrow_map(rows, _found(lexicon, EXCEPTIONS), "entries array<string>, n_words long, toxic int").collect()
     finally:
         rows.unpersist()
     chosen = _useful(learned, [set(r["entries"]) for r in found if r["toxic"]], toxic)
     seeds = {x: SEED_WEIGHT for x in SEEDS if not any(x.startswith(y) for y in chosen)}
-    final = seeds | dict(list(chosen.items())[:ENTRIES])
+    final = seeds | chosen
     evidence = np.array([sum(final.get(e, 0.0) for e in r["entries"]) for r in found])
     y = np.array([float(r["toxic"] != 0) for r in found])
     return Model(final, EXCEPTIONS, _logistic(_features(evidence, np.array([r["n_words"] for r in found])), y))
@@ -251,12 +262,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _useful(learned: dict[str, tuple[float, int]], having: list[set[str]], toxic: int) -> dict[str, float]:
     """Common entries, and rare ones if they show enough documents that no common one does."""
     common = {e for e, (_, t) in learned.items() if t >= COMMON * toxic}
-    rest = [x for x in having if not x & common]
-    out = {}
-    for entry, (weight, t) in learned.items():
-        if entry in common or sum(entry in x for x in rest) >= NEW * t:
-            out[entry] = weight
-    return out
+    new = Counter(e for x in having if not x & common for e in x)
+    return {entry: weight for entry, (weight, t) in learned.items() if entry in common or new[entry] >= NEW * t}
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
