@@ -3,15 +3,19 @@
 Only block elements become nodes; inline elements are transparent, their text belongs to the block around them, and
 ``br`` or a table cell is white space.  Character references are decoded, comments, declarations, scripts, styles and
 other elements without readable text are dropped, missing end tags of paragraphs, list items, table parts and the like
-are supplied, end tags that match nothing are ignored, and an unfinished tag at the end is dropped.  Reading is linear
-in the page's length.
+are supplied, end tags that match nothing are ignored, and an unfinished tag at the end is dropped.  Below ``LEVELS``
+levels of blocks no further nodes are made: texts there are blocks of the last level.  Reading is linear in the page's
+length.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
+LEVELS = 100
+
 # Element names by their role in HTML.
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre "
@@ -45,6 +49,7 @@ MAIN_WORDS = frozenset("article content entry main post story".split())
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _MARK = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_NAME = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -60,9 +65,10 @@ class Block:
 
     __slots__ = ("tag", "label", "words", "barred", "kids", "main")
 
-    def __init__(self, tag: str, words: frozenset[str] = frozenset(), barred: bool = False, main: bool = False):
+    def __init__(self, tag: str, words: frozenset[str] = frozenset(), barred: bool = False, main: bool = False, named: frozenset[str] = frozenset()):
+        """``named``: the words that pages of one kind have in common, which ids need not be."""
         self.tag, self.words, self.barred, self.main = tag, words, barred, main
-        self.label = f"{tag} {' '.join(sorted(words))}" if words else tag
+        self.label = f"{tag} {' '.join(sorted(named))}" if named else tag
         self.kids: list[Text | Block] = []
 
     def blocks(self) -> list[Block]:
@@ -79,31 +85,36 @@ class Block:
                 todo.extend(reversed(x.kids))
 
 
-def _marks(attributes: str) -> tuple[frozenset[str], bool]:
-    """The words of class, id and role; whether the element is hidden."""
-    words, hidden = set(), False
+def _marks(attributes: str) -> tuple[frozenset[str], frozenset[str], bool]:
+    """The words of class, id and role; those of class and role; whether the element is hidden."""
+    words, named, hidden = set(), set(), False
     for name, *values in _MARK.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name in ("class", "id", "role"):
-            words.update(x.lower() for x in _WORD.findall(value))
+            own = {x.lower() for start in _NAME.findall(value) for x in _WORD.findall(start)}
+            words |= own
+            if name != "id":
+                named |= own
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             hidden = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = True
-    return frozenset(words), hidden
+    return frozenset(words), frozenset(named), hidden
 
 
 class _Reader:
+    """``stack`` has an open element's tag, the block that takes its text, and whether it's in the article."""
+
     def __init__(self, html: str):
         self.html, self.root = html, Block("#page")
-        self.stack, self.buffer, self.links, self.linked = [self.root], [], 0, 0
-        self.inline: list[str] = []
+        self.stack, self.buffer, self.links, self.linked = [("#page", self.root, False)], [], 0, 0
+        self.open: Counter[str] = Counter()
 
     def flush(self) -> None:
         if self.buffer:
             text = " ".join("".join(self.buffer).split())
             if text:
-                self.stack[-1].kids.append(Text(text, self.linked))
+                self.stack[-1][1].kids.append(Text(text, self.linked))
             self.buffer, self.linked = [], 0
 
     def text(self, text: str) -> None:
@@ -115,15 +126,18 @@ class _Reader:
 
     def close(self, depth: int) -> None:
         self.flush()
+        self.open.subtract(tag for tag, _, _ in self.stack[depth:])
         del self.stack[depth:]
         self.links = 0
 
     def find(self, tags: set[str] | frozenset[str], limits: set[str] | frozenset[str] = frozenset()) -> int:
         """The depth of the innermost open element with one of the tags, 0 if there is none before a limit."""
+        if not any(self.open[x] for x in tags):
+            return 0
         for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag in tags:
+            if self.stack[i][0] in tags:
                 return i
-            if self.stack[i].tag in limits:
+            if self.stack[i][0] in limits:
                 return 0
         return 0
 
@@ -134,18 +148,22 @@ class _Reader:
                 self.close(at)
             if tag in CLOSES and (at := self.find(*CLOSES[tag])):
                 self.close(at)
-        words, hidden = _marks(attributes) if attributes and ("=" in attributes or "hidden" in attributes) else (frozenset(), False)
+        words, named, hidden = _marks(attributes) if attributes and ("=" in attributes or "hidden" in attributes) else (frozenset(), frozenset(), False)
         top = tag in ("html", "body") or tag in MAIN_TAGS and not words & {"comment", "comments", "reply", "related", "sidebar", "widget"}
-        inside = any(x.main for x in self.stack)
+        _, around, inside = self.stack[-1]
         barred = tag in BARRED or hidden or not top and bool(words & BARRED_WORDS)
         if not inside and not top:
             barred |= tag == "header" or bool(words & HEADER_WORDS)
         if block or barred:
             self.flush()
-            node = Block(tag, words, barred, not barred and (tag in MAIN_TAGS or "main" in words))
-            self.stack[-1].kids.append(node)
+            main = not barred and (tag in MAIN_TAGS or "main" in words)
+            node = around
+            if len(self.stack) < LEVELS or barred and not around.barred:
+                node = Block(tag, words, barred, main, named)
+                around.kids.append(node)
             if tag not in VOID:
-                self.stack.append(node)
+                self.stack.append((tag, node, inside or main))
+                self.open[tag] += 1
         elif tag in BLANK:
             self.buffer.append(" ")
         elif tag == "a":

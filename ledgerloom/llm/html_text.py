@@ -2,19 +2,23 @@
 
 The pages of a host are aligned: their trees of blocks are matched by simple tree matching (equal labels, largest
 order-preserving matching of children), and what is matched becomes one node of the host's *wrapper*.  Siblings in a
-row with one label count as one repeated node, so lists of any length align.  A text that stands in one slot of nearly
-all pages of a host (``SHARE`` of at least ``PAGES``) is template; slots whose text varies are content.
+row with one label count as one repeated node, so lists of any length align; ids are no part of a label.  A text that
+stands in one slot of nearly all pages of a host (``SHARE`` of at least ``PAGES``) is template; slots whose text varies
+are content.  The host's *region* is the smallest node around most of the varying, unlinked text of all its pages
+(``MOST``), an article or main element at the innermost; what lies outside of it on a page goes, whatever its name.
 
 Pages are aligned within each task first, and a host's partial wrappers are aligned with each other afterwards, so a
-large host costs one small wrapper per task.  A wrapper holds no texts.  The pages are then laid on their host's whole
-wrapper, and the pages that have a text in a slot are counted exactly, by an aggregate over (host, slot, text) with
-partial sums in each task; the constant texts that are left are at most some more than a page has.
+large host costs one small wrapper per task.  A wrapper holds no texts, and it lets go of nodes that fewer than one in
+``RARE`` of its pages have: a node that nearly all pages have is no such in at least one task.  The pages are then laid
+on their host's whole wrapper, and the pages that have a text in a slot are counted exactly, by an aggregate over
+(host, slot, text) with partial sums in each task, as are the characters of a slot; the constant texts that are left
+are at most some more than a page has.
 
 A page's main text are the blocks of its main container without template texts and without blocks that are menus,
 headers, footers, sidebars, notices, adverts, forms or reader comments by their element, class, id or role.  The
-container is the article or main element with most text; pages without one take the smallest block around most of
-their unlinked text.  If template texts were more than half of a container's text, as where a host serves one article
-many times, they stay.
+container is the article or main element with most text in the region; pages without one take the smallest block around
+most of their unlinked text there.  Pages with nothing in the region, and those of hosts with few pages, go without it.
+If template texts were more than half of a container's text, as where a host serves one article many times, they stay.
 
 A null html is empty, and its text is empty; a page without main text has an empty text.  A null or broken url belongs
 to no host.  Equal rows get equal texts.  An empty table gives an empty one.  Other columns are not read.
@@ -24,7 +28,6 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import count
 
@@ -35,20 +38,21 @@ from pyspark.sql import functions as F
 from .dom import MAIN_TAGS, MAIN_WORDS, Block, Text, read
 from .exchange import arrow_map, parts, saved, small_batches
 
-SHARE, PAGES = 0.9, 5
+SHARE, PAGES, MOST, RARE = 0.9, 5, 0.8, 50
 #: Hosts that a task holds before it sends their wrappers; bytes of wrappers that are broadcast.
 HOSTS, BROADCAST_BYTES = 5000, 8 << 20
 
 
 class Slot:
-    """A node of a wrapper: pages that have it and its children; of a page, also its texts."""
+    """A node of a wrapper: pages that have it and its children; of a page, also its blocks and texts."""
 
-    __slots__ = ("label", "pages", "number", "kids", "held")
+    __slots__ = ("label", "pages", "number", "kids", "held", "blocks")
 
     def __init__(self, label: str, pages: int = 1, number: int = 0):
         self.label, self.pages, self.number = label, pages, number
         self.kids: list[Slot] = []
         self.held: list[Text] = []
+        self.blocks: list[Block] = []
 
 
 def key(text: str) -> int:
@@ -59,6 +63,7 @@ def key(text: str) -> int:
 def slots(block: Block) -> Slot:
     """A page as a wrapper of its own; siblings in a row with one label are one slot."""
     out = Slot(block.label)
+    out.blocks.append(block)
     for kid in block.kids:
         if isinstance(kid, Text):
             out.held.append(kid)
@@ -114,6 +119,7 @@ def merged(a: Slot, b: Slot, pages: bool = True) -> Slot:
     """Two wrappers of different pages as one; or two siblings of one page (``pages`` false)."""
     a.pages = a.pages + b.pages if pages else max(a.pages, b.pages)
     a.held += b.held
+    a.blocks += b.blocks
     kids: list[Slot] = []
     for x, y in aligned(a.kids, b.kids):
         one = merged(x, y, pages) if x and y else x or y
@@ -137,29 +143,98 @@ def undump(data: list, numbers: Iterator[int] | None = None) -> Slot:
     return out
 
 
-def placed(page: Slot, wrapper: Slot) -> list[tuple[int, Text]]:
-    """The page's texts, each with the wrapper's slot that it stands in."""
-    out, todo = [], [(page, wrapper)]
+def pruned(wrapper: Slot) -> Slot:
+    """The wrapper without texts and without nodes that few of its pages have."""
+    todo = [wrapper]
     while todo:
-        x, y = todo.pop()
-        out += [(y.number, text) for text in x.held]
-        todo += [(a, b) for a, b in aligned(x.kids, y.kids) if a and b]
-    return out
+        x = todo.pop()
+        x.held, x.blocks = [], []
+        x.kids = [kid for kid in x.kids if RARE * kid.pages >= wrapper.pages]
+        todo += x.kids
+    return wrapper
 
 
-def _weight(block: Block) -> int:
-    return sum(len(x.text) for x in block.texts())
+def placed(page: Slot, wrapper: Slot) -> list[tuple[Slot, Slot]]:
+    """The page's nodes, each with the wrapper's that it is matched with."""
+    out, todo = [], [(page, wrapper)]
+    while todo:
+        pair = todo.pop()
+        out.append(pair)
+        todo += [(a, b) for a, b in aligned(pair[0].kids, pair[1].kids) if a and b]
+    return out
 
 
-def _open_weight(block: Block) -> int:
-    """Unlinked characters that aren't template."""
-    return sum(max(0, len(x.text) - x.linked) for x in block.texts() if not x.constant)
+class Template:
+    """A host's wrapper, its template texts by slot, and the slots in its region or around it."""
+
+    def __init__(self, wrapper: Slot, slots: list[tuple[int, int, list[int]]]):
+        self.wrapper = wrapper
+        self.constants = {(slot, x) for slot, _, texts in slots for x in texts}
+        own = {slot: weight for slot, weight, _ in slots}
+        order = [wrapper]
+        for x in order:
+            order += x.kids
+        total: dict[int, int] = {}
+        for x in reversed(order):
+            total[x.number] = own.get(x.number, 0) + sum(total[kid.number] for kid in x.kids)
+        here, self.around = wrapper, {wrapper.number}
+        while here.label.split()[0] not in MAIN_TAGS:
+            best = max(here.kids, key=lambda x: total[x.number], default=None)
+            if best is None or not best.kids or total[best.number] < MOST * total[here.number] or not total[best.number]:
+                break
+            here = best
+            self.around.add(here.number)
+        self.region = {here.number}
+        inner = [here]
+        for x in inner:
+            inner += x.kids
+        self.region |= {x.number for x in inner}
+
+    def lay(self, root: Block) -> None:
+        """Marks the page's template texts, and bars its blocks outside the region if it has any text in it."""
+        found = placed(slots(root), self.wrapper)
+        for page, slot in found:
+            for text in page.held:
+                text.constant = (slot.number, key(text.text)) in self.constants
+        if not any(x.held for x, y in found if y.number in self.region):
+            return
+        inside = {id(x) for page, slot in found if slot.number in self.around for x in page.blocks}
+        region = {id(x) for page, slot in found if slot.number in self.region and slot.number in self.around for x in page.blocks}
+        todo = [root]
+        while todo:
+            x = todo.pop()
+            if id(x) in region:
+                continue
+            for kid in x.blocks():
+                if id(kid) in inside:
+                    todo.append(kid)
+                else:
+                    kid.barred = True
+
+
+def _weights(root: Block) -> dict[int, tuple[int, int]]:
+    """Of each block the characters that aren't barred, and the unlinked ones of them that aren't template."""
+    order = [root]
+    for x in order:
+        order += [kid for kid in x.blocks() if not kid.barred]
+    out: dict[int, tuple[int, int]] = {}
+    for x in reversed(order):
+        whole = free = 0
+        for kid in x.kids:
+            if isinstance(kid, Text):
+                whole += len(kid.text)
+                free += 0 if kid.constant else max(0, len(kid.text) - kid.linked)
+            elif id(kid) in out:
+                whole, free = whole + out[id(kid)][0], free + out[id(kid)][1]
+        out[id(x)] = whole, free
+    return out
 
 
 def container(root: Block) -> Block:
     """Where the main text lies."""
     found: list[Block] = []
     named: list[Block] = []
+    weight = _weights(root)
     todo = [root]
     while todo:
         x = todo.pop()
@@ -172,27 +247,25 @@ def container(root: Block) -> Block:
         todo.extend(x.blocks())
     articles = [x for x in found if x.tag == "article"]
     for choice in (articles, found):
-        if choice and (best := max(choice, key=_weight)).kids and _weight(best):
+        if choice and weight[id(best := max(choice, key=lambda x: weight[id(x)][0]))][0]:
             return best
-    total = _open_weight(root)
-    named = [x for x in named if 2 * _open_weight(x) > total]
+    total = weight[id(root)][1]
+    named = [x for x in named if 2 * weight[id(x)][1] > total]
     if named:
-        return min(named, key=_weight)
+        return min(named, key=lambda x: weight[id(x)][0])
     here = root
     while True:
         inner = [x for x in here.blocks() if not x.barred]
-        best = max(inner, key=_open_weight, default=None)
-        if best is None or 10 * _open_weight(best) < 8 * _open_weight(here) or not best.blocks():
+        best = max(inner, key=lambda x: weight[id(x)][1], default=None)
+        if best is None or 10 * weight[id(best)][1] < 8 * weight[id(here)][1] or not best.blocks():
             return here
         here = best
 
 
-def main_text(html: str | None, wrapper: Slot | None = None, constants: frozenset[tuple[int, int]] = frozenset()) -> str:
-    """``constants``: (slot, key) of the wrapper's template texts."""
+def main_text(html: str | None, template: Template | None = None) -> str:
     root = read(html)
-    if wrapper is not None:
-        for slot, text in placed(slots(root), wrapper):
-            text.constant = (slot, key(text.text)) in constants
+    if template is not None:
+        template.lay(root)
     block = container(root)
     texts = list(block.texts())
     constant = sum(len(x.text) for x in texts if x.constant)
@@ -204,13 +277,14 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, Slot] = {}
 
     def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(dump(x), ensure_ascii=False) for x in held.values()], pa.string())], names=["host", "wrapper"])
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(dump(pruned(x)), ensure_ascii=False) for x in held.values()], pa.string())], names=["host", "wrapper"])
 
     for batch in batches:
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
             page = slots(read(html.as_py()))
-            held[host] = merged(held[host], page) if host in held else page
-            _forget(held[host])
+            whole = held[host] = merged(held[host], page) if host in held else page
+            if whole.pages % RARE == 0 or len(held) > 1 and whole.pages == 1:
+                pruned(whole)
             if len(held) >= HOSTS:
                 yield flush()
                 held = {}
@@ -218,19 +292,13 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _forget(slot: Slot) -> None:
-    slot.held = []
-    for x in slot.kids:
-        _forget(x)
-
-
 def _join_wrappers(pages: int):
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         host, whole, out = None, None, []
 
         def done() -> None:
             if whole is not None and whole.pages >= pages:
-                out.append((host, json.dumps(dump(whole), ensure_ascii=False)))
+                out.append((host, json.dumps(dump(pruned(whole)), ensure_ascii=False)))
 
         for batch in batches:
             for name, data in zip(batch.column("host").to_pylist(), batch.column("wrapper"), strict=True):
@@ -249,17 +317,25 @@ def _join_wrappers(pages: int):
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, Slot] = {}
     for batch in batches:
-        seen: Counter = Counter()
+        seen: dict[tuple, list[int]] = {}
         for host, html, data in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("wrapper"), strict=True):
             if host not in known:
                 if len(known) >= HOSTS:
                     known.clear()
                 known[host] = undump(json.loads(data.as_py()))
-            texts = placed(slots(read(html.as_py())), known[host])
-            seen.update({(host, known[host].pages, slot, key(text.text)) for slot, text in texts})
+            own: dict[tuple, int] = {}
+            for page, slot in placed(slots(read(html.as_py())), known[host]):
+                for text in page.held:
+                    at = (host, known[host].pages, slot.number, key(text.text))
+                    own[at] = own.get(at, 0) + max(0, len(text.text) - text.linked)
+            for at, weight in own.items():
+                count = seen.setdefault(at, [0, 0])
+                count[0] += 1
+                count[1] += weight
         columns = zip(*seen, strict=True) if seen else [[]] * 4
         kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns, kinds), pa.array(list(seen.values()), pa.int64())], names=["host", "pages", "slot", "text", "n"])
+        sums = [pa.array([x[i] for x in seen.values()], pa.int64()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns, kinds), *sums], names=["host", "pages", "slot", "text", "n", "weight"])
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -269,29 +345,31 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataFrame:
-    """(host, wrapper, constants) of every host with template texts; ``pages`` has ``host`` and ``html``."""
+    """(host, wrapper, slots) of every host with enough pages; ``pages`` has ``host`` and ``html``."""
     own = pages.where("host is not null").select("host", "html")
     partial = arrow_map(own, _induce, "host string, wrapper string")
     dealt = partial.repartition(parts(pages.sparkSession), "host").sortWithinPartitions("host", "wrapper")
     whole = saved(arrow_map(dealt, _join_wrappers(least), "host string, wrapper string"), "hosts")
-    counts = arrow_map(own.join(_few(whole), "host").select("host", "html", "wrapper"), _count, "host string, pages long, slot int, text long, n long")
-    constant = counts.groupBy("host", "pages", "slot", "text").agg(F.sum("n").alias("n")).where(F.col("n") >= share * F.col("pages"))
-    return whole.join(constant.groupBy("host").agg(F.collect_list(F.struct("slot", "text")).alias("constants")), "host")
+    counts = arrow_map(own.join(_few(whole), "host").select("host", "html", "wrapper"), _count, "host string, pages long, slot int, text long, n long, weight long")
+    texts = counts.groupBy("host", "pages", "slot", "text").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+    constant = F.col("n") >= share * F.col("pages")
+    slots_ = texts.groupBy("host", "slot").agg(F.sum(F.when(constant, 0).otherwise(F.col("weight"))).alias("weight"), F.collect_list(F.when(constant, F.col("text"))).alias("texts"))
+    return whole.join(slots_.groupBy("host").agg(F.collect_list(F.struct("slot", "weight", "texts")).alias("slots")), "host")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, tuple[Slot, frozenset[tuple[int, int]]]] = {}
+    known: dict[str, Template] = {}
     for batch in batches:
         texts = []
-        for host, html, data, constants in zip(*(batch.column(c) for c in ("host", "html", "wrapper", "constants")), strict=True):
+        for host, html, data, own in zip(*(batch.column(c) for c in ("host", "html", "wrapper", "slots")), strict=True):
             if not data.is_valid:
                 texts.append(main_text(html.as_py()))
                 continue
             if (name := host.as_py()) not in known:
                 if len(known) >= HOSTS:
                     known.clear()
-                known[name] = undump(json.loads(data.as_py())), frozenset((x["slot"], x["text"]) for x in constants.as_py())
-            texts.append(main_text(html.as_py(), *known[name]))
+                known[name] = Template(undump(json.loads(data.as_py())), [(x["slot"], x["weight"], x["texts"]) for x in own.as_py()])
+            texts.append(main_text(html.as_py(), known[name]))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -302,4 +380,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"), F.lower(F.try_parse_url(url, F.lit("HOST"))).alias("host"))
     found = saved(wrappers(rows, share, least), "wrappers")
     joined = rows.join(_few(found), "host", "left")
-    return arrow_map(joined.select("page_id", "url", "host", "html", "wrapper", "constants"), _extract, "page_id long, url string, text string, n_chars long")
+    return arrow_map(joined.select("page_id", "url", "host", "html", "wrapper", "slots"), _extract, "page_id long, url string, text string, n_chars long")

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -79,6 +80,44 @@ def test_html_constant_text_among_many_paragraphs(spark):
     assert sum(got[i].endswith("every day.") for i in range(100)) == 89 and not any(got[500 + i].endswith("every day.") for i in range(100))
 
 
+def test_html_wrapper_decides_without_names(spark, monkeypatch):
+    """Menus, notices and footers with varying words and meaningless names: only the host's other pages tell them apart."""
+    rnd = random.Random(5)
+    words = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    rows, wanted = [], {}
+    for i in range(60):
+        paragraphs = [words(rnd.choice((4, 200, 400))) for _ in range(rnd.randrange(1, 6))]
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        html = f"<body><div class=k id={'abcdefghij'[i % 10]}x{i}><p>{words(8)}</p><p>Same on all pages</p></div><div class=q><h1>T {i}</h1>{body}</div><div class=z><p>{words(9)}</p></div></body>"
+        rows.append((i, "http://plain.example/x", html))
+        wanted[i] = "\n".join([f"T {i}", *paragraphs])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == wanted
+    assert sum(html_text.main_text(html) != wanted[i] for i, _, html in rows) > 5
+
+
+def test_html_deep_random_and_clashing(spark):
+    deep = "<div>" * 5000 + "<p>deep text here</p><nav>menu</nav>" + "</div>" * 5000 + "<p>after</p>"
+    assert html_text.main_text(deep) == "deep text here\nafter"
+    assert html_text.main_text("<b>" * 3000 + "<ul><li>" * 3000 + "x") == "x"
+    rows = [(1, "http://deep.example/1", deep, "h", "w", "s")] * 6
+    rows += [(100 + i, "http://random.example/", f"<body><div class=c{i:x}z{i * 7919:x}q id=a{i}>" + "".join(f"<p class=r{j * i:x}>text {i} {j}</p>" for j in range(20)) + "</div></body>", "h", "w", "s") for i in range(500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, wrapper string, slots string").repartition(3)
+    got = html_text.extract(pages).collect()
+    assert len(got) == len(rows) and sum(r.page_id == 1 for r in got) == 6
+    assert all(r.text == "\n".join(f"text {r.page_id - 100} {j}" for j in range(20)) for r in got if r.page_id >= 100)
+    whole = None
+    for _, _, html, *_ in rows[6:]:
+        page = html_text.slots(html_text.read(html))
+        whole = html_text.merged(whole, page) if whole else page
+        if whole.pages % html_text.RARE == 0:
+            html_text.pruned(whole)
+    size = [whole]
+    for x in size:
+        size += x.kids
+    assert len(size) < 60 * 25
+
+
 def test_html_articles_are_whole(spark, sf):
     from html import unescape
 
@@ -169,6 +208,27 @@ def test_toxicity_model(spark):
     assert len(odd) == len(ODD) and all(r.score == odd[0].score for r in odd)
 
 
+def test_toxicity_of_long_hostile_texts():
+    model = toxicity.Model()
+    matcher = toxicity.Matcher(model.lexicon, model.exceptions)
+    began = time.process_time()
+    assert matcher.matches(toxicity.fold("stupid question " * 65_000)) == []
+    assert len(matcher.matches(toxicity.fold("stupid question stupid " * 40_000))) == 40_000
+    assert time.process_time() - began < 5
+    rnd = random.Random(4)
+    pieces = ["stupid", "question", "idiot", "proof", "trash", "trashy", "white", "bag", "bin", "fine"]
+    lexicon = {"stupid": 1.0, "idiot": 1.0, "trash": 1.0, "tr": 0.5, "bag": 0.2}
+    for _ in range(300):
+        folded = toxicity.fold(" ".join(rnd.choice(pieces) for _ in range(rnd.randrange(12))))
+        excused = [(m.start(), m.end()) for p in model.exceptions for m in re.finditer(f"(?= {p} )", folded) for m in [re.compile(f" {p} ").match(folded, m.start())]]
+        wanted = []
+        for m in re.finditer(r"(?<= )\S+", folded):
+            entry = max((e for e in lexicon if m[0].startswith(e)), key=len, default=None)
+            if entry and not any(a <= m.start() - 1 and m.start() + len(entry) <= b for a, b in excused):
+                wanted.append((m.start() - 1, entry, lexicon[entry]))
+        assert sorted(toxicity.Matcher(lexicon, model.exceptions).matches(folded)) == wanted
+
+
 def test_toxicity_without_labels(spark):
     model = toxicity.fit(table(spark, ODD), spark.createDataFrame([], "doc_id long, toxic int"))
     rows = [(1, "you idiot, you loser"), (2, "an idiot proof plan"), (3, "nothing here")]
