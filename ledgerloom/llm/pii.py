@@ -4,12 +4,14 @@ Only DataFrame and SQL functions are used.  *Base* spans are the matches of four
 not overlapping for each kind, that pass the kind's check; a match that fails is dropped.  The patterns are written so
 that Java's engine takes them in linear time without recursion, with equal matches.
 
-The method then adds spans.  Words with a digit or an `@` are *instances*, and the one or two words before an instance
-are its *patterns*; all texts give the graph of pattern-instance pairs.  Instances in base spans are seeds with score 1.
-In each of ``ROUNDS`` rounds a pattern's confidence for a kind is the mean score of its distinct instances, and counts
-only from ``SUPPORT`` and ``CONFIDENCE`` on; an instance's score is 1 - product(1 - confidence) over its patterns.
-What stands behind a confident pattern and looks roughly like its kind (``_LIKE``) becomes a span of that kind, unless
-base spans overlap it.  Base spans stay.
+The method then adds spans.  Words with a digit or an `@` are *instances*; the one or two words before an instance and
+the word after it are its *patterns*; all texts give the graph of pattern-instance pairs.  Instances in base spans are
+seeds with score 1, as are long mixed strings of letters and digits (``SECRET``), seeds of a kind `secret` that isn't in
+the base.  In each round a pattern's confidence for a kind is the mean score of its distinct instances, and counts only
+from ``SUPPORT`` and ``CONFIDENCE`` on; an instance's score is 1 - product(1 - confidence) over its patterns.  Rounds go
+on until no pattern joins; the set only grows.  What stands at a confident pattern and looks roughly like its kind
+(``_LIKE``) becomes a span of that kind, unless base spans overlap it: numbers that miss a kind's exact form, and
+secrets of any form where secrets stand.  Seeds of `secret` without a confident pattern aren't spans.  Base spans stay.
 
 Texts are read once, into a table without them (spans and instances of each row); the graph, its scores and the result
 come from that table.  Frequent patterns are counted with map-side sums.  The confident patterns and the added spans
@@ -30,9 +32,12 @@ from .exchange import saved, small_or_not
 from .spans import NO_ID, keyed
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, SUPPORT, CONFIDENCE = 2, 5.0, 0.7
-#: Elements of an array that are summed up together; characters before an instance that are looked at.
-_BLOCK, _BEFORE = 512, 100
+#: The kinds of all spans, in their order.
+SPAN_KINDS = (*KINDS, "secret")
+SUPPORT, CONFIDENCE = 5.0, 0.7
+SECRET = "^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_-]{32,}$"
+#: Elements of an array that are summed up together.
+_BLOCK = 512
 
 _NAME = "[A-Za-z0-9._%+-]"
 _PATTERNS = {
@@ -46,7 +51,7 @@ _INSTANCE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 _SPANS = "array<struct<kind:string,start:int,stop:int>>"
-_FOUND = "array<struct<start:int,stop:int,word:string,kind:string,near:string,far:string>>"
+_FOUND = "array<struct<start:int,stop:int,word:string,kind:string,near:string,far:string,next:string>>"
 
 
 def _starts(steps: Column) -> Column:
@@ -92,11 +97,12 @@ _LIKE: dict[str, Callable[[Column], Column]] = {
     "ip": lambda word: word.rlike(r"^[0-9A-Fa-f]+(?:[.:]+[0-9A-Fa-f]+){2,}$"),
     "card": lambda word: word.rlike("^[0-9 -]+$") & (F.length(_digits(word)) >= 12),
     "phone": lambda word: word.rlike("^[0-9 ().+-]+$") & F.length(_digits(word)).between(6, 15),
+    "secret": lambda word: word.rlike("^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_-]{8,}$"),
 }
 
 
 def _with_matches(rows: DataFrame, name: str, pattern: str, possible: Column) -> DataFrame:
-    """``name``: array of (start, stop, text, gap) of the pattern's matches; gap is the text since the match before.
+    """``name``: array of (start, stop, text, gap, rest) of the pattern's matches; the text since the match before, and to the next.
 
     Positions are in characters: what the pattern splits off gives the lengths between the matches.
     """
@@ -109,7 +115,7 @@ def _with_matches(rows: DataFrame, name: str, pattern: str, possible: Column) ->
     def made(start: Column, i: Column) -> Column:
         x, gap = F.get("_found", i), F.get("_gaps", i)
         at = start + F.length(gap)
-        return F.struct(at.alias("start"), (at + F.length(x)).alias("stop"), x.alias("text"), gap.alias("gap"))
+        return F.struct(at.alias("start"), (at + F.length(x)).alias("stop"), x.alias("text"), gap.alias("gap"), F.get("_gaps", i + 1).alias("rest"))
 
     return rows.withColumn(name, F.transform("_starts", made)).drop("_found", "_gaps", "_steps", "_starts")
 
@@ -130,7 +136,7 @@ def _base(rows: DataFrame) -> DataFrame:
 
 
 def _instances(rows: DataFrame) -> DataFrame:
-    """Adds ``found``: the instances, with the kind of the base span that begins in them and the words before them."""
+    """Adds ``found``: the instances, with the kind of the base span that begins in them and the words around them."""
     rows = _with_matches(rows, "_words", _INSTANCE, F.col("text").rlike("[0-9@]"))
 
     def described(x: Column, i: Column) -> Column:
@@ -141,13 +147,14 @@ def _instances(rows: DataFrame) -> DataFrame:
         heads = F.filter("base", lambda b: (b["start"] >= x["start"]) & (b["start"] < x["stop"]))
         head = F.get(heads, F.lit(0))
         over = F.exists("base", lambda b: (b["start"] < x["stop"]) & (b["stop"] > x["start"]))
-        kind = F.when(F.size(heads) > 0, head["kind"]).when(over, F.lit("-"))
+        kind = F.when(F.size(heads) > 0, head["kind"]).when(over, F.lit("-")).when(bare.rlike(SECRET), F.lit("secret"))
         word = F.when(F.size(heads) > 0, F.substring("text", head["start"] + 1, head["stop"] - head["start"])).otherwise(bare)
-        before = F.lower(F.right(x["gap"], F.lit(_BEFORE)))
+        near = F.regexp_extract(x["gap"], r"(?<!\S)(\S++)\s++$", 1)
+        far = F.regexp_replace(F.regexp_extract(x["gap"], r"(?<!\S)(\S++\s++\S++)\s++$", 1), r"\s+", " ")
+        after = F.regexp_extract(x["rest"], r"^\s++(\S++)", 1)
         return F.struct(
             start.alias("start"), stop.alias("stop"), word.alias("word"), kind.alias("kind"),
-            F.nullif(F.regexp_extract(before, r"(\S++)\s++$", 1), F.lit("")).alias("near"),
-            F.nullif(F.regexp_replace(F.regexp_extract(before, r"(\S++\s++\S++)\s++$", 1), r"\s+", " "), F.lit("")).alias("far"),
+            *(F.nullif(F.lower(side), F.lit("")).alias(name) for name, side in (("near", near), ("far", far), ("next", after))),
         )
 
     return rows.withColumn("found", F.transform("_words", described).cast(_FOUND)).drop("_words")
@@ -160,34 +167,35 @@ def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _contexts(read: DataFrame) -> DataFrame:
-    """(doc, stamp, start, stop, word, kind, pattern): a row for each instance and each pattern before it."""
+    """(doc, stamp, start, stop, word, kind, pattern): a row for each instance and each pattern around it."""
     x = read.where(F.size("found") > 0).select("doc", "stamp", F.explode("found").alias("x")).select("doc", "stamp", "x.*")
     x = x.where(~F.col("kind").eqNullSafe("-") & (F.length("word") > 0))
-    return x.withColumn("pattern", F.explode(F.array_compact(F.array("near", "far")))).drop("near", "far")
+    return x.withColumn("pattern", F.explode(F.array_compact(F.array("near", "far", F.concat(F.lit("* "), "next"))))).drop("near", "far", "next")
 
 
-def confident_patterns(contexts: DataFrame, rounds: int = ROUNDS, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """(pattern, kind, confidence) after scoring the graph of patterns and instances."""
+def confident_patterns(contexts: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """(pattern, kind, confidence) after scoring the graph of patterns and instances to a fixed point."""
     edges = saved(contexts.groupBy("pattern", "word").agg(F.max("kind").alias("kind")), "graph")
     totals = edges.groupBy("pattern").agg(F.count("*").alias("total"))
     seeds = edges.where("kind is not null").groupBy("word", "kind").agg(F.lit(1.0).alias("score"))
-    scores, patterns = seeds, None
-    for i in range(rounds):
+    scores, patterns, n = seeds, None, -1
+    while True:
         sums = edges.select("pattern", "word").join(scores, "word").groupBy("pattern", "kind").agg(F.sum("score").alias("sum")).where(F.col("sum") >= support)
-        patterns = sums.join(totals, "pattern").withColumn("confidence", F.col("sum") / F.col("total")).where(F.col("confidence") >= confidence)
-        patterns = saved(patterns.select("pattern", "kind", "confidence"), "patterns")
-        if i < rounds - 1:
-            doubt = F.sum(F.log(1.0 - F.least("confidence", F.lit(0.99))))
-            new = edges.where("kind is null").select("pattern", "word").join(small_or_not(patterns), "pattern").groupBy("word", "kind").agg((1.0 - F.exp(doubt)).alias("score"))
-            scores = seeds.unionByName(new).groupBy("word", "kind").agg(F.max("score").alias("score"))
-    return patterns
+        confident = sums.join(totals, "pattern").withColumn("confidence", F.col("sum") / F.col("total")).where(F.col("confidence") >= confidence)
+        patterns = saved(confident.select("pattern", "kind", "confidence"), "patterns")
+        before, n = n, patterns.count()
+        if n == before or not n:
+            return patterns
+        doubt = F.sum(F.log(1.0 - F.least("confidence", F.lit(0.99))))
+        new = edges.where("kind is null").select("pattern", "word").join(small_or_not(patterns), "pattern").groupBy("word", "kind").agg((1.0 - F.exp(doubt)).alias("score"))
+        scores = seeds.unionByName(new).groupBy("word", "kind").agg(F.max("score").alias("score"))
 
 
 def _added(read: DataFrame, patterns: DataFrame) -> DataFrame:
     """(doc, stamp, more): the spans that confident patterns add."""
-    new = _contexts(read).where("kind is null").drop("kind")
+    new = _contexts(read).where("kind is null or kind = 'secret'").drop("kind")
     like = F.lit(False)
-    for kind in KINDS:
+    for kind in SPAN_KINDS:
         like = like | ((F.col("kind") == kind) & _LIKE[kind](F.col("word")))
     best = new.join(small_or_not(patterns), "pattern").where(like).groupBy("doc", "stamp", "start", "stop").agg(F.max(F.struct("confidence", "kind")).alias("best"))
     return best.groupBy("doc", "stamp").agg(F.collect_list(F.struct(F.col("best.kind").alias("kind"), "start", "stop")).cast(_SPANS).alias("more"))
@@ -195,7 +203,7 @@ def _added(read: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def _ordered(spans: Column) -> Column:
     """By kind, as listed, then start."""
-    rank = F.transform(spans, lambda x: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).alias("rank"), x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind")))
+    rank = F.transform(spans, lambda x: F.struct(F.array_position(F.array(*map(F.lit, SPAN_KINDS)), x["kind"]).alias("rank"), x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind")))
     return F.transform(F.array_sort(rank), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
 
 

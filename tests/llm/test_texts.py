@@ -287,6 +287,65 @@ def test_pii(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def scored_patterns(contexts, support, confidence):
+    """Brute force: the kind of each (pattern, word) edge, scores of words, confidences of patterns, to a fixed point."""
+    edges = {}
+    for pattern, word, kind in contexts:
+        edges[pattern, word] = max(filter(None, (edges.get((pattern, word)), kind)), default=None)
+    seeds = {(w, k): 1.0 for (_, w), k in edges.items() if k}
+    scores, n = dict(seeds), -1
+    while True:
+        sums = collections.Counter()
+        for (p, w), _ in edges.items():
+            for (x, k), s in scores.items():
+                if x == w:
+                    sums[p, k] += s
+        total = collections.Counter(p for p, _ in edges)
+        sure = {(p, k): s / total[p] for (p, k), s in sums.items() if s >= support and s / total[p] >= confidence}
+        if len(sure) in (n, 0):
+            return sure
+        n, scores = len(sure), dict(seeds)
+        doubt = collections.defaultdict(lambda: 1.0)
+        for (p, w), kind in edges.items():
+            for (q, k), c in sure.items():
+                if q == p and kind is None:
+                    doubt[w, k] *= 1 - min(c, 0.99)
+        for at, d in doubt.items():
+            scores[at] = max(scores.get(at, 0), 1 - d)
+
+
+def test_pii_scoring(spark):
+    rnd = random.Random(6)
+    rows = [(f"p{rnd.randrange(12)}", f"w{rnd.randrange(60)}") for _ in range(400)]
+    kinds = {f"w{i}": rnd.choice(["phone", "card", None, None]) for i in range(60)}
+    rows = [(p, w, kinds[w]) for p, w in rows] + [("call", f"n{i}", "phone" if i < 9 else None) for i in range(11)] + [("ring", f"n{i}", None) for i in range(9, 11)] + [("ring", f"n{i}", "phone") for i in range(8)]
+    rows += [("dial", f"n{i}", None) for i in range(8, 11)] + [("dial", f"m{i}", "phone") for i in range(4)]
+    frame = spark.createDataFrame(rows, "pattern string, word string, kind string")
+    for support, confidence in ((5.0, 0.7), (2.0, 0.4)):
+        got = {(r.pattern, r.kind): r.confidence for r in pii.confident_patterns(frame, support, confidence).collect()}
+        wanted = scored_patterns(rows, support, confidence)
+        assert got.keys() == wanted.keys() and all(abs(got[x] - wanted[x]) < 1e-9 for x in got) and ("call", "phone") in got
+
+
+def test_pii_finds_what_base_patterns_miss(spark):
+    rows = [(i, f"text token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" more {i}") for i in range(30)] + [(100 + i, f"file {hashlib.sha1(b'x%d' % i).hexdigest()} listed") for i in range(3)]
+    rows += [(200, 'a token = "k9x27fq1" b'), (201, "a token = nothing b"), (202, "k9x27fq1 alone"), (203, "b" * 500 + " token = " + '"q8w7e6r5t4" c')]
+    rows += [(300 + i, f"number 555{i:04d}123 is my phone") for i in range(3)] + [(400 + i, f"+1 212 555 {1000 + i} is mine, so") for i in range(9)]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find(table(spark, rows))).collect()}
+    assert all(got[i] == "secret:14:54" for i in range(30)) and got[200] == "secret:11:19" and got[203] == "secret:510:520"
+    assert got[100] == got[201] == got[202] == got[300] == "" and got[400] == "phone:0:15"
+    docs = documents(spark, "/root/testdata/sf0.01")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    added = right = planted = 0
+    for r in pii.digest(pii.find(docs)).collect():
+        base = set(base_spans(texts[r.doc_id]))
+        hidden = {f"secret:{m.start(1)}:{m.end(1)}" for m in re.finditer('token = "([0-9a-f]{40})"', texts[r.doc_id])}
+        own = set(filter(None, r.spans.split(","))) - base
+        added, right, planted = added + len(own), right + len(own & hidden), planted + len(hidden)
+    print(added, right, planted)
+    assert added > 0 and right >= 0.9 * added and right >= 0.9 * planted
+
+
 def test_pii_is_native(spark, sf):
     plan = pii.redact(documents(spark, sf))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
