@@ -46,6 +46,8 @@ from .textkit import LOWER, Hasher, U, buffers, chunks, mix, stream, words
 WORDS, PERCENT = 5, 75
 #: The level of a class whose prefix is its whole set.
 WHOLE = 1 << 30
+#: Shared elements that fill a part.
+FILL = 50_000
 #: Lists up to this size are paired as they are; of larger ones only what lies outside the largest group is.
 SHORT = 64
 #: Rounds of comparisons with hubs, which end when fewer classes than ``LONE`` find no link.
@@ -520,9 +522,11 @@ class _Join:
         self.members = known.where("kind = 0").select("doc", "c", "n")
         self.classes = known.where("kind = 1").select("doc", "c", "n", "level")
         self.tokens = known.where("kind = 2").select("c", "h", "n", "level", "score")
+        #: Parts that the shared elements need, of all that there are.
+        self.filled = min(self.count, 1 + self.tokens.count() // FILL)
 
-    def packed(self, rows: DataFrame, dtype: np.dtype, by: str) -> DataFrame:
-        return arrow_map(rows.select(*dtype.names), _send(dtype, by, self.count), PACKED)
+    def packed(self, rows: DataFrame, dtype: np.dtype, by: str, count: int) -> DataFrame:
+        return arrow_map(rows.select(*dtype.names), _send(dtype, by, count), PACKED)
 
     def texts_of(self, rows: DataFrame) -> DataFrame:
         """The text of the first document of each class of ``rows``, which has ``doc`` besides its other columns."""
@@ -552,9 +556,9 @@ class _Join:
         """Links with hubs, round after round while a fair part of what is compared links; and the groups they form."""
         links, roots, turn = None, None, 0
         while True:
-            scored = self.packed(self.grouped(self.tokens, roots), _SCORED, "h")
-            hubs = dealt(scored, _hubs(self.percent, self.count, turn), PACKED, self.count)
-            pairs = dealt(hubs, _best_hub(self.percent, 2 if turn else 5), "x long, y long", self.count)
+            scored = self.packed(self.grouped(self.tokens, roots), _SCORED, "h", self.filled)
+            hubs = dealt(scored, _hubs(self.percent, self.filled, turn), PACKED, self.filled)
+            pairs = dealt(hubs, _best_hub(self.percent, 2 if turn else 5), "x long, y long", self.filled)
             pairs = saved(pairs, "stars")
             sets = self.sets_of(pairs)
             found = self.verified(pairs, sets)
@@ -575,8 +579,8 @@ class _Join:
         shared = dealt(sent, _share_longer(self.count), PACKED, self.count)
         far = dealt(shared, _look(self.percent, self.count), PACKED, self.count)
         near = self.tokens.select("c", "h", "n", "level", F.lit(1).alias("own"), F.lit(0).alias("drop"), F.when(F.col("level") == 1, 1).otherwise(0).alias("looks"))
-        near = self.packed(self.grouped(near, group), _MEMBER, "h")
-        pairs = [dealt(lists, _pair_up(self.percent, self.count), PACKED, self.count) for lists in (near, far)]
+        near = self.packed(self.grouped(near, group), _MEMBER, "h", self.filled)
+        pairs = [dealt(lists, _pair_up(self.percent, self.count), PACKED, n) for lists, n in ((near, self.filled), (far, self.count))]
         pairs = saved(dealt(pairs[0].unionByName(pairs[1]), _bounded(self.percent), "x long, y long, gx long, gy long, shared int", self.count), "pairs")
         discard(longer)
         return pairs
