@@ -16,8 +16,21 @@ MEDIA_TYPES = {
 ROLE_RANK = {"viewer": 10, "agent": 20, "admin": 30, "owner": 40}
 MANAGES = {"owner": ("admin", "agent", "viewer"), "admin": ("agent", "viewer")}
 PREFIX_BYTES, NAME_LENGTH, BACKOFF_LIMIT = 8192, 255, 300
-SLUG = "^[a-z0-9]+(?:-[a-z0-9]+)*$"
-UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+SLUG = r"^[a-z0-9]+(?:-[a-z0-9]+)*\z"
+IDEMPOTENCY_LENGTH, MAX_UPLOAD = 255, 25 * 1024 * 1024
+#: White space at the ends of a text, as it is in Unicode and as ASCII separators.
+_BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, rf"^{_BLANK}++|(?<!{_BLANK}){_BLANK}++\z", "")
+
+
+def parse_uuid(text: Column) -> Column:
+    """The id in its usual form, null if it's none; braces, a urn prefix and any placing of hyphens are allowed."""
+    plain = F.regexp_replace(F.regexp_replace(text, "urn:|uuid:", ""), r"^[{}]+|[{}]+\z|-", "")
+    shaped = F.regexp_replace(F.lower(plain), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    return F.when(plain.rlike(r"^[0-9a-fA-F]{32}\z"), shaped)
 
 
 @F.pandas_udf(T.StringType())
@@ -48,7 +61,7 @@ def stem(name: Column) -> Column:
 def media_type(name: Column, declared: Column, content: Column) -> Column:
     """The accepted media type of an upload, null if it's rejected."""
     ext = suffix(name)
-    given = F.lower(F.trim(F.substring_index(declared, ";", 1)))
+    given = F.lower(strip(F.substring_index(declared, ";", 1)))
     head = F.substring(content, 1, PREFIX_BYTES)
     # Byte tests on the binary value itself: a NUL byte, and the opening bracket of a tag.
     text = F.is_valid_utf8(head) & (F.position(F.lit(b"\x00"), head) == 0)
@@ -65,11 +78,11 @@ def media_type(name: Column, declared: Column, content: Column) -> Column:
 
 
 def display_name(given: Column, filename: Column) -> Column:
-    return F.substring(F.trim(F.coalesce(F.nullif(given, F.lit("")), F.nullif(stem(filename), F.lit("")), filename)), 1, NAME_LENGTH)
+    return F.substring(strip(F.coalesce(F.nullif(given, F.lit("")), F.nullif(stem(filename), F.lit("")), filename)), 1, NAME_LENGTH)
 
 
 def normal_email(text: Column) -> Column:
-    return F.lower(F.trim(text))
+    return F.lower(strip(text))
 
 
 def is_slug(text: Column) -> Column:
@@ -104,7 +117,17 @@ def refresh_token(token: Column) -> Column:
     """(session_id, secret) of a token, null if it isn't one: an id and a secret of 32 characters or more around the first dot."""
     parts = F.split(token, r"\.", 2)
     left, right = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    return F.when(left.rlike(UUID) & (F.char_length(right) >= 32), F.struct(left.alias("session_id"), F.sha2(F.encode(right, "utf-8"), 256).alias("secret_hash")))
+    return F.when(parse_uuid(left).isNotNull() & (F.char_length(right) >= 32), F.struct(parse_uuid(left).alias("session_id"), F.sha2(F.encode(right, "utf-8"), 256).alias("secret_hash")))
+
+
+def idempotency_key(text: Column) -> Column:
+    """The trimmed key of a request, null if it's empty or too long."""
+    return F.when(F.char_length(strip(text)).between(1, IDEMPOTENCY_LENGTH), strip(text))
+
+
+def upload_refusal(size: Column, limit: int = MAX_UPLOAD) -> Column:
+    """Why an upload's size is refused; null if it isn't."""
+    return F.when(size <= 0, "empty").when(size > limit, "too_large")
 
 
 def staging_key(workspace: Column, upload: Column) -> Column:

@@ -9,7 +9,7 @@ from ledgerloom.functions.scalars import object_key
 
 from .tenancy import scoped
 
-IMMUTABLE = ("workspace_id", "document_id", "version_number", "original_filename", "byte_size", "sha256", "lang")
+IMMUTABLE = ("workspace_id", "document_id", "version_number", "object_key", "original_filename", "media_type", "byte_size", "sha256", "created_by")
 
 
 def latest_versions(versions: DataFrame) -> DataFrame:
@@ -26,12 +26,15 @@ def workspace_documents(documents: DataFrame, versions: DataFrame, workspace: in
     return rows.join(latest, "document_id", "left").select("document_id", "display_name", "created_seq", "active_version_id", "version_number", "status", "byte_size").orderBy(F.desc("created_seq"), "document_id")
 
 
-def document_detail(documents: DataFrame, versions: DataFrame) -> DataFrame:
-    """Each document with the list of its versions, newest first."""
+def document_detail(documents: DataFrame, versions: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Each document with its versions, newest first, and its jobs, newest first: two aggregates joined on the document."""
     listed = F.sort_array(F.collect_list(F.struct("version_number", "status")), False)
-    lists = versions.groupBy("document_id").agg(listed.alias("versions"))
-    shown = F.array_join(F.transform("versions", lambda x: F.concat_ws(":", x["version_number"].cast("string"), x["status"])), ",")
-    return documents.where(~F.col("deleted")).join(lists, documents["id"] == lists["document_id"], "left").select("id", "display_name", shown.alias("versions"))
+    lists = versions.groupBy(F.col("document_id").alias("id")).agg(listed.alias("versions"))
+    target = F.get_json_object("payload", "$.document_id").cast("long").alias("document_id")
+    own = jobs.select(target, "created_at", F.col("id").alias("job_id"), "job_type", "state").groupBy(F.col("document_id").alias("id"))
+    own = own.agg(F.sort_array(F.collect_list(F.struct("created_at", "job_id", "job_type", "state")), False).alias("jobs"))
+    rows = documents.where(~F.col("deleted")).select("id", "display_name").join(lists, "id", "left").join(own, "id", "left")
+    return rows.select("id", "display_name", *(F.coalesce(x, F.array()).alias(x) for x in ("versions", "jobs")))
 
 
 def storage_usage(workspaces: DataFrame, versions: DataFrame) -> DataFrame:
@@ -56,12 +59,25 @@ def duplicate_content(versions: DataFrame, within: str) -> DataFrame:
     return versions.join(firsts, [within, "sha256"]).where("id > first_id").select("id", "first_id")
 
 
-def activation_candidates(versions: DataFrame, objects: DataFrame) -> DataFrame:
-    """Versions under way, with whether their stored object has the recorded size; a missing object fails."""
+def activation_candidates(versions: DataFrame, documents: DataFrame, objects: DataFrame) -> DataFrame:
+    """Versions under way, with whether their stored object has the recorded size and their document is still there."""
     due = versions.where("status = 'processing'").select("id", "document_id", "byte_size")
     stored = objects.select("id", "length")
-    verdict = F.when(F.col("length").isNull(), "missing").when(F.col("length") != F.col("byte_size"), "size_mismatch").otherwise("activate")
-    return due.join(stored, "id", "left").select("id", "document_id", verdict.alias("verdict"))
+    there = documents.where(~F.col("deleted")).select(F.col("id").alias("document_id"), F.lit(True).alias("there"))
+    verdict = (
+        F.when(F.col("length").isNull(), "missing").when(F.col("length") != F.col("byte_size"), "size_mismatch")
+        .when(F.col("there").isNull(), "document_gone").otherwise("activate")
+    )
+    return due.join(stored, "id", "left").join(there, "document_id", "left").select("id", "document_id", verdict.alias("verdict"))
+
+
+def activate(versions: DataFrame, documents: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(versions, documents) afterwards: accepted versions are active, and their documents point at the newest of them."""
+    accepted = verdicts.where("verdict = 'activate'").select("id", "document_id")
+    marked = versions.join(accepted.select("id", F.lit(True).alias("ok")), "id", "left")
+    newest = accepted.groupBy(F.col("document_id").alias("id")).agg(F.max("id").alias("newest"))
+    pointed = documents.join(newest, "id", "left").select("id", "deleted", F.coalesce("newest", "active_version_id").alias("active_version_id"))
+    return marked.select("id", "document_id", F.when(F.col("ok"), "active").otherwise(F.col("status")).alias("status")), pointed
 
 
 def invalid_active_pointers(documents: DataFrame, versions: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import backoff_seconds
 
-CODE_LENGTH, MESSAGE_LENGTH, OWNER_LENGTH = 100, 1000, 128
+CODE_LENGTH, MESSAGE_LENGTH, OWNER_LENGTH = 64, 1000, 128
 HELD = ("leased", "processing")
 
 
@@ -23,10 +23,14 @@ def claim(jobs: DataFrame, worker: str, batch: int, lease_seconds: int, now: Col
     first = jobs.where(is_claimable(now)).orderBy("available_at", "created_at", "id").limit(batch)
     return first.select(
         "id", F.lit("leased").alias("state"), F.lit(worker[:OWNER_LENGTH]).alias("lease_owner"), (now + F.make_dt_interval(secs=F.lit(lease_seconds))).alias("lease_expires_at"),
-        (F.col("attempt_count") + 1).alias("attempt_count"),
+        (F.col("attempt_count") + 1).alias("attempt_count"), *_no_error(),
     )
 
 
+def _no_error() -> list[Column]:
+    return [F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("error_message")]
+
+
 def ownership(worker: Column, now: Column) -> Column:
     """Why a worker may not act on a job; null if it may.  At the very end of a lease nobody owns the job."""
     return (
@@ -36,40 +40,73 @@ def ownership(worker: Column, now: Column) -> Column:
 
 
 def transition(jobs: DataFrame, event: str, worker: Column, now: Column, lease_seconds: int = 60) -> DataFrame:
-    """(id, state, lease_owner, lease_expires_at, rejected) after start, renew or complete; a rejected row stays as it is."""
+    """The next rows after start, renew or complete, and why one is rejected; a rejected row stays as it is."""
     rejected = ownership(worker, now)
-    ok = rejected.isNull()
-    state = {"start": F.lit("processing"), "renew": F.col("state"), "complete": F.lit("completed")}[event]
-    owner = F.lit(None).cast("string") if event == "complete" else F.col("lease_owner")
-    expires = {"start": F.col("lease_expires_at"), "renew": now + F.make_dt_interval(secs=F.lit(lease_seconds)), "complete": F.lit(None).cast("timestamp_ntz")}[event]
-    return jobs.select(
-        "id", F.when(ok, state).otherwise(F.col("state")).alias("state"), F.when(ok, owner).otherwise(F.col("lease_owner")).alias("lease_owner"),
-        F.when(ok, expires).otherwise(F.col("lease_expires_at")).alias("lease_expires_at"), rejected.alias("rejected"),
-    )
+    none = F.lit(None).cast("string")
+    set_to = {
+        "start": {"state": F.lit("processing")},
+        "renew": {"lease_expires_at": now + F.make_dt_interval(secs=F.lit(lease_seconds))},
+        "complete": {"state": F.lit("completed"), "lease_owner": none, "lease_expires_at": F.lit(None).cast("timestamp_ntz"), "error_code": none, "error_message": none},
+    }[event]
+    return _next(jobs, rejected, set_to, "state", "lease_owner", "lease_expires_at", "error_code", "error_message")
 
 
-def failed(jobs: DataFrame, retryable: Column, code: Column, message: Column, now: Column) -> DataFrame:
-    """Held jobs after a failure: retried after a delay, dead after the last attempt, else failed."""
-    left = F.col("attempt_count") < F.col("max_attempts")
-    state = F.when(retryable & left, "retrying").when(~left, "dead_letter").otherwise("failed")
-    delay = backoff_seconds(F.col("attempt_count"), F.col("id"))
-    due = F.when(state == "retrying", now + F.make_dt_interval(secs=delay)).otherwise(F.col("available_at"))
-    return jobs.where(F.col("state").isin(*HELD)).select(
-        "id", state.alias("state"), due.alias("available_at"), F.substring(code, 1, CODE_LENGTH).alias("error_code"), F.substring(message, 1, MESSAGE_LENGTH).alias("error_message")
-    )
+def _next(jobs: DataFrame, rejected: Column, set_to: dict[str, Column], *shown: str) -> DataFrame:
+    new = [(F.when(rejected.isNull(), set_to[c]).otherwise(F.col(c)) if c in set_to else F.col(c)).alias(c) for c in shown]
+    return jobs.select("id", *new, rejected.alias("rejected"))
 
 
-def version_status_after_failure(state: Column) -> Column:
-    return F.when(state.isin("failed", "dead_letter"), "failed").otherwise("queued")
+def failed(jobs: DataFrame, worker: Column, retryable: Column, code: Column, message: Column, now: Column) -> DataFrame:
+    """The next rows after a worker reports a failure: retried after a delay, dead after the last attempt, else failed.
 
-
-def manual_retry(jobs: DataFrame, now: Column) -> DataFrame:
-    """Failed and dead jobs start over; others are refused."""
-    ok = F.col("state").isin("failed", "dead_letter")
-    return jobs.select(
-        "id", F.when(ok, "retrying").otherwise(F.col("state")).alias("state"), F.when(ok, 0).otherwise(F.col("attempt_count")).alias("attempt_count"),
-        F.when(ok, now).otherwise(F.col("available_at")).alias("available_at"), (~ok).alias("conflict"),
-    )
+    Only the owner of a running lease may report; other rows are rejected and stay as they are.  The lease ends.
+    """
+    left = F.col("attempt_count") < F.col("max_attempts")
+    state = F.when(retryable & left, "retrying").when(~left, "dead_letter").otherwise("failed")
+    delay = backoff_seconds(F.col("attempt_count"), F.col("id"))
+    set_to = {
+        "state": state, "available_at": F.when(state == "retrying", now + F.make_dt_interval(secs=delay)).otherwise(F.col("available_at")), "lease_owner": F.lit(None).cast("string"),
+        "lease_expires_at": F.lit(None).cast("timestamp_ntz"), "error_code": F.substring(code, 1, CODE_LENGTH), "error_message": F.substring(message, 1, MESSAGE_LENGTH),
+    }
+    kept = [c for c in ("job_type", "payload") if c in jobs.columns]
+    return _next(jobs, ownership(worker, now), set_to, *kept, *set_to)
+
+
+def version_updates(next_jobs: DataFrame, event: str) -> DataFrame:
+    """(version_id, status) that starting or failing jobs set; only accepted jobs that process a document touch a version."""
+    target = F.get_json_object("payload", "$.document_version_id").cast("long").alias("version_id")
+    status = F.lit("processing") if event == "start" else F.when(F.col("state").isin("failed", "dead_letter"), "failed").otherwise("queued")
+    return next_jobs.where("rejected is null and job_type = 'process_document'").select(target, status.alias("status"))
+
+
+def manual_retry(jobs: DataFrame, workspace: Column, now: Column) -> DataFrame:
+    """A workspace's failed and dead jobs start over; others are refused, and those of other workspaces aren't found."""
+    refused = F.when(F.col("workspace_id") != workspace, "not_found").when(~F.col("state").isin("failed", "dead_letter"), "conflict")
+    none = F.lit(None).cast("string")
+    set_to = {
+        "state": F.lit("retrying"), "attempt_count": F.lit(0), "available_at": now, "lease_owner": none, "lease_expires_at": F.lit(None).cast("timestamp_ntz"),
+        "error_code": none, "error_message": none,
+    }
+    return _next(jobs, refused, set_to, *set_to)
+
+
+def dispatched(jobs: DataFrame, documents: DataFrame, versions: DataFrame) -> DataFrame:
+    """(id, action) of each leased job: what its worker does, or the error that fails it.
+
+    A document job activates its version if version and document are there, the document not deleted; a delete job
+    removes the objects of all versions of its document.  Other types are errors.
+    """
+    version = F.get_json_object("payload", "$.document_version_id").cast("long").alias("version_id")
+    document = F.get_json_object("payload", "$.document_id").cast("long").alias("target_id")
+    rows = jobs.where(F.col("state") == "leased").select("id", "job_type", version, document)
+    v = versions.select(F.col("id").alias("version_id"), "document_id")
+    d = documents.select(F.col("id").alias("document_id"), "deleted")
+    counts = versions.groupBy(F.col("document_id").alias("target_id")).agg(F.count("*").alias("objects"))
+    rows = rows.join(v, "version_id", "left").join(d, "document_id", "left").join(counts, "target_id", "left")
+    process = F.when(F.col("document_id").isNull(), "error:version_missing").when(F.coalesce("deleted", F.lit(True)), "error:document_gone").otherwise("activate")
+    delete = F.concat(F.lit("delete:"), F.coalesce("objects", F.lit(0)).cast("string"))
+    action = F.when(F.col("job_type") == "process_document", process).when(F.col("job_type") == "delete_object", delete).otherwise("error:unknown_type")
+    return rows.select("id", action.alias("action"))
 
 
 def first_enqueued(jobs: DataFrame) -> DataFrame:

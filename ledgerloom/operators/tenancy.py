@@ -12,10 +12,17 @@ from ledgerloom.functions.scalars import can_manage
 
 
 def scoped(rows: DataFrame, workspace: int | None) -> DataFrame:
-    """The rows of one workspace; none if no workspace is set.  A literal filter, so it reaches the scan."""
+    """The rows of one workspace; none if no workspace is set.  On a relation stored by workspace only its files are read."""
     return rows.where(F.lit(False)) if workspace is None else rows.where(F.col("workspace_id") == workspace)
 
 
+def stored(rows: DataFrame, path: str, files: int = 1) -> DataFrame:
+    """A relation as a table with a folder for each workspace, of up to ``files`` files each."""
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(files))
+    rows.repartition("workspace_id", part).write.partitionBy("workspace_id").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def workspaces_of(workspaces: DataFrame, memberships: DataFrame, user: int) -> DataFrame:
     """A user's workspaces with the role in each, by name."""
     own = memberships.where(F.col("user_id") == user).select("workspace_id", "role")

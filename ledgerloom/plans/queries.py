@@ -178,10 +178,14 @@ def unique_violations(o: Overlay) -> DataFrame:
 # Documents and versions
 
 
-@query("""SELECT id, display_name, coalesce(v, '') AS versions FROM documents_ LEFT JOIN
-(SELECT document_id, string_agg(version_number || ':' || status, ',' ORDER BY version_number DESC) AS v FROM versions_ GROUP BY document_id) ON document_id = id WHERE NOT deleted""")
+@query("""SELECT d.id, display_name, coalesce(v, '') AS versions, coalesce(j, '') AS jobs FROM documents_ d LEFT JOIN
+(SELECT document_id, string_agg(version_number || ':' || status, ',' ORDER BY version_number DESC) AS v FROM versions_ GROUP BY document_id) x ON x.document_id = d.id LEFT JOIN
+(SELECT json_extract_string(payload, '$.document_id')::BIGINT AS document_id, string_agg(id || ':' || job_type || ':' || state, ',' ORDER BY created_at DESC, id DESC) AS j FROM jobs_ GROUP BY ALL) y
+ON y.document_id = d.id WHERE NOT deleted""")
 def document_detail(o: Overlay) -> DataFrame:
-    return D.document_detail(o.documents(), o.versions())
+    rows = D.document_detail(o.documents(), o.versions(), o.jobs())
+    shown = lambda name, *fields: F.array_join(F.transform(name, lambda x: F.concat_ws(":", *(x[f].cast("string") for f in fields))), ",").alias(name)
+    return rows.select("id", "display_name", shown("versions", "version_number", "status"), shown("jobs", "job_id", "job_type", "state"))
 
 
 @query("SELECT w.id AS workspace_id, coalesce(sum(byte_size), 0)::BIGINT AS used_bytes FROM workspaces_ w LEFT JOIN versions_ v ON v.workspace_id = w.id GROUP BY w.id")
@@ -209,10 +213,28 @@ def document_digests(o: Overlay) -> DataFrame:
     return o.versions().select("id", "byte_size", "sha256")
 
 
-@query("SELECT id, document_id, CASE WHEN id % 5 = 0 THEN 'missing' WHEN id % 7 = 0 THEN 'size_mismatch' ELSE 'activate' END AS verdict FROM versions_ WHERE status = 'processing'")
-def activation_candidates(o: Overlay) -> DataFrame:
+_VERDICT = "CASE WHEN id % 5 = 0 THEN 'missing' WHEN id % 7 = 0 THEN 'size_mismatch' WHEN document_id % 11 = 0 THEN 'document_gone' ELSE 'activate' END"
+
+
+def _verdicts(o: Overlay) -> DataFrame:
     stored = o.versions().where("id % 5 <> 0").select("id", (F.col("byte_size") + F.when(F.col("id") % 7 == 0, 1).otherwise(0)).alias("length"))
-    return D.activation_candidates(o.versions(), stored)
+    return D.activation_candidates(o.versions(), o.documents(), stored)
+
+
+@query(f"SELECT id, document_id, {_VERDICT} AS verdict FROM versions_ WHERE status = 'processing'")
+def activation_candidates(o: Overlay) -> DataFrame:
+    return _verdicts(o)
+
+
+@query(f"SELECT id, document_id, CASE WHEN status = 'processing' AND {_VERDICT} = 'activate' THEN 'active' ELSE status END AS status FROM versions_")
+def activated_versions(o: Overlay) -> DataFrame:
+    return D.activate(o.versions(), o.documents(), _verdicts(o))[0]
+
+
+@query(f"""SELECT id, deleted, coalesce(newest, active_version_id) AS active_version_id FROM documents_ LEFT JOIN
+(SELECT document_id, max(id) AS newest FROM versions_ WHERE status = 'processing' AND {_VERDICT} = 'activate' GROUP BY document_id) ON document_id = id""")
+def activated_documents(o: Overlay) -> DataFrame:
+    return D.activate(o.versions(), o.documents(), _verdicts(o))[1]
 
 
 @query("SELECT id, active_version_id + CASE WHEN id % 6 = 0 THEN 1 ELSE 0 END AS active_version_id FROM documents_ WHERE active_version_id IS NOT NULL AND id % 6 = 0")
@@ -221,9 +243,10 @@ def invalid_active_pointer(o: Overlay) -> DataFrame:
     return D.invalid_active_pointers(moved, o.versions())
 
 
-@query("SELECT id FROM versions_ WHERE id % 13 = 0")
+@query("SELECT id FROM versions_ WHERE id % 13 IN (0, 1)")
 def immutability_violations(o: Overlay) -> DataFrame:
     changed = o.versions().withColumn("sha256", F.when(F.col("id") % 13 == 0, F.lit(None)).otherwise(F.col("sha256"))).withColumn("status", F.lit("failed"))
+    changed = changed.withColumn("media_type", F.when(F.col("id") % 13 == 1, "text/plain").otherwise(F.col("media_type"))).withColumn("lang", F.lit("xx"))
     return D.immutability_violations(o.versions(), changed)
 
 
@@ -272,7 +295,7 @@ def claimable_jobs(o: Overlay) -> DataFrame:
     return o.jobs().where(J.is_claimable(now())).select("id")
 
 
-@query(f"""SELECT id, 'leased' AS state, 'worker-9' AS lease_owner, {_NOW} + INTERVAL 60 SECOND AS lease_expires_at, attempt_count + 1 AS attempt_count FROM jobs_
+@query(f"""SELECT id, 'leased' AS state, 'worker-9' AS lease_owner, {_NOW} + INTERVAL 60 SECOND AS lease_expires_at, attempt_count + 1 AS attempt_count, NULL AS error_code, NULL AS error_message FROM jobs_
 WHERE (state IN ('queued', 'retrying') AND available_at <= {_NOW}) OR (state IN ('leased', 'processing') AND lease_expires_at < {_NOW}) ORDER BY available_at, created_at, id LIMIT 5""")
 def claim_batch(o: Overlay) -> DataFrame:
     return J.claim(o.jobs(), "worker-9", 5, 60, now())
@@ -286,43 +309,63 @@ def lease_ownership(o: Overlay) -> DataFrame:
     return o.jobs().select("id", J.ownership(F.lit("worker-1"), now()).alias("rejected"))
 
 
-def _transition_sql(state: str, owner: str, expires: str) -> str:
-    return f"""SELECT id, CASE WHEN r IS NULL THEN {state} ELSE state END AS state, CASE WHEN r IS NULL THEN {owner} ELSE lease_owner END AS lease_owner,
-CASE WHEN r IS NULL THEN {expires} ELSE lease_expires_at END AS lease_expires_at, r AS rejected FROM (SELECT *, {_OWN} AS r FROM jobs_)"""
+def _next_sql(of: str, refusal: str, **set_to: str) -> str:
+    shown = ", ".join(f"CASE WHEN r IS NULL THEN {set_to[c]} ELSE {c} END AS {c}" if c in set_to else c for c in of.split())
+    return f"SELECT id, {shown}, r AS rejected FROM (SELECT *, {refusal} AS r FROM jobs_)"
+
 
+_HELD = "state lease_owner lease_expires_at error_code error_message"
 
-@query(_transition_sql("'processing'", "lease_owner", "lease_expires_at"))
+
+@query(_next_sql(_HELD, _OWN, state="'processing'"))
 def mark_processing(o: Overlay) -> DataFrame:
     return J.transition(o.jobs(), "start", F.lit("worker-1"), now())
 
 
-@query(_transition_sql("state", "lease_owner", f"{_NOW} + INTERVAL 60 SECOND"))
+@query(f"SELECT json_extract_string(payload, '$.document_version_id')::BIGINT AS version_id, 'processing' AS status FROM (SELECT *, {_OWN} AS r FROM jobs_) WHERE r IS NULL AND job_type = 'process_document'")
+def processing_versions(o: Overlay) -> DataFrame:
+    started = o.jobs().join(J.transition(o.jobs(), "start", F.lit("worker-1"), now()).select("id", "rejected"), "id")
+    return J.version_updates(started, "start")
+
+
+@query(_next_sql(_HELD, _OWN, lease_expires_at=f"{_NOW} + INTERVAL 60 SECOND"))
 def renew_lease(o: Overlay) -> DataFrame:
     return J.transition(o.jobs(), "renew", F.lit("worker-1"), now())
 
 
-@query(_transition_sql("'completed'", "NULL", "NULL"))
+@query(_next_sql(_HELD, _OWN, state="'completed'", lease_owner="NULL", lease_expires_at="NULL", error_code="NULL", error_message="NULL"))
 def mark_completed(o: Overlay) -> DataFrame:
     return J.transition(o.jobs(), "complete", F.lit("worker-1"), now())
 
 
-@query(f"""SELECT id, state, CASE WHEN state = 'retrying' THEN {_NOW} + to_seconds(delay) ELSE available_at END AS available_at, error_code, error_message FROM (
-SELECT id, available_at, CASE WHEN id % 2 = 0 AND attempt_count < max_attempts THEN 'retrying' WHEN attempt_count >= max_attempts THEN 'dead_letter' ELSE 'failed' END AS state,
-least(300, 2 ** greatest(0, attempt_count - 1))::BIGINT + (id * 7919 + attempt_count * 104729) % (least(300, 2 ** greatest(0, attempt_count - 1))::BIGINT // 2 + 1) AS delay,
-'storage_error' AS error_code, 'job ' || id AS error_message FROM jobs_ WHERE state IN ('leased', 'processing'))""")
+_AFTER = "CASE WHEN id % 2 = 0 AND attempt_count < max_attempts THEN 'retrying' WHEN attempt_count >= max_attempts THEN 'dead_letter' ELSE 'failed' END"
+_BASE = "least(300, 2 ** greatest(0, attempt_count - 1))::BIGINT"
+
+
+def _failed(o: Overlay) -> DataFrame:
+    return J.failed(o.jobs(), F.lit("worker-1"), F.col("id") % 2 == 0, F.lit("e" * 80), F.concat(F.lit("job "), F.col("id").cast("string")), now())
+
+
+@query(_next_sql(
+    "state available_at lease_owner lease_expires_at error_code error_message", _OWN, state=_AFTER, lease_owner="NULL", lease_expires_at="NULL", error_code="repeat('e', 64)", error_message="'job ' || id",
+    available_at=f"CASE WHEN {_AFTER} = 'retrying' THEN {_NOW} + to_seconds({_BASE} + (id * 7919 + attempt_count * 104729) % ({_BASE} // 2 + 1)) ELSE available_at END",
+))
 def failure_transition(o: Overlay) -> DataFrame:
-    return J.failed(o.jobs(), F.col("id") % 2 == 0, F.lit("storage_error"), F.concat(F.lit("job "), F.col("id").cast("string")), now())
+    return _failed(o).drop("job_type", "payload")
 
 
-@query("SELECT id, CASE WHEN state IN ('failed', 'dead_letter') THEN 'failed' ELSE 'queued' END AS version_status FROM jobs_ WHERE state IN ('failed', 'dead_letter', 'retrying')")
+@query(f"""SELECT json_extract_string(payload, '$.document_version_id')::BIGINT AS version_id, CASE WHEN {_AFTER} = 'retrying' THEN 'queued' ELSE 'failed' END AS status
+FROM (SELECT *, {_OWN} AS r FROM jobs_) WHERE r IS NULL AND job_type = 'process_document'""")
 def failure_propagation(o: Overlay) -> DataFrame:
-    return o.jobs().where(F.col("state").isin("failed", "dead_letter", "retrying")).select("id", J.version_status_after_failure(F.col("state")).alias("version_status"))
+    return J.version_updates(_failed(o), "fail")
 
 
-@query(f"""SELECT id, CASE WHEN ok THEN 'retrying' ELSE state END AS state, CASE WHEN ok THEN 0 ELSE attempt_count END AS attempt_count,
-CASE WHEN ok THEN {_NOW} ELSE available_at END AS available_at, NOT ok AS conflict FROM (SELECT *, state IN ('failed', 'dead_letter') AS ok FROM jobs_)""")
+@query(_next_sql(
+    "state attempt_count available_at lease_owner lease_expires_at error_code error_message", "CASE WHEN workspace_id <> 3 THEN 'not_found' WHEN state NOT IN ('failed', 'dead_letter') THEN 'conflict' END",
+    state="'retrying'", attempt_count="0", available_at=_NOW, lease_owner="NULL", lease_expires_at="NULL", error_code="NULL", error_message="NULL",
+))
 def manual_retry(o: Overlay) -> DataFrame:
-    return J.manual_retry(o.jobs(), now())
+    return J.manual_retry(o.jobs(), F.lit(3), now())
 
 
 @query("SELECT workspace_id, job_type, idempotency_key, arg_min(id, (created_at, id)) AS job_id, (count(*) - 1)::BIGINT AS replays FROM jobs_ GROUP BY ALL")
@@ -335,18 +378,35 @@ def payload_filter(o: Overlay) -> DataFrame:
     return J.for_document(o.jobs(), "17").select("id", "state")
 
 
+@query("""SELECT j.id, CASE WHEN j.job_type = 'delete_object' THEN 'delete:' || coalesce(n, 0) WHEN v.id IS NULL THEN 'error:version_missing'
+WHEN coalesce(d.deleted, true) THEN 'error:document_gone' ELSE 'activate' END AS action FROM jobs_ j LEFT JOIN versions_ v ON v.id = json_extract_string(payload, '$.document_version_id')::BIGINT
+LEFT JOIN documents_ d ON d.id = v.document_id LEFT JOIN (SELECT document_id, count(*) AS n FROM versions_ GROUP BY document_id) c ON c.document_id = json_extract_string(payload, '$.document_id')::BIGINT
+WHERE j.state = 'leased'""")
+def job_actions(o: Overlay) -> DataFrame:
+    return J.dispatched(o.jobs(), o.documents(), o.versions())
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN 'k ' || id WHEN id % 3 = 1 THEN NULL ELSE repeat('x', 255) END AS key, CASE id % 4 WHEN 0 THEN 'empty' WHEN 1 THEN 'too_large' END AS refusal FROM jobs_")
+def upload_rules(o: Overlay) -> DataFrame:
+    k, n = F.col("id") % 3, F.col("id") % 4
+    key = F.when(k == 0, F.concat(F.lit("\t k "), F.col("id").cast("string"), F.lit("\n"))).when(k == 1, F.when(n < 2, " \u2003").otherwise("x" * 256)).otherwise(" " + "x" * 255)
+    size = F.when(n == 0, 0).when(n == 1, S.MAX_UPLOAD + 1).when(n == 2, S.MAX_UPLOAD).otherwise(1)
+    return o.jobs().select("id", S.idempotency_key(key).alias("key"), S.upload_refusal(size).alias("refusal"))
+
+
 @query("SELECT job_type, state, count(*) AS n FROM jobs_ GROUP BY ALL")
 def job_dispatch(o: Overlay) -> DataFrame:
     return o.jobs().groupBy("job_type", "state").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT j.id, CASE WHEN d.id IS NULL THEN 'missing_document' WHEN d.deleted THEN 'deleted' ELSE 'ok' END AS target
-FROM jobs_ j LEFT JOIN documents_ d ON d.id = json_extract_string(payload, '$.document_id')::BIGINT""")
+@query("""SELECT j.id, CASE WHEN d.id IS NULL THEN 'missing_document' WHEN d.deleted THEN 'deleted' ELSE 'ok' END AS target, v.object_key
+FROM jobs_ j LEFT JOIN documents_ d ON d.id = json_extract_string(payload, '$.document_id')::BIGINT LEFT JOIN versions_ v ON v.id = json_extract_string(payload, '$.document_version_id')::BIGINT""")
 def job_targets(o: Overlay) -> DataFrame:
-    target = F.get_json_object("payload", "$.document_id").cast("long").alias("document_id")
+    field = lambda name: F.get_json_object("payload", f"$.{name}").cast("long").alias(name)
     d = o.documents().select(F.col("id").alias("document_id"), "deleted")
-    rows = o.jobs().select("id", target).join(d, "document_id", "left")
-    return rows.select("id", F.when(F.col("deleted").isNull(), "missing_document").when(F.col("deleted"), "deleted").otherwise("ok").alias("target"))
+    v = o.versions().select(F.col("id").alias("document_version_id"), "object_key")
+    rows = o.jobs().select("id", field("document_id"), field("document_version_id")).join(d, "document_id", "left").join(v, "document_version_id", "left")
+    return rows.select("id", F.when(F.col("deleted").isNull(), "missing_document").when(F.col("deleted"), "deleted").otherwise("ok").alias("target"), "object_key")
 
 
 @query("SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
@@ -362,14 +422,32 @@ def session_reuse_families(o: Overlay) -> DataFrame:
     return Z.reused_families(o.sessions())
 
 
-@query(f"SELECT id, family_id, coalesce(revoked_at, CASE WHEN bool_or(reused) OVER (PARTITION BY family_id) THEN {_NOW} END) AS revoked_at FROM sessions_")
+@query(f"SELECT id, family_id, CASE WHEN bool_or(reused) OVER (PARTITION BY family_id) THEN {_NOW} ELSE revoked_at END AS revoked_at FROM sessions_")
 def family_revocation(o: Overlay) -> DataFrame:
     return Z.revoke_families(o.sessions(), now())
 
 
-@query("SELECT id, CASE WHEN used_at IS NOT NULL OR revoked_at IS NOT NULL THEN 'family_revoked' WHEN expires_at <= TIMESTAMP '2024-01-25 00:00:00' THEN 'expired' ELSE 'rotated' END AS outcome FROM sessions_")
+_LATER = "2024-01-25 00:00:00"
+_OUTCOMES = f"""(SELECT s.*, CASE WHEN s.id % 2 <> 0 THEN NULL WHEN s.id % 10 = 0 THEN 'invalid' WHEN used_at IS NOT NULL OR revoked_at IS NOT NULL THEN 'family_revoked'
+WHEN expires_at <= TIMESTAMP '{_LATER}' THEN 'expired' WHEN NOT coalesce(is_active, false) THEN 'inactive' ELSE 'rotated' END AS outcome FROM sessions_ s LEFT JOIN users_ u ON u.id = s.user_id)"""
+
+
+def _rotated(o: Overlay) -> DataFrame:
+    hashed = F.sha2(F.encode(F.when(F.col("id") % 10 == 0, "wrong").otherwise(F.col("id").cast("string")), "utf-8"), 256)
+    asked = o.sessions().where("id % 2 = 0").select("id", hashed.alias("secret_hash"), (F.col("id") + 1_000_000_000).alias("new_id"))
+    return Z.rotation(o.sessions(), asked, o.users(), F.lit(_LATER).cast("timestamp_ntz"))
+
+
+@query(f"""SELECT id, family_id, user_id, outcome, CASE WHEN outcome = 'rotated' THEN TIMESTAMP '{_LATER}' ELSE used_at END AS used_at,
+CASE WHEN outcome IN ('rotated', 'expired', 'inactive') OR bool_or(coalesce(outcome = 'family_revoked', false)) OVER (PARTITION BY family_id) THEN TIMESTAMP '{_LATER}' ELSE revoked_at END AS revoked_at,
+CASE WHEN outcome = 'rotated' THEN id + 1000000000 END AS replaced_by FROM {_OUTCOMES}""")
 def session_rotation(o: Overlay) -> DataFrame:
-    return Z.rotation(o.sessions(), F.lit("2024-01-25 00:00:00").cast("timestamp_ntz"))
+    return _rotated(o)
+
+
+@query(f"SELECT id + 1000000000 AS id, family_id, user_id, TIMESTAMP '{_LATER}' AS created_at, TIMESTAMP '{_LATER}' + INTERVAL 14 DAY AS expires_at FROM {_OUTCOMES} WHERE outcome = 'rotated'")
+def session_replacements(o: Overlay) -> DataFrame:
+    return Z.replacements(_rotated(o), F.lit(_LATER).cast("timestamp_ntz"), 14)
 
 
 @query(f"SELECT id, coalesce(revoked_at, {_NOW}) AS revoked_at FROM sessions_")
@@ -628,11 +706,11 @@ def stream_windows(o: Overlay) -> DataFrame:
     return counts.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
-@query("SELECT id, 'exhausted' AS error_code FROM jobs_ WHERE state IN ('leased', 'processing') AND attempt_count >= max_attempts")
+@query(f"SELECT id, 'exhausted' AS error_code FROM (SELECT *, {_OWN} AS r FROM jobs_) WHERE r IS NULL AND attempt_count >= max_attempts")
 def stream_dead_letters(o: Overlay) -> DataFrame:
     jobs = StreamOverlay(o.spark, o.sf_dir).jobs()
-    ended = J.failed(jobs, F.lit(True), F.lit("exhausted"), F.lit(""), now())
-    return Q.split_once(ended, {"dead": F.col("state") == "dead_letter", "again": F.col("state") == "retrying"})["dead"].select("id", "error_code")
+    ended = J.failed(jobs, F.lit("worker-1"), F.lit(True), F.lit("exhausted"), F.lit(""), now())
+    return Q.split_once(ended, {"dead": F.col("rejected").isNull() & (F.col("state") == "dead_letter"), "again": F.col("rejected").isNull() & (F.col("state") == "retrying")})["dead"].select("id", "error_code")
 
 
 @query(f"SELECT id FROM jobs_ WHERE (state IN ('queued', 'retrying') AND available_at <= {_NOW}) OR (state IN ('leased', 'processing') AND lease_expires_at < {_NOW})")

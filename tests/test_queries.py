@@ -4,7 +4,7 @@ import __spark_entry__
 from ledgerloom.plans.queries import ORACLE_SQL, QUERIES
 from oracle import same_rows
 
-MAY_BE_EMPTY = {"tenant_scope_unset", "quota_violations", "rate_limits", "duplicate_content", "citation_validity"}
+MAY_BE_EMPTY = {"tenant_scope_unset", "quota_violations", "rate_limits", "duplicate_content", "citation_validity", "stream_dead_letters", "processing_versions", "failure_propagation"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -23,9 +23,23 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_tenant_filter_reaches_the_scan(spark, sf):
-    from ledgerloom.operators.tenancy import scoped
+def test_tenant_filter_reads_one_workspace_only(spark, sf, tmp_path):
+    from ledgerloom.operators.tenancy import scoped, stored
     from ledgerloom.plans.overlay import Overlay
 
-    plan = scoped(Overlay(spark, sf).documents(), 3)._jdf.queryExecution().executedPlan().toString()
-    assert "Filter" in plan.split("HashAggregate")[-1]
+    documents = Overlay(spark, sf).documents()
+    table = stored(documents, str(tmp_path / "documents"), 2)
+    plan = scoped(table, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(workspace_id" in plan and "(workspace_id" in plan.split("PartitionFilters")[1].split("]")[0]
+    same = [sorted(map(tuple, scoped(x, 3).select(*documents.columns).collect())) for x in (table, documents)]
+    assert same[0] == same[1] != []
+
+
+def test_entry_without_the_training_data_package(monkeypatch):
+    import sys
+
+    for name in [x for x in sys.modules if x.startswith("ledgerloom.llm") or x == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    assert set(__spark_entry__.queries()) == set(QUERIES)
+    monkeypatch.undo()

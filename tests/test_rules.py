@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
 from ledgerloom.operators import jobs as J
+from ledgerloom.operators import sessions as Z
 from ledgerloom.sources.objects import ObjectStore
 
 
-
 @pytest.fixture
 def now(spark):
     return F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
@@ -60,11 +60,11 @@ def test_contained(spark, key, ok):
     assert one(spark, S.is_contained(F.col("k")), k=key) is ok
 
 
-JOB = "id long, state string, available_at timestamp_ntz, created_at timestamp_ntz, lease_owner string, lease_expires_at timestamp_ntz, attempt_count int, max_attempts int"
+JOB = "id long, state string, available_at timestamp_ntz, created_at timestamp_ntz, lease_owner string, lease_expires_at timestamp_ntz, attempt_count int, max_attempts int, error_code string, error_message string, workspace_id long"
 
 
 def jobs(spark, *rows):
-    return spark.createDataFrame([tuple(r) for r in rows], JOB)
+    return spark.createDataFrame([(*r, "old", "older", 1) for r in rows], JOB)
 
 
 def at(second):
@@ -84,12 +84,62 @@ def test_claim_and_reclaim(spark, now):
 
 
 def test_dead_letter_and_retry(spark, now):
-    rows = jobs(spark, (1, "processing", at(-5), at(-9), "w", at(9), 1, 1), (2, "processing", at(-5), at(-9), "w", at(9), 1, 5))
-    after = {r.id: r for r in J.failed(rows, F.lit(True), F.lit("e" * 200), F.lit("m"), now).collect()}
-    assert after[1].state == "dead_letter" and after[2].state == "retrying" and len(after[1].error_code) == 100
+    rows = jobs(
+        spark, (1, "processing", at(-5), at(-9), "w", at(9), 1, 1), (2, "processing", at(-5), at(-9), "w", at(9), 1, 5), (3, "leased", at(-5), at(-9), "other", at(9), 1, 5),
+        (4, "leased", at(-5), at(-9), "w", at(0), 1, 5), (5, "queued", at(-5), at(-9), "w", at(9), 1, 5),
+    )
+    after = {r.id: r for r in J.failed(rows, F.lit("w"), F.lit(True), F.lit("e" * 200), F.lit("m"), now).collect()}
+    assert after[1].state == "dead_letter" and after[2].state == "retrying" and len(after[1].error_code) == 64
     assert at(1) <= after[2].available_at <= at(2)
+    assert after[1].lease_owner is after[1].lease_expires_at is None
+    assert [after[i].rejected for i in (1, 2, 3, 4, 5)] == [None, None, "not_owner", "lease_expired", "not_held"]
+    assert (after[3].state, after[3].lease_owner, after[3].error_code) == ("leased", "other", "old")
     dead = rows.withColumn("state", F.lit("dead_letter"))
-    assert [(r.state, r.attempt_count, r.conflict) for r in J.manual_retry(dead, now).collect()] == [("retrying", 0, False)] * 2
+    got = J.manual_retry(dead, F.lit(1), now).collect()
+    assert {(r.state, r.attempt_count, r.lease_owner, r.error_code, r.rejected) for r in got} == {("retrying", 0, None, None, None)}
+    assert {r.rejected for r in J.manual_retry(dead, F.lit(2), now).collect()} == {"not_found"}
+    assert {r.rejected for r in J.manual_retry(rows, F.lit(1), now).collect()} == {"conflict"}
+    done = {r.id: r for r in J.transition(rows, "complete", F.lit("w"), now).collect()}
+    assert (done[2].state, done[2].lease_owner, done[2].error_code, done[3].state) == ("completed", None, None, "leased")
+    assert {r.error_code for r in J.claim(jobs(spark, (1, "queued", at(-5), at(-9), None, None, 0, 5)), "n", 1, 9, now).collect()} == {None}
+
+
+def test_failure_touches_versions_of_document_jobs_only(spark):
+    rows = spark.createDataFrame(
+        [("process_document", "failed", None, 1), ("process_document", "retrying", None, 2), ("delete_object", "failed", None, 3), ("process_document", "dead_letter", "not_owner", 4)],
+        "job_type string, state string, rejected string, v long",
+    ).withColumn("payload", F.format_string('{"document_version_id":"%d"}', "v"))
+    assert {(r.version_id, r.status) for r in J.version_updates(rows, "fail").collect()} == {(1, "failed"), (2, "queued")}
+    assert {r.version_id for r in J.version_updates(rows, "start").collect()} == {1, 2}
+
+
+def test_session_rotation(spark, now):
+    kind = "id long, family_id long, user_id long, token_hash string, expires_at timestamp_ntz, used_at timestamp_ntz, revoked_at timestamp_ntz, reused boolean"
+    rows = [
+        (1, 1, 1, "h", at(9), at(-9), at(-9), True), (2, 1, 1, "h", at(9), None, at(-5), False), (3, 1, 1, "h", at(9), None, None, False), (4, 2, 1, "h", at(0), None, None, False),
+        (5, 3, 2, "h", at(9), None, None, False), (6, 4, 1, "h", at(9), None, None, False), (7, 5, 1, "h", at(9), None, None, False), (8, 6, 1, "h", at(9), None, at(-4), False),
+    ]
+    sessions = spark.createDataFrame(rows, kind)
+    users = spark.createDataFrame([(1, True), (2, False)], "id long, is_active boolean")
+    asked = spark.createDataFrame([(1, "h", 101), (4, "h", 104), (5, "h", 105), (6, "h", 106), (7, "x", 107)], "id long, secret_hash string, new_id long")
+    got = {r.id: (r.outcome, r.used_at, r.revoked_at, r.replaced_by) for r in Z.rotation(sessions, asked, users, now).collect()}
+    zero = at(0)
+    assert got == {
+        1: ("family_revoked", at(-9), zero, None), 2: (None, None, zero, None), 3: (None, None, zero, None), 4: ("expired", None, zero, None), 5: ("inactive", None, zero, None),
+        6: ("rotated", zero, zero, 106), 7: ("invalid", None, None, None), 8: (None, None, at(-4), None),
+    }
+    assert [tuple(r)[:3] for r in Z.replacements(Z.rotation(sessions, asked, users, now), now, 14).collect()] == [(106, 4, 1)]
+    revoked = {r.id: r.revoked_at for r in Z.revoke_families(sessions, now).collect()}
+    assert revoked[1] == revoked[2] == revoked[3] == zero and revoked[8] == at(-4) and revoked[4] is None
+
+
+def test_texts_end_where_they_end(spark):
+    assert one(spark, S.is_slug(F.col("k")), k="abc") is True and one(spark, S.is_slug(F.col("k")), k="abc\n") is False
+    assert one(spark, S.normal_email(F.col("k")), k="\t A@B.co\u2003\n") == "a@b.co"
+    plain = "00000000-0000-4000-8000-00000000000a"
+    for text in (plain, plain.replace("-", "").upper(), "{" + plain + "}", "urn:uuid:" + plain):
+        assert one(spark, S.parse_uuid(F.col("k")), k=text) == plain
+    assert one(spark, S.parse_uuid(F.col("k")), k=plain + "\n") is None and one(spark, S.parse_uuid(F.col("k")), k="zz") is None
 
 
 def test_objects(spark, tmp_path):
