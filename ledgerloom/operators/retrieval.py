@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 
 WINDOW, OVERLAP, FUSION = 350, 60, 60
 K1, B = 1.2, 0.75
+#: Query terms, counted, up to which they and what is kept for each of them are broadcast.
+BROADCAST_TERMS = 400_000
+
+
+def _marked(terms: DataFrame):
+    """How to join with the query terms: by broadcast if they are counted to be few, else as the planner likes."""
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    return F.broadcast if few else lambda df: df
 
 
 def tokens(text: Column) -> Column:
@@ -36,19 +44,19 @@ def with_context(chunks: DataFrame, titles: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): only postings of the queries' terms are made, and the terms are joined before anything is grouped."""
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    wanted = terms.select("term").distinct()
+    wanted, marked = terms.select("term").distinct(), _marked(terms)
     words = docs.select("doc_id", tokens(F.col("text")).alias("words"))
     totals = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
     # The length goes into the exploded elements, so rows don't carry their document's array along.
     sized = F.transform("words", lambda x: F.struct(x.alias("term"), F.size("words").alias("length")))
-    posts = words.select("doc_id", F.explode(sized).alias("x")).select("doc_id", "x.*").join(F.broadcast(wanted), "term")
+    posts = words.select("doc_id", F.explode(sized).alias("x")).select("doc_id", "x.*").join(marked(wanted), "term")
     posts = posts.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    # The terms of the stated queries bound both broadcast sides.
-    scored = posts.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals)).select("term", "doc_id", (idf * weight).alias("part"))
-    return _by_document(scored).join(F.broadcast(terms), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 4).alias("score"))
+    # A row for each term; the totals are one row.
+    scored = posts.join(marked(df), "term").crossJoin(F.broadcast(totals)).select("term", "doc_id", (idf * weight).alias("part"))
+    return _by_document(scored).join(marked(terms), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 4).alias("score"))
 
 
 def _by_document(postings: DataFrame) -> DataFrame:
@@ -68,8 +76,9 @@ def top(scores: DataFrame, k: int) -> DataFrame:
 def term_overlap(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): how many distinct query terms a document has."""
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(F.broadcast(terms.select("term").distinct()), "term")
-    return _by_document(words).join(F.broadcast(terms), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
+    marked = _marked(terms)
+    words = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(marked(terms.select("term").distinct()), "term")
+    return _by_document(words).join(marked(terms), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
 
 
 def fuse(a: DataFrame, b: DataFrame, k: int = FUSION) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,12 +36,18 @@ class ObjectStore:
         return len(content)
 
     def move(self, source: str, target: str) -> None:
-        """Renames an object onto its final key, replacing what is there."""
-        place = self.path(target)
+        """Renames an object onto its final key; what is there is set aside first and comes back if the rename fails."""
+        place, aside = self.path(target), self.path(f"{target}.replaced-{uuid.uuid4().hex}")
+        if not self._fs.exists(self.path(source)):
+            raise FileNotFoundError(source)
         self._fs.mkdirs(place.getParent())
-        self._fs.delete(place, False)
+        held = self._fs.exists(place) and self._fs.rename(place, aside)
         if not self._fs.rename(self.path(source), place):
-            raise FileNotFoundError(source)
+            if held:
+                self._fs.rename(aside, place)
+            raise OSError(f"{source} could not be moved")
+        if held:
+            self._fs.delete(aside, False)
 
     def delete(self, key: str) -> None:
         self._fs.delete(self.path(key), False)

@@ -14,10 +14,13 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or a local one where that's unset, as in tests."""
+    """A folder that driver and executors share: spark.checkpoint.dir; in local mode, where that's unset, a temporary one."""
     import tempfile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or "file://" + tempfile.gettempdir()
     return f"{base.rstrip('/')}/ledgerloom-stream/{uuid.uuid4().hex}"
 
 

@@ -35,6 +35,12 @@ def test_tenant_filter_reads_one_workspace_only(spark, sf, tmp_path):
     assert same[0] == same[1] != []
 
 
+@pytest.mark.parametrize("name", ["lexical_bm25", "rrf_fusion"])
+def test_retrieval_with_too_many_terms_to_broadcast(spark, sf, monkeypatch, name):
+    monkeypatch.setattr("ledgerloom.operators.retrieval.BROADCAST_TERMS", 0)
+    assert same_rows(spark, sf, QUERIES[name], ORACLE_SQL[name])
+
+
 def test_entry_without_the_training_data_package(monkeypatch):
     import sys
 

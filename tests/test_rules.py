@@ -152,6 +152,11 @@ def test_objects(spark, tmp_path):
     store.move("staging/1/a", "workspaces/1/a")
     assert [(r.key, r.length) for r in store.stat("workspaces").collect()] == [("workspaces/1/a", 11)]
     assert bytes(store.read("workspaces/1/a").head().content) == b"hello world"
+    with pytest.raises(FileNotFoundError):
+        store.move("staging/1/gone", "workspaces/1/a")
+    store.write("staging/1/c", b"newer")
+    store.move("staging/1/c", "workspaces/1/a")
+    assert [(r.key, r.length) for r in store.stat("workspaces").collect()] == [("workspaces/1/a", 5)]
     store.write("staging/1/b", b"x")
     assert store.delete_stale_staging(datetime(2000, 1, 1)) == 0
     assert store.delete_stale_staging(datetime(2100, 1, 1)) == 1
