@@ -95,6 +95,19 @@ def backoff_seconds(attempt: Column, job: Column) -> Column:
     return base + F.pmod(job * 7919 + attempt * 104729, F.floor(base / 2).cast("long") + 1).cast("int")
 
 
+def new_uuid() -> Column:
+    """A random id for each row; another one each time that the plan runs, so write it before it's referred to."""
+    return F.expr("uuid()")
+
+
+def natural_uuid(*key: Column) -> Column:
+    """The id that follows from a row's natural key: its SHA-256 in the layout of a version 8 UUID, null if a part is null."""
+    digest = F.sha2(F.encode(F.concat(*[x for k in key for x in (F.lit("|"), k.cast("string"))][1:]), "utf-8"), 256)
+    variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab" * 4)
+    groups = (F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("8"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
+    return F.concat(*[x for g in groups for x in (F.lit("-"), g)][1:])
+
+
 def role_rank(role: Column) -> Column:
     out = F.lit(None).cast("int")
     for name, rank in ROLE_RANK.items():

@@ -9,6 +9,7 @@ from ledgerloom.functions.scalars import backoff_seconds
 
 CODE_LENGTH, MESSAGE_LENGTH, OWNER_LENGTH = 64, 1000, 128
 HELD = ("leased", "processing")
+PENDING = ("queued", "leased", "processing", "retrying")
 
 
 def is_claimable(now: Column) -> Column:
@@ -125,3 +126,11 @@ def latest_state(log: DataFrame, key: str, order: str) -> DataFrame:
     """The current rows of an append-only log of states: one aggregate with map-side maxima."""
     rest = [c for c in log.columns if c not in (key, order)]
     return log.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("v")).select(key, "v.*")
+
+
+def pending_documents(documents: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Whether any job of a document is under way, which its reader waits for, and the first such job; no list of jobs is built."""
+    target = F.get_json_object("payload", "$.document_id").cast("long").alias("document_id")
+    due = jobs.where(F.col("state").isin(*PENDING)).groupBy(target).agg(F.min("id").alias("first_pending"))
+    rows = documents.select(F.col("id").alias("document_id")).join(due, "document_id", "left")
+    return rows.select("document_id", F.col("first_pending").isNotNull().alias("pending"), "first_pending")

@@ -102,3 +102,9 @@ def for_worker(rows: DataFrame) -> DataFrame:
 def refused_writes(rows: DataFrame) -> DataFrame:
     """Rows that may not be written in this context; a write goes ahead only if there's none."""
     return rows.where("NOT coalesce(workspace_id = session.app_workspace_id, false)")
+
+
+def workspace_counts(users: DataFrame, memberships: DataFrame) -> DataFrame:
+    """How many workspaces each user is a member of, none included."""
+    counts = memberships.groupBy("user_id").agg(F.count("*").alias("workspaces"))
+    return users.select(F.col("id").alias("user_id")).join(counts, "user_id", "left").select("user_id", F.coalesce("workspaces", F.lit(0)).alias("workspaces"))

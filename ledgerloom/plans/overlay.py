@@ -146,4 +146,5 @@ SQL = {
 def with_relations(query: str) -> str:
     """A DuckDB query over the relations that it names, each with a trailing underscore."""
     used = [name for name in SQL if name in query]
-    return "WITH " + ", ".join(f"{name} AS ({SQL[name]})" for name in used) + " " + query if used else query
+    own = query.removeprefix("WITH ")
+    return "WITH " + ", ".join(f"{name} AS ({SQL[name]})" for name in used) + (", " if own != query else " ") + own if used else query

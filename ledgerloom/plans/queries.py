@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
+from ledgerloom.operators import catalog as L
 from ledgerloom.operators import changes as C
 from ledgerloom.operators import chunking as K
 from ledgerloom.operators import documents as D
 from ledgerloom.operators import jobs as J
+from ledgerloom.operators import registry as P
 from ledgerloom.operators import retrieval as R
 from ledgerloom.operators import sessions as Z
 from ledgerloom.operators import tenancy as T
@@ -67,10 +69,24 @@ def readiness(o: Overlay) -> DataFrame:
     return o.spark.sql("SELECT 1 AS ready")
 
 
-@query("SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN ('nation', 'region')")
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+_LISTED = f"SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN ({', '.join(repr(t) for t in _TABLES)})"
+
+
+def _listed(o: Overlay) -> DataFrame:
+    return L.columns(o.spark, {t: o.table(t) for t in _TABLES})
+
+
+@query(_LISTED)
 def catalog_columns(o: Overlay) -> DataFrame:
-    names = [(t, c) for t in ("nation", "region") for c in o.table(t).columns]
-    return o.spark.createDataFrame(names, "table_name string, column_name string")
+    return _listed(o)
+
+
+@query(f"""WITH k AS (SELECT table_name, column_name, regexp_extract(column_name, '_([a-z]+)key$', 1) AS stem FROM ({_LISTED}) WHERE column_name LIKE '%key')
+SELECT s.table_name AS source_table, s.column_name AS source_column, t.table_name AS target_table, t.column_name AS target_column
+FROM k s JOIN k t ON s.stem = t.stem WHERE s.stem <> '' AND t.table_name LIKE t.stem || '%' AND s.table_name <> t.table_name""")
+def catalog_references(o: Overlay) -> DataFrame:
+    return L.references(_listed(o))
 
 
 @query("SELECT w.id, name, slug, role FROM workspaces_ w JOIN memberships_ m ON m.workspace_id = w.id WHERE user_id = 45")
@@ -78,6 +94,11 @@ def workspaces_for_user(o: Overlay) -> DataFrame:
     return T.workspaces_of(o.workspaces(), o.memberships(), 45)
 
 
+@query("SELECT u.id AS user_id, count(m.id) AS workspaces FROM users_ u LEFT JOIN memberships_ m ON m.user_id = u.id GROUP BY u.id")
+def workspace_counts(o: Overlay) -> DataFrame:
+    return T.workspace_counts(o.users(), o.memberships())
+
+
 @query("SELECT m.id, user_id, role, display_name, email, is_active FROM memberships_ m LEFT JOIN users_ u ON u.id = m.user_id WHERE workspace_id = 4")
 def members_with_users(o: Overlay) -> DataFrame:
     return T.members_with_users(o.memberships(), o.users(), 4)
@@ -203,6 +224,18 @@ def next_version_number(o: Overlay) -> DataFrame:
     return D.next_version_numbers(o.documents(), o.versions())
 
 
+@query("""WITH offered AS (SELECT conv_id % 200 AS name, conv_id * 1000 + turn AS seq, sha256(text) AS digest FROM conversations
+UNION ALL SELECT doc_id % 200, -doc_id, sha256(text) FROM documents WHERE doc_id % 5 = 0),
+fresh AS (SELECT name, digest, min(seq) AS seq FROM offered o WHERE digest IS NOT NULL AND NOT EXISTS (SELECT 1 FROM versions_ v WHERE v.document_id = o.name AND v.sha256 = o.digest) GROUP BY name, digest)
+SELECT name, coalesce((SELECT max(version_number) FROM versions_ v WHERE v.document_id = name), 0)::BIGINT + row_number() OVER (PARTITION BY name ORDER BY seq, digest) AS version, digest FROM fresh""")
+def registry_versions(o: Overlay) -> DataFrame:
+    digest = F.sha2(F.encode("text", "utf-8"), 256).alias("digest")
+    turns = o.table("conversations").select((F.col("conv_id") % 200).alias("name"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), digest)
+    again = o.table("documents").where("doc_id % 5 = 0").select((F.col("doc_id") % 200).alias("name"), (-F.col("doc_id")).alias("seq"), digest)
+    entries = o.versions().select(F.col("document_id").alias("name"), F.col("version_number").alias("version"), F.col("sha256").alias("digest"))
+    return P.register(entries, turns.unionByName(again))
+
+
 @query("SELECT id, first_id FROM (SELECT id, min(id) OVER (PARTITION BY lang, sha256) AS first_id FROM versions_) WHERE id > first_id")
 def duplicate_content(o: Overlay) -> DataFrame:
     return D.duplicate_content(o.versions(), "lang")
@@ -394,6 +427,13 @@ def upload_rules(o: Overlay) -> DataFrame:
     return o.jobs().select("id", S.idempotency_key(key).alias("key"), S.upload_refusal(size).alias("refusal"))
 
 
+@query("""SELECT d.id AS document_id, coalesce(bool_or(state IN ('queued', 'leased', 'processing', 'retrying')), false) AS pending,
+min(j.id) FILTER (WHERE state IN ('queued', 'leased', 'processing', 'retrying')) AS first_pending
+FROM documents_ d LEFT JOIN jobs_ j ON json_extract_string(payload, '$.document_id')::BIGINT = d.id GROUP BY d.id""")
+def pending_documents(o: Overlay) -> DataFrame:
+    return J.pending_documents(o.documents(), o.jobs())
+
+
 @query("SELECT job_type, state, count(*) AS n FROM jobs_ GROUP BY ALL")
 def job_dispatch(o: Overlay) -> DataFrame:
     return o.jobs().groupBy("job_type", "state").agg(F.count("*").alias("n"))
@@ -502,6 +542,12 @@ def refresh_token_parse(o: Overlay) -> DataFrame:
     return o.table("events").select("event_id", S.refresh_token(F.concat_ws(".", ident, secret))["secret_hash"].alias("secret_hash"))
 
 
+@query("""SELECT event_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-8' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id
+FROM (SELECT event_id, sha256('event|' || event_id) AS h FROM events)""")
+def natural_uuids(o: Overlay) -> DataFrame:
+    return o.table("events").select("event_id", S.natural_uuid(F.lit("event"), F.col("event_id")).alias("id"))
+
+
 @query("SELECT attempt::BIGINT AS attempt, least(300, 2 ** greatest(0, attempt - 1))::BIGINT AS least_seconds FROM range(1, 13) t(attempt)")
 def backoff_table(o: Overlay) -> DataFrame:
     seconds = F.least(F.lit(S.BACKOFF_LIMIT), F.power(F.lit(2), F.greatest(F.lit(0), F.col("id") - 1)).cast("int"))
@@ -695,7 +741,11 @@ def stream_deduplicated(o: Overlay) -> DataFrame:
     return Q.run_once(Q.deduplicated(Q.event_stream(o.spark, o.sf_dir), ["user_id", "event_type"]).select("user_id", "event_type", F.lit(True).alias("seen")))
 
 
-@query()
+@query("""WITH r AS (SELECT user_id, epoch(date_trunc('second', ts))::BIGINT AS sec, event_type IN ('click', 'view') AS takes, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+g AS (SELECT *, count(*) FILTER (WHERE takes) OVER w AS lease, max(CASE WHEN takes THEN n END) OVER w AS last FROM r WINDOW w AS (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+e AS (SELECT g.*, r.sec + 60 AS ends FROM g LEFT JOIN r ON r.user_id = g.user_id AND r.n = g.last),
+u AS (SELECT *, CASE WHEN lease = 0 OR coalesce(bool_or(NOT takes AND sec < ends) OVER (PARTITION BY user_id, lease ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 0 ELSE ends END AS until FROM e)
+SELECT user_id, count(*) FILTER (WHERE takes AND sec > until) AS attempts, count(*) FILTER (WHERE NOT takes AND sec >= until) AS fenced FROM u GROUP BY user_id""")
 def stream_leases(o: Overlay) -> DataFrame:
     return Q.run_once(Q.lease_outcomes(Q.event_stream(o.spark, o.sf_dir)), "update")
 

@@ -44,16 +44,22 @@ LEASES = "user_id long, attempts long, fenced long"
 _STATE = "until long, attempts long, fenced long"
 
 
-def lease_outcomes(events: DataFrame, lease_seconds: int = 60) -> DataFrame:
+def lease_outcomes(events: DataFrame, lease_seconds: int = 60, idle_seconds: int | None = None, delay: str = "0 seconds") -> DataFrame:
     """Per job (here a user's events): attempts, and results fenced off because their lease had run out.
 
     A click or view takes or retakes the lease; any other event is a worker's result, which counts only under a lease.
+    With ``idle_seconds`` the state of a job is dropped once the watermark is so far beyond its last event; an event
+    that comes later counts from zero.  Without, counts are over all time and so is the state.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         until, attempts, fenced = state.get if state.exists else (0, 0, 0)
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        for at, kind in zip(rows["at"].astype("int64") // 10**9, rows["event_type"], strict=True):
+        times = rows["at"].to_numpy().astype("datetime64[s]").astype("int64").tolist()
+        for at, kind in zip(times, rows["event_type"], strict=True):
             if kind in ("click", "view"):
                 if at > until:
                     attempts += 1
@@ -63,10 +69,14 @@ def lease_outcomes(events: DataFrame, lease_seconds: int = 60) -> DataFrame:
             else:
                 until = 0
         state.update((int(until), int(attempts), int(fenced)))
+        if idle_seconds is not None:
+            state.setTimeoutTimestamp(max((times[-1] + idle_seconds) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]], "attempts": [attempts], "fenced": [fenced]})
 
-    rows = events.select("user_id", "event_id", "at", "event_type")
-    return rows.groupBy("user_id").applyInPandasWithState(step, LEASES, _STATE, "update", GroupStateTimeout.NoTimeout)
+    rows = events if idle_seconds is None else events.withWatermark("at", delay)
+    timeout = GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.EventTimeTimeout
+    rows = rows.select("user_id", "event_id", "at", "event_type")
+    return rows.groupBy("user_id").applyInPandasWithState(step, LEASES, _STATE, "update", timeout)
 
 
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:

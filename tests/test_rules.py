@@ -1,10 +1,13 @@
-from datetime import datetime
+import os
+from datetime import datetime, timedelta
+from uuid import UUID
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
 from ledgerloom.operators import jobs as J
+from ledgerloom.operators import registry as P
 from ledgerloom.operators import sessions as Z
 from ledgerloom.sources.objects import ObjectStore
 
@@ -184,3 +187,34 @@ def test_stream_fences_late_results(spark, tmp_path):
     stream = spark.readStream.schema(Q.EVENTS).parquet(str(tmp_path / "events.parquet")).withColumn("at", F.col("ts").cast("timestamp"))
     found = {r.user_id: (r.attempts, r.fenced) for r in Q.run_once(Q.lease_outcomes(stream), "update").collect()}
     assert found == {7: (1, 1), 8: (0, 1)}
+
+
+def test_uuids(spark):
+    rows = spark.range(50).select(S.new_uuid().alias("a"), S.natural_uuid(F.lit("k"), F.col("id")).alias("b"), S.natural_uuid(F.lit("k"), F.lit(None)).alias("c")).collect()
+    assert len({r.a for r in rows}) == len({r.b for r in rows}) == 50 and all(UUID(r.b).version == 8 and UUID(r.a).version == 4 for r in rows)
+    assert all(UUID(r.b).variant == "specified in RFC 4122" and r.c is None for r in rows)
+
+
+def test_registry_numbers_on_and_replays(spark):
+    entries = spark.createDataFrame([("p", 1, "a"), ("p", 2, "b"), ("q", 1, "a")], "name string, version long, digest string")
+    offered = spark.createDataFrame([("p", 9, "d"), ("p", 8, "c"), ("p", 7, "a"), ("p", 10, "c"), ("r", 1, "a"), ("q", 2, None)], "name string, seq long, digest string")
+    assert sorted(map(tuple, P.register(entries, offered).collect())) == [("p", 3, "c"), ("p", 4, "d"), ("r", 1, "a")]
+    assert P.register(entries, offered.limit(0)).collect() == []
+
+
+def test_lease_state_of_idle_jobs_is_dropped(spark, tmp_path):
+    """Job 1 comes back long after its last event, when its state is gone; without eviction it goes on counting."""
+    from ledgerloom.streaming import queue as Q
+
+    batches = [[(1, 0, 1, "click"), (2, 100, 1, "error")], [(3, 9000, 2, "click")], [(4, 9001, 2, "view")], [(5, 9500, 1, "click")]]
+    for i, batch in enumerate(batches):
+        rows = [(e, datetime(2024, 1, 1) + timedelta(seconds=s), u, kind, 0.0, "") for e, s, u, kind in batch]
+        spark.createDataFrame(rows, Q.EVENTS).coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
+        part = next((tmp_path / f"b{i}").glob("part-*"))
+        (tmp_path / "in" / str(i)).mkdir(parents=True)
+        part.rename(tmp_path / "in" / str(i) / "events.parquet")
+        os.utime(tmp_path / "in" / str(i) / "events.parquet", (1_700_000_000 + 60 * i,) * 2)
+    for idle, expected in ((None, [(1, 1), (2, 1)]), (300, [(1, 1), (1, 0)])):
+        stream = spark.readStream.schema(Q.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+        rows = Q.run_once(Q.lease_outcomes(stream.withColumn("at", F.col("ts").cast("timestamp")), idle_seconds=idle), "update").where("user_id = 1").collect()
+        assert sorted((r.attempts, r.fenced) for r in rows) == sorted(expected)
