@@ -11,12 +11,14 @@ the first hash, and a part works on its own:
    Windows that an earlier document has as well are removed; where only the least run was seen before, with other
    windows around it, both sides go to verification.
 2. The batch becomes a new run of what the index did not have.  Runs of similar size are merged (``FANOUT``), keeping
-   the smallest document, so a lookup meets few of them.
+   the smallest document, so a lookup meets few of them.  Joins and merges go by binary search in sorted runs; only
+   the batch is ever sorted.
 3. Verification fetches the words of both sides and compares two independent 64-bit hashes of every window.
 
 A map task keeps one of its equal windows to itself, so a group of copies sends one record per task, not one per copy.
 Given a ``FingerprintIndex``, the runs outlive the call and later loads are checked against them; ``history`` then has
-the documents loaded before, for verification.  Ids must ascend from load to load, or earlier documents keep words
+the documents loaded before, for verification.  A load adds one run and compacts the index by the same rule, so it
+keeps a number of runs that grows with the logarithm of the loads.  A load reads the runs through one shuffle by part.  Ids must ascend from load to load, or earlier documents keep words
 that a later, smaller id has too.
 
 A null text has no words, a document of fewer than ``length`` words keeps all.  A row with a null id loses nothing, and
@@ -51,46 +53,68 @@ _WINDOW = np.dtype([("hash", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("stamp",
 
 @dataclass
 class FingerprintIndex:
-    """Where the runs of earlier loads lie; ``count`` parts each."""
+    """Where the runs of earlier loads lie, oldest first; ``count`` parts each, a part's entries sorted in one row.
+
+    Runs are never changed: one that is merged becomes part of a new one, and its table stays for older manifests.
+    """
 
     count: int
     tables: list[str] = field(default_factory=list)
+    sizes: list[int] = field(default_factory=list)
 
     def rows(self, spark: SparkSession) -> DataFrame | None:
         return spark.read.schema(PACKED).parquet(*self.tables) if self.tables else None
 
-    def compact(self, spark: SparkSession) -> None:
-        """All runs become one."""
-        rows = self.rows(spark)
-        if rows is None or len(self.tables) < 2:
+    def add(self, spark: SparkSession, path: str) -> None:
+        """A new youngest run, merged with those before it for as long as they aren't much larger."""
+        size = _bytes(spark, path)
+        if not size:
+            return
+        self.tables.append(path)
+        self.sizes.append(size)
+        oldest = len(self.tables) - 1
+        while oldest and self.sizes[oldest - 1] < FANOUT * sum(self.sizes[oldest:]):
+            oldest -= 1
+        self.compact(spark, oldest)
+
+    def compact(self, spark: SparkSession, oldest: int = 0) -> None:
+        """All runs from the ``oldest`` on become one."""
+        if len(self.tables) - oldest < 2:
             return
+        count = self.count
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            entries = unpack(batches, _ENTRY, _ENTRY)[1]
-            if len(entries):
-                entries = _least(entries)
-                yield from pack(entries, part_of(entries["key"], self.count), 1)
+            entries = _all_merged(_arrays(batches, 1)[1])
+            yield from pack(entries, part_of(entries["key"], count), 1)
 
         path = table_path(spark, "run")
-        dealt(rows, merge, PACKED, self.count).write.parquet(path)
-        self.tables = [path]
+        dealt(spark.read.schema(PACKED).parquet(*self.tables[oldest:]), merge, PACKED, count).write.parquet(path)
+        self.tables[oldest:], self.sizes[oldest:] = [path], [_bytes(spark, path)]
 
     def save(self, spark: SparkSession, path: str) -> None:
-        spark.createDataFrame([(json.dumps({"count": self.count, "tables": self.tables}),)], "manifest string").write.mode("overwrite").text(path)
+        manifest = json.dumps({"count": self.count, "tables": self.tables, "sizes": self.sizes})
+        spark.createDataFrame([(manifest,)], "manifest string").write.mode("overwrite").text(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FingerprintIndex:
         return cls(**json.loads(spark.read.text(path).head().value))
 
 
-def _ordered(entries: np.ndarray) -> np.ndarray:
-    return entries[np.lexsort((entries["first"], entries["doc"], entries["context"], entries["key"]))]
+def _bytes(spark: SparkSession, path: str) -> int:
+    return spark.read.schema(PACKED).parquet(path).agg(F.sum(F.octet_length("payload").cast("long"))).head()[0] or 0
+
 
+def _arrays(batches: Iterator[pa.RecordBatch], *kinds: int) -> dict[int, list[np.ndarray]]:
+    """The rows of a part, each an array of its own, by kind; those of ``kinds`` are entries, the others spans."""
+    found: dict[int, list[np.ndarray]] = {0: [], 1: [], 2: []}
+    for batch in batches:
+        for kind, payload in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+            found[kind].append(np.frombuffer(payload, _ENTRY if kind in kinds else SPAN))
+    return found
 
-def _least(entries: np.ndarray) -> np.ndarray:
-    """Sorted, of equal windows those of the smallest document, at its first place."""
-    entries = _ordered(entries)
-    return entries[heads(entries["key"], entries["context"])]
+
+def _ordered(entries: np.ndarray) -> np.ndarray:
+    return entries[np.lexsort((entries["first"], entries["doc"], entries["context"], entries["key"]))]
 
 
 def _spans_of(entries: np.ndarray, length: int) -> np.ndarray:
@@ -143,32 +167,91 @@ def _send(length: int, key: int, count: int):
     return send
 
 
+def _key_range(run: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.ascontiguousarray(run["key"])
+    return np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+
+
+def _place(run: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of the entries lies in a sorted run, or would be inserted, and whether it's there."""
+    context = np.ascontiguousarray(run["context"])
+    at, end = _key_range(run, entries["key"])
+    stop = end.copy()
+    while len(left := np.flatnonzero(at < stop)):
+        middle = (at[left] + stop[left]) >> 1
+        less = context[middle] < entries["context"][left]
+        at[left[less]] = middle[less] + 1
+        stop[left[~less]] = middle[~less]
+    there = at < end
+    there[there] = context[at[there]] == entries["context"][there]
+    return at, there
+
+
+def _within(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """All places of ranges, one range after the other."""
+    size = stop - start
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _merged(old: np.ndarray, young: np.ndarray) -> np.ndarray:
+    """Two sorted runs as one, with the smaller document where both have the windows."""
+    at, there = _place(old, young)
+    out, both = old.copy(), np.flatnonzero(there)
+    both = both[young["doc"][both] < old["doc"][at[both]]]
+    out[at[both]] = young[both]
+    return np.insert(out, at[~there], young[~there])
+
+
+def _all_merged(runs: list[np.ndarray]) -> np.ndarray:
+    """Sorted runs as one, the smallest first, so that no entry is moved often."""
+    out = np.zeros(0, _ENTRY)
+    for run in sorted(runs, key=len):
+        out = _merged(run, out)
+    return out
+
+
 class _Runs:
-    """The runs of one part, youngest last."""
+    """The sorted runs of one part, youngest last."""
 
-    def __init__(self, old: np.ndarray):
-        self.old = [_least(old)] if len(old) else []
-        self.runs = list(self.old)
+    def __init__(self, old: list[np.ndarray]):
+        self.runs = sorted((x for x in old if len(x)), key=len, reverse=True)
 
     def join(self, batch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Merge-join of a batch with all runs: (entries removed, entries in doubt, what they're in doubt with, new to the index)."""
-        entries = np.concatenate([*self.runs, batch])
-        fresh = np.zeros(len(entries), bool)
-        fresh[len(entries) - len(batch) :] = True
-        order = np.lexsort((entries["first"], fresh, entries["doc"], entries["context"], entries["key"]))
-        entries, fresh = entries[order], fresh[order]
-        new = heads(entries["key"], entries["context"])
-        first = entries["doc"] == entries["doc"][new][np.cumsum(new) - 1]
-        key = heads(entries["key"])
-        group = np.cumsum(key) - 1
-        n = int(group[-1]) + 1 if len(group) else 0
-        smallest = np.full(n, np.iinfo(np.int64).max)
-        np.minimum.at(smallest, group, entries["doc"])
-        doubt = fresh & first & (entries["doc"] > smallest[group])
-        largest = np.full(n, np.iinfo(np.int64).min)
-        np.maximum.at(largest, group[doubt], entries["doc"][doubt])
-        other = new & (entries["doc"] < largest[group])
-        return entries[fresh & ~first], entries[doubt], entries[other], entries[fresh & new]
+        """Merge-join of a batch with the runs: (entries removed, entries in doubt, what they're in doubt with, new to the index).
+
+        Only the batch is sorted; of a run, only entries that share a key with the batch are looked at.
+        """
+        batch = _ordered(batch)
+        new = heads(batch["key"], batch["context"])
+        own, group = batch[new], np.cumsum(new) - 1
+        if not len(own):
+            return batch, batch, batch, batch
+        head = heads(own["key"])
+        keys, key = own["key"][head], np.cumsum(head) - 1
+        smallest = np.minimum.reduceat(own["doc"], np.flatnonzero(head))
+        seen = np.full(len(own), np.iinfo(np.int64).max)
+        ranges = []
+        for run in self.runs:
+            at, there = _place(run, own)
+            seen[there] = np.minimum(seen[there], run["doc"][at[there]])
+            start, stop = _key_range(run, keys)
+            held = np.flatnonzero(stop > start)
+            if len(held):
+                size = (stop - start)[held]
+                least = np.minimum.reduceat(run["doc"][_within(start[held], stop[held])], np.cumsum(size) - size)
+                smallest[held] = np.minimum(smallest[held], least)
+                ranges.append((run, held, start[held], stop[held]))
+        first = batch["doc"] == np.minimum(own["doc"], seen)[group]
+        doubt = first & (batch["doc"] > smallest[key[group]])
+        largest = np.full(len(keys), np.iinfo(np.int64).min)
+        np.maximum.at(largest, key[group[doubt]], batch["doc"][doubt])
+        other = [own[(own["doc"] < seen) & (own["doc"] < largest[key])]]
+        for run, held, start, stop in ranges:
+            asked = largest[held] > np.iinfo(np.int64).min
+            held, start, stop = held[asked], start[asked], stop[asked]
+            entries = run[_within(start, stop)]
+            other.append(entries[entries["doc"] < np.repeat(largest[held], stop - start)])
+        return batch[~first], batch[doubt], np.concatenate(other), own[own["doc"] < seen]
 
     def add(self, run: np.ndarray) -> None:
         """A new run; compaction while the one before it is not much larger."""
@@ -177,7 +260,7 @@ class _Runs:
         self.runs.append(run)
         while len(self.runs) > 1 and len(self.runs[-2]) < FANOUT * len(self.runs[-1]):
             young = self.runs.pop()
-            self.runs[-1] = _least(np.concatenate([self.runs[-1], young]))
+            self.runs[-1] = _merged(self.runs[-1], young)
 
 
 def _look_up(length: int, count: int, cuts: list[int], keep: bool):
@@ -189,7 +272,9 @@ def _look_up(length: int, count: int, cuts: list[int], keep: bool):
         yield from pack(out, doc_part(out["doc"], out["stamp"], count), 1)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries, old, spans = unpack(batches, _ENTRY, _ENTRY, SPAN)
+        arrays = _arrays(batches, 0, 1)
+        entries, old, spans = np.concatenate([np.zeros(0, _ENTRY), *arrays[0]]), arrays[1], np.concatenate([np.zeros(0, SPAN), *arrays[2]])
+        del arrays
         index, fresh = _Runs(old), []
         number = np.searchsorted(np.array(cuts, np.int64), entries["doc"], "left")
         for b in range(len(cuts) + 1):
@@ -201,7 +286,7 @@ def _look_up(length: int, count: int, cuts: list[int], keep: bool):
             fresh.append(new)
         yield from packed_spans(spans, count)
         if keep:
-            new = _least(np.concatenate(fresh))
+            new = _all_merged(fresh)
             yield from pack(new, part_of(new["key"], count), 2)
 
     return look_up
@@ -302,7 +387,7 @@ def deduplicate(
         looked = saved(looked, "looked-up")
         path = table_path(spark, "run")
         looked.where("kind = 2").withColumn("kind", F.lit(1)).write.parquet(path)
-        index.tables.append(path)
+        index.add(spark, path)
         looked = looked.where("kind < 2")
     known = saved(dealt(looked, per_document(_ASK), "doc long, stamp long, spans binary, asks binary", count), "windows")
     texts = rows.repartition(count, "doc", "stamp")

@@ -153,24 +153,65 @@ def test_window_index(spark, seed, length, key, batches):
     assert found(window_index.digest(out)) == windows(rows, length)
 
 
-def test_window_index_grows(spark):
+@pytest.mark.parametrize("fanout, tables", [(4, [1, 1, 1]), (0, [1, 2, 3])])
+def test_window_index_grows(spark, monkeypatch, fanout, tables):
+    monkeypatch.setattr(window_index, "FANOUT", fanout)
     rows = sorted({i: t for i, t in corpus(8)}.items())
     index = window_index.FingerprintIndex(4)
     got, history = [], None
-    for part in (rows[:30], rows[30:60], rows[60:]):
+    for part, kept in zip((rows[:30], rows[30:60], rows[60:]), tables, strict=True):
         docs = table(spark, part)
         got += window_index.digest(window_index.deduplicate(docs, length=10, key=4, index=index, history=history)).collect()
         history = docs if history is None else history.unionByName(docs)
-        if len(index.tables) == 2:
-            index.compact(spark)
-            place = window_index.table_path(spark, "manifest")
-            index.save(spark, place)
-            index = window_index.FingerprintIndex.load(spark, place)
+        assert len(index.tables) == len(index.sizes) == kept
+        place = window_index.table_path(spark, "manifest")
+        index.save(spark, place)
+        index = window_index.FingerprintIndex.load(spark, place)
     assert sorted(map(tuple, got), key=repr) == windows(rows, 10)
+    index.compact(spark)
     assert len(index.tables) == 1 and index.count == 4
+    again = window_index.deduplicate(table(spark, [(9000 + i, t) for i, t in rows]), length=10, key=4, index=index, history=history)
+    assert {r.doc_id: r.n_removed for r in window_index.digest(again).collect()} == {9000 + i: r for i, r in covered(rows, 10).items()}
     assert window_index.deduplicate(spark.createDataFrame([], EMPTY)).collect() == []
 
 
+def covered(rows, length):
+    """Words of each text when all its windows were seen before."""
+    return {i: n if n >= length else 0 for i, t in rows for n in [len((t or "").encode().split())]}
+
+
+def test_merge_join_of_sorted_runs():
+    rnd = np.random.default_rng(5)
+    for _ in range(300):
+        index, all_ = window_index._Runs([]), {}
+        for b in range(4):
+            batch = np.zeros(rnd.integers(0, 30), window_index._ENTRY)
+            for name, most in (("key", 4), ("context", 4), ("doc", 12), ("first", 3)):
+                batch[name] = rnd.integers(0, most, len(batch))
+            rows = [tuple(int(x[n]) for n in ("key", "context", "doc")) for x in batch]
+            least = dict(all_)
+            for k, c, d in rows:
+                least[k, c] = min(least.get((k, c), d), d)
+            smallest = {}
+            for (k, _), d in least.items():
+                smallest[k] = min(smallest.get(k, d), d)
+            removed, doubt, other, new = index.join(batch)
+            plain = lambda x: sorted(tuple(int(y[n]) for n in ("key", "context", "doc")) for y in x)
+            assert plain(removed) == sorted(x for x in rows if x[2] > least[x[:2]])
+            doubtful = [x for x in rows if x[2] == least[x[:2]] and x[2] > smallest[x[0]]]
+            assert plain(doubt) == sorted(doubtful)
+            largest = {}
+            for k, _, d in doubtful:
+                largest[k] = max(largest.get(k, d), d)
+            assert {(k, c, d) for (k, c), d in least.items() if d < largest.get(k, -1)} <= set(plain(other))
+            assert all(d < largest[k] for k, _, d in plain(other))
+            assert plain(new) == sorted((k, c, d) for (k, c), d in least.items() if all_.get((k, c), d + 1) > d)
+            all_ = least
+            index.add(new)
+            merged = window_index._all_merged(index.runs)
+            assert plain(merged) == [tuple(map(int, (x["key"], x["context"], x["doc"]))) for x in merged] == sorted((k, c, d) for (k, c), d in all_.items())
+
+
 def test_jaccard_groups(spark):
     rows = corpus(9)
     got = found(ngram_join.near_duplicate_groups(table(spark, rows + [(None, "a b c d e f g")]), size=3).drop("n_links"))
