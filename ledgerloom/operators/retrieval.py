@@ -6,23 +6,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW, OVERLAP, FUSION = 350, 60, 60
 K1, B = 1.2, 0.75
-#: Query terms, counted, up to which they and what is kept for each of them are broadcast.
-BROADCAST_TERMS = 400_000
-
-
-def _marked(terms: DataFrame):
-    """How to join with the query terms: by broadcast if they are counted to be few, else as the planner likes."""
-    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    return F.broadcast if few else lambda df: df
-
-
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^a-zA-Z0-9]+"), lambda x: x != "")
+#: Queries that one pass over the documents answers; (document, query) cells and bytes of text that a task scores at a time.
+BLOCK, CELLS, BYTES = 1024, 1 << 20, 1 << 22
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(97, 123)]] = True
+
+
+def tokens(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the words of all texts, one after the other; how many each text has): runs of ASCII letters and digits, A-Z lower-cased."""
+    text = pc.fill_null(text.cast(pa.large_binary()), b"")
+    if not len(text):
+        return pa.array([], pa.large_string()), np.zeros(0, np.int64)
+    _, offsets, data = text.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1]
+    data = _LOWER[np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]]
+    offsets = offsets - offsets[0]
+    inside = _ALNUM[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    heads = offsets[:-1][offsets[:-1] < len(data)]
+    begins[heads] = inside[heads]
+    start = np.flatnonzero(begins)
+    letters = data[inside]
+    ends = np.append((np.cumsum(inside) - 1)[start], len(letters)).astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(letters))
+    return words, np.diff(np.searchsorted(start, offsets))
 
 
 def fixed_chunks(docs: DataFrame, size: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
@@ -41,51 +58,116 @@ def with_context(chunks: DataFrame, titles: DataFrame) -> DataFrame:
     return chunks.join(titles, "doc_id").select("doc_id", "chunk_no", F.concat_ws("\n", "title", "text").alias("indexed"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): only postings of the queries' terms are made, and the terms are joined before anything is grouped."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    wanted, marked = terms.select("term").distinct(), _marked(terms)
-    words = docs.select("doc_id", tokens(F.col("text")).alias("words"))
-    totals = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
-    # The length goes into the exploded elements, so rows don't carry their document's array along.
-    sized = F.transform("words", lambda x: F.struct(x.alias("term"), F.size("words").alias("length")))
-    posts = words.select("doc_id", F.explode(sized).alias("x")).select("doc_id", "x.*").join(marked(wanted), "term")
-    posts = posts.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    # A row for each term; the totals are one row.
-    scored = posts.join(marked(df), "term").crossJoin(F.broadcast(totals)).select("term", "doc_id", (idf * weight).alias("part"))
-    return _by_document(scored).join(marked(terms), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 4).alias("score"))
-
-
-def _by_document(postings: DataFrame) -> DataFrame:
-    """Postings by document, before they meet the queries: what a query adds to a document is then summed where it's made.
-
-    The number of partitions is fixed, since the join multiplies rows that are few bytes when the shuffle is planned.
-    """
-    return postings.repartition(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-
+def lexical_top(docs: DataFrame, queries: DataFrame, k: int, rankings: tuple[str, ...] = ("bm25",)) -> DataFrame:
+    """(ranking, query_id, doc_id, score, rank): the k best documents of each query that share a term with it.
 
-def top(scores: DataFrame, k: int) -> DataFrame:
+    ``rankings``: `bm25`, and `overlap`, the number of distinct query terms; any of them come from one scoring.  The
+    queries, a stated set, are taken in blocks of ``BLOCK``.  Documents are read twice a block, once to count in how
+    many each query term is, and nothing of them is shuffled: a task scores its documents in chunks of ``CELLS`` and
+    keeps k rows of each query, so what is shuffled is queries x tasks x k.
+    """
+    words = docs.select("doc_id", "text")
+    asked = queries.select("query_id", "text").orderBy("query_id")
+    out = None
+    for lo in range(0, max(asked.count(), 1), BLOCK):
+        own = asked.offset(lo).limit(BLOCK).collect()
+        names = np.array([r.query_id for r in own], object)
+        sought, many = tokens(pa.array([r.text for r in own], pa.string()))
+        terms = pc.unique(sought)
+        # (term, query), sorted, once each.
+        pairs = np.unique(np.stack([pc.index_in(sought, value_set=terms).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(own)), many)], axis=1).astype(np.int64), axis=0)
+        df, n, mean = _document_frequencies(words, terms)
+        score = _score(names, terms, pairs, np.log(1 + (n - df + 0.5) / (df + 0.5)), mean, k, rankings)
+        part = words.mapInArrow(score, "ranking string, query_id string, doc_id long, score double")
+        part = part.withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))
+        out = part if out is None else out.unionByName(part)
+    return top(out, k, "ranking")
+
+
+def _found(batch: pa.RecordBatch, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term) of every word of the batch that is a query term, and the rows' lengths."""
+    words, lengths = tokens(batch.column("text"))
+    term = pc.fill_null(pc.index_in(words, value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(batch)), lengths)
+    return row[term >= 0], term[term >= 0], lengths
+
+
+def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows that have at most ``BYTES`` of text together, or one longer text."""
+    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    end, lo = np.cumsum(size, dtype=np.int64), 0
+    while lo < len(end):
+        hi = int(np.searchsorted(end, end[lo] - size[lo] + BYTES, "right"))
+        hi = min(lo + rows, max(lo + 1, hi))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def _document_frequencies(words: DataFrame, terms: pa.Array) -> tuple[np.ndarray, int, float]:
+    """(documents that hold each term, all documents, mean words of those with a text)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, total = np.zeros(len(terms), np.int64), np.zeros(3, np.int64)
+        for batch in (x for whole in batches for x in _slices(whole, CELLS)):
+            row, term, lengths = _found(batch, terms)
+            df += np.bincount(np.unique(row * len(terms) + term) % max(1, len(terms)), minlength=len(terms))
+            total += (len(batch), len(batch) - batch.column("text").null_count, lengths.sum())
+        ids = np.append(np.flatnonzero(df), [-1, -2, -3])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.append(df[df > 0], total))], names=["term", "n"])
+
+    found = {r.term: r.n for r in words.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    df = np.array([found.get(i, 0) for i in range(len(terms))], np.int64)
+    return df, found.get(-1, 0), found.get(-3, 0) / max(1, found.get(-2, 0))
+
+
+def _score(names: np.ndarray, terms: pa.Array, pairs: np.ndarray, idf: np.ndarray, mean: float, k: int, rankings: tuple[str, ...]):
+    """``pairs``: (term, query), by term.  A posting adds its weight to every query that has its term."""
+    first = np.searchsorted(pairs[:, 0], np.arange(len(terms) + 1))
+    many, width = np.diff(first), len(names)
+
+    def chunk(row: np.ndarray, term: np.ndarray, lengths: np.ndarray) -> dict[str, np.ndarray]:
+        posting, tf = np.unique(row * len(terms) + term, return_counts=True)
+        row, term = posting // len(terms), posting % len(terms)
+        weight = idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / mean)))
+        size = many[term]
+        query = pairs[np.repeat(first[term] - (np.cumsum(size) - size), size) + np.arange(size.sum()), 1]
+        cell = np.repeat(row, size) * width + query
+        weights = {"bm25": np.repeat(weight, size), "overlap": None}
+        # Rounded before ranking, so engines that add in another order rank alike.
+        sums = {r: np.round(np.bincount(cell, weights[r], len(lengths) * width), 4).reshape(-1, width) for r in rankings}
+        shared = np.bincount(cell, minlength=len(lengths) * width).reshape(-1, width) > 0
+        return {r: np.where(shared, x, -np.inf) for r, x in sums.items()}
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {r: (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for r in rankings}
+        for batch in (x for whole in batches for x in _slices(whole, max(1, CELLS // max(1, width)))):
+            if not width:
+                continue
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for ranking, cells in chunk(*_found(batch, terms)).items():
+                least = np.partition(cells, -k, axis=0)[-k] if len(cells) > k else np.full(width, -np.inf)
+                at, query = np.nonzero((cells >= least) & (cells > -np.inf))
+                query, doc, value = (np.concatenate(x) for x in zip(best[ranking], (query, ids[at], cells[at, query]), strict=True))
+                order = np.lexsort((doc, -value, query))
+                query, doc, value = query[order], doc[order], value[order]
+                keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+                best[ranking] = query[keep], doc[keep], value[keep]
+        for ranking, (query, doc, value) in best.items():
+            columns = [pa.array([ranking] * len(query), pa.string()), pa.array([str(names[q]) for q in query], pa.string()), pa.array(doc), pa.array(value)]
+            yield pa.RecordBatch.from_arrays(columns, names=["ranking", "query_id", "doc_id", "score"])
+
+    return score
+
+
+def top(scores: DataFrame, k: int, *within: str) -> DataFrame:
     """The k best of each query with their rank; Spark keeps only k rows a partition before it shuffles."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    order = Window.partitionBy(*within, "query_id").orderBy(F.desc("score"), "doc_id")
     return scores.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def term_overlap(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): how many distinct query terms a document has."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    marked = _marked(terms)
-    words = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(marked(terms.select("term").distinct()), "term")
-    return _by_document(words).join(marked(terms), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
-
-
-def fuse(a: DataFrame, b: DataFrame, k: int = FUSION) -> DataFrame:
-    """Reciprocal rank fusion of two rankings (query_id, doc_id, rank)."""
-    both = a.select("query_id", "doc_id", F.col("rank").alias("ra")).join(b.select("query_id", "doc_id", F.col("rank").alias("rb")), ["query_id", "doc_id"], "full_outer")
-    score = F.coalesce(1 / (k + F.col("ra")), F.lit(0.0)) + F.coalesce(1 / (k + F.col("rb")), F.lit(0.0))
-    return both.select("query_id", "doc_id", F.round(score, 8).alias("score"))
+def fuse(rankings: DataFrame, k: int = FUSION) -> DataFrame:
+    """Reciprocal rank fusion of rankings (query_id, doc_id, rank), one after the other in one table: a sum, no join."""
+    return rankings.groupBy("query_id", "doc_id").agg(F.round(F.sum(1 / (k + F.col("rank"))), 8).alias("score"))
 
 
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
@@ -156,8 +238,10 @@ def paired(a: DataFrame, b: DataFrame, categories: DataFrame) -> DataFrame:
     return rows.groupBy("category").agg(*times, F.round(F.avg("a"), 5).alias("mean_a"), F.round(F.avg("b"), 5).alias("mean_b"))
 
 
-def invalid_citations(cited: DataFrame, retrieved: DataFrame) -> DataFrame:
-    return cited.join(retrieved, ["query_id", "doc_id"], "left_anti")
+def invalid_citations(rankings: DataFrame, cited: str, retrieved: str) -> DataFrame:
+    """What one ranking (ranking, query_id, doc_id) cites and the other has not retrieved."""
+    has = lambda name: F.bool_or(F.col("ranking") == name)
+    return rankings.groupBy("query_id", "doc_id").agg(has(cited).alias("cited"), has(retrieved).alias("retrieved")).where("cited and not retrieved").select("query_id", "doc_id")
 
 
 def answer_decision(score: Column, answer: float, clarify: float) -> Column:

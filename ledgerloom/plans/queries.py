@@ -654,25 +654,22 @@ def _questions(o: Overlay) -> DataFrame:
 
 @query(f"WITH {_LEXICAL} SELECT query_id, doc_id, score, rank FROM bm_top")
 def lexical_bm25(o: Overlay) -> DataFrame:
-    return R.top(R.bm25(o.table("documents"), _questions(o)), 10)
+    return R.lexical_top(o.table("documents"), _questions(o), 10).drop("ranking")
 
 
 @query(f"WITH {_LEXICAL} SELECT query_id, doc_id, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 8) AS score FROM bm_top a FULL JOIN ov_top b USING (query_id, doc_id)")
 def rrf_fusion(o: Overlay) -> DataFrame:
-    docs, asked = o.table("documents"), _questions(o)
-    return R.fuse(R.top(R.bm25(docs, asked), 10), R.top(R.term_overlap(docs, asked), 10))
+    return R.fuse(R.lexical_top(o.table("documents"), _questions(o), 10, ("bm25", "overlap")))
 
 
 @query(f"WITH {_LEXICAL} SELECT query_id, doc_id FROM ov_top WHERE (query_id, doc_id) NOT IN (SELECT query_id, doc_id FROM bm_top)")
 def citation_validity(o: Overlay) -> DataFrame:
-    docs, asked = o.table("documents"), _questions(o)
-    cited = R.top(R.term_overlap(docs, asked), 10).select("query_id", "doc_id")
-    return R.invalid_citations(cited, R.top(R.bm25(docs, asked), 10).select("query_id", "doc_id"))
+    return R.invalid_citations(R.lexical_top(o.table("documents"), _questions(o), 10, ("bm25", "overlap")), "overlap", "bm25")
 
 
 @query(f"WITH {_LEXICAL} SELECT query_id, CASE WHEN max(score) >= 60 THEN 'answer' WHEN max(score) >= 30 THEN 'clarify' ELSE 'abstain' END AS decision FROM bm GROUP BY query_id")
 def evidence_threshold(o: Overlay) -> DataFrame:
-    best = R.bm25(o.table("documents"), _questions(o)).groupBy("query_id").agg(F.max("score").alias("score"))
+    best = R.lexical_top(o.table("documents"), _questions(o), 1)
     return best.select("query_id", R.answer_decision(F.col("score"), 60, 30).alias("decision"))
 
 

@@ -218,3 +218,20 @@ def test_lease_state_of_idle_jobs_is_dropped(spark, tmp_path):
         stream = spark.readStream.schema(Q.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
         rows = Q.run_once(Q.lease_outcomes(stream.withColumn("at", F.col("ts").cast("timestamp")), idle_seconds=idle), "update").where("user_id = 1").collect()
         assert sorted((r.attempts, r.fenced) for r in rows) == sorted(expected)
+
+
+def test_tokens_of_any_text():
+    import random
+    import re
+
+    import pyarrow as pa
+
+    from ledgerloom.operators.retrieval import tokens
+
+    rnd = random.Random(1)
+    lower = str.maketrans("KZ", "kz")
+    for _ in range(300):
+        texts = [rnd.choice([None, "", "".join(rnd.choice("aZ9 é-\nKK") for _ in range(rnd.randrange(12)))]) for _ in range(rnd.randrange(6))]
+        words, many = tokens(pa.array(["xx", *texts], pa.string()).slice(1))
+        expected = [re.findall("[a-z0-9]+", (x or "").translate(lower)) for x in texts]
+        assert words.to_pylist() == [w for x in expected for w in x] and many.tolist() == [len(x) for x in expected]
