@@ -15,7 +15,8 @@ in hash order, classes that link share at least l of the first p + l - 1 element
 3. Each class is first compared with one class of a like size that holds its elements (the hub of the lists it stands
    in): the one with many frequent elements, in later rounds of a part drawn by hash.  What links connect is one
    group; the next round looks for a hub outside the own group.  So a group of near copies costs a few stars of
-   comparisons, not its pairs.
+   comparisons, not its pairs.  A last round goes by lengthened prefixes: their frequencies show the class with the
+   fewest edits, and what links only with it would be a candidate of most of its group.
 4. Only pairs between two groups are then looked for in the lists.  They are counted by shared elements; that count
    bounds the intersection from above, and pairs whose bound is too low are never verified.
 5. What is left is verified on the whole sets: of each group some pairs with most shared elements, then more, while
@@ -61,7 +62,8 @@ _META = np.dtype([("doc", "<i8"), ("c", "<u8"), ("n", "<i4")])
 _SHARED = np.dtype([("c", "<u8"), ("h", "<u8"), ("df", "<u4")])
 _SCORED = np.dtype([("h", "<u8"), ("c", "<u8"), ("group", "<u8"), ("n", "<i4"), ("score", "<f8")])
 _HUB = np.dtype([("c", "<u8"), ("hub", "<u8"), ("n", "<i4")])
-_LONGER = np.dtype([("h", "<u8"), ("c", "<u8"), ("group", "<u8"), ("n", "<i4"), ("level", "<i4"), ("rank", "<i4"), ("df", "<u4")])
+_LONGER = np.dtype([("h", "<u8"), ("c", "<u8"), ("n", "<i4"), ("level", "<i4"), ("rank", "<i4"), ("df", "<u4")])
+_ROOT = np.dtype([("c", "<u8"), ("root", "<u8")])
 _MEMBER = np.dtype([("h", "<u8"), ("c", "<u8"), ("n", "<i4"), ("level", "<i4"), ("own", "<i4"), ("drop", "<i4"), ("looks", "u1"), ("group", "<u8")])
 _PAIR = np.dtype([("x", "<u8"), ("y", "<u8"), ("gx", "<u8"), ("gy", "<u8"), ("nx", "<i4"), ("ny", "<i4"), ("level", "<i4"), ("drop", "<i4"), ("shared", "<i4")])
 
@@ -249,7 +251,7 @@ def _describe(percent: int, choose: Callable[[np.ndarray, int, int], int]):
     return describe
 
 
-def _send(dtype: np.dtype, by: str, count: int):
+def _send(dtype: np.dtype, by: str, count: int, kind: int = 0):
     """Rows with the columns of ``dtype``, packed by one of them."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +259,7 @@ def _send(dtype: np.dtype, by: str, count: int):
             out = np.zeros(len(batch), dtype)
             for name in dtype.names:
                 out[name] = batch.column(name).to_numpy(zero_copy_only=False)
-            yield from pack(out, part_of(out[by], count))
+            yield from pack(out, part_of(out[by], count), kind)
 
     return send
 
@@ -327,7 +329,6 @@ def _send_longer(size: int, percent: int, count: int):
             row, rank = row[take], rank[take]
             out = np.zeros(len(row), _LONGER)
             out["h"], out["c"], out["n"], out["level"], out["rank"] = h[take], c[row], n[row], level[row], rank
-            out["group"] = batch.column("group").to_numpy()[rows].astype(np.uint64)[row]
             yield from pack(out, part_of(out["h"], count))
 
     return send
@@ -349,11 +350,38 @@ def _share_longer(count: int):
     return share
 
 
+def _group_of(c: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """The group of each class: its root, or itself without links."""
+    if not len(roots):
+        return c
+    roots = roots[np.argsort(roots["c"])]
+    at = np.minimum(np.searchsorted(roots["c"], c), len(roots) - 1)
+    return np.where(roots["c"][at] == c, roots["root"][at], c)
+
+
+def _score_longer(count: int):
+    """The lists that lengthened classes stand in, with how frequent all elements of their longer prefixes are."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, roots = unpack(batches, _LONGER, _ROOT)
+        if not len(rows):
+            return
+        rows = rows[np.lexsort((rows["h"], rows["c"]))]
+        first = np.flatnonzero(heads(rows["c"]))
+        out = np.zeros(len(rows), _SCORED)
+        out["h"], out["c"], out["n"] = rows["h"], rows["c"], rows["n"]
+        out["group"] = _group_of(rows["c"], roots)
+        out["score"] = np.repeat(np.add.reduceat(rows["df"].astype(float), first), np.diff(np.append(first, len(rows))))
+        yield from pack(out, part_of(out["h"], count))
+
+    return score
+
+
 def _look(percent: int, count: int):
     """The lists that lengthened classes stand in; a class looks up all of its elements but the most frequent l - 1."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (rows,) = unpack(batches, _LONGER)
+        rows, roots = unpack(batches, _LONGER, _ROOT)
         if not len(rows):
             return
         rows = rows[np.lexsort((rows["h"], rows["df"], rows["c"]))]
@@ -365,8 +393,9 @@ def _look(percent: int, count: int):
         looked = np.clip(p - alone, 0, size)
         nth = np.arange(len(rows)) - np.repeat(first, size)
         out = np.zeros(len(rows), _MEMBER)
-        for name in ("h", "c", "n", "level", "group"):
+        for name in ("h", "c", "n", "level"):
             out[name] = rows[name]
+        out["group"] = _group_of(rows["c"], roots)
         out["own"], out["drop"] = np.maximum(1, rows["rank"] - np.repeat(p, size) + 2), np.repeat(size - looked, size)
         out["looks"] = nth < np.repeat(looked, size)
         yield from pack(out, part_of(out["h"], count))
@@ -525,8 +554,8 @@ class _Join:
         #: Parts that the shared elements need, of all that there are.
         self.filled = min(self.count, 1 + self.tokens.count() // FILL)
 
-    def packed(self, rows: DataFrame, dtype: np.dtype, by: str, count: int) -> DataFrame:
-        return arrow_map(rows.select(*dtype.names), _send(dtype, by, count), PACKED)
+    def packed(self, rows: DataFrame, dtype: np.dtype, by: str, count: int, kind: int = 0) -> DataFrame:
+        return arrow_map(rows.select(*dtype.names), _send(dtype, by, count, kind), PACKED)
 
     def texts_of(self, rows: DataFrame) -> DataFrame:
         """The text of the first document of each class of ``rows``, which has ``doc`` besides its other columns."""
@@ -557,13 +586,7 @@ class _Join:
         links, roots, turn = None, None, 0
         while True:
             scored = self.packed(self.grouped(self.tokens, roots), _SCORED, "h", self.filled)
-            hubs = dealt(scored, _hubs(self.percent, self.filled, turn), PACKED, self.filled)
-            pairs = dealt(hubs, _best_hub(self.percent, 2 if turn else 5), "x long, y long", self.filled)
-            pairs = saved(pairs, "stars")
-            sets = self.sets_of(pairs)
-            found = self.verified(pairs, sets)
-            tried, new = pairs.count(), found.count()
-            discard(pairs, sets)
+            new, tried, found = self.star(scored, turn, 2 if turn else 5, self.filled)
             if links is None or new:
                 links = found if links is None else links.unionByName(found)
                 roots = _roots(links)
@@ -571,23 +594,54 @@ class _Join:
             if tried - new < LONE or turn == TURNS:
                 return links, roots
 
-    def candidates(self, roots: DataFrame) -> DataFrame:
+    def star(self, scored: DataFrame, turn: int, least: int, count: int) -> tuple[int, int, DataFrame]:
+        """How many classes link with the hub of the lists they stand in, how many were compared, and the links."""
+        hubs = dealt(scored, _hubs(self.percent, count, turn), PACKED, count)
+        pairs = saved(dealt(hubs, _best_hub(self.percent, least), "x long, y long", count), "stars")
+        sets = self.sets_of(pairs)
+        found = self.verified(pairs, sets)
+        tried, new = pairs.count(), found.count()
+        discard(pairs, sets)
+        return new, tried, found
+
+    def lengthened(self) -> DataFrame:
+        """Shared elements of the prefixes that were lengthened, packed by class."""
+        longer = saved(self.classes.where("level > 1").select("doc", "c", "level"), "longer")
+        sent = arrow_map(self.texts_of(longer).select("text", "c", "level"), _send_longer(self.size, self.percent, self.count), PACKED)
+        out = saved(dealt(sent, _share_longer(self.count), PACKED, self.count), "lengthened")
+        discard(longer)
+        return out
+
+    def with_roots(self, lengthened: DataFrame, roots: DataFrame) -> DataFrame:
+        return lengthened.unionByName(self.packed(roots, _ROOT, "c", self.count, 1))
+
+    def center_stars(self, lengthened: DataFrame, links: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``links`` and ``roots`` after a round with hubs whose longer prefixes are the most frequent.
+
+        Base prefixes don't tell a hub with edits from one without: what links only with the latter would otherwise
+        stay a group of its own, and be a candidate of a large part of the group.
+        """
+        scored = dealt(self.with_roots(lengthened, roots), _score_longer(self.count), PACKED, self.count)
+        new, _, found = self.star(scored, 0, 2, self.count)
+        if not new:
+            return links, roots
+        links = links.unionByName(found)
+        return links, _roots(links)
+
+    def candidates(self, lengthened: DataFrame, roots: DataFrame) -> DataFrame:
         """(x, y, gx, gy, shared): pairs that may link, and the two groups that they are in."""
-        group = small_or_not(roots)
-        longer = saved(self.grouped(self.classes.where("level > 1"), group).select("doc", "c", "level", "group"), "longer")
-        sent = arrow_map(self.texts_of(longer).select("text", "c", "level", "group"), _send_longer(self.size, self.percent, self.count), PACKED)
-        shared = dealt(sent, _share_longer(self.count), PACKED, self.count)
-        far = dealt(shared, _look(self.percent, self.count), PACKED, self.count)
+        far = dealt(self.with_roots(lengthened, roots), _look(self.percent, self.count), PACKED, self.count)
         near = self.tokens.select("c", "h", "n", "level", F.lit(1).alias("own"), F.lit(0).alias("drop"), F.when(F.col("level") == 1, 1).otherwise(0).alias("looks"))
-        near = self.packed(self.grouped(near, group), _MEMBER, "h", self.filled)
+        near = self.packed(self.grouped(near, small_or_not(roots)), _MEMBER, "h", self.filled)
         pairs = [dealt(lists, _pair_up(self.percent, self.count), PACKED, n) for lists, n in ((near, self.filled), (far, self.count))]
-        pairs = saved(dealt(pairs[0].unionByName(pairs[1]), _bounded(self.percent), "x long, y long, gx long, gy long, shared int", self.count), "pairs")
-        discard(longer)
-        return pairs
+        return saved(dealt(pairs[0].unionByName(pairs[1]), _bounded(self.percent), "x long, y long, gx long, gy long, shared int", self.count), "pairs")
 
     def others(self, links: DataFrame, roots: DataFrame) -> DataFrame:
         """``links`` and what links the groups that they form."""
-        pairs, each = self.candidates(roots), 4
+        lengthened = self.lengthened()
+        links, roots = self.center_stars(lengthened, links, roots)
+        pairs, each = self.candidates(lengthened, roots), 4
+        discard(lengthened)
         left = pairs.count()
         sets = self.sets_of(pairs) if left else None
         while left > FEW:

@@ -271,6 +271,27 @@ def test_comparisons_grow_with_the_group_not_its_square(spark, monkeypatch, lone
             assert {c for _, _, c in got} == {0}
 
 
+def test_candidates_of_a_group_that_only_its_center_links(spark, monkeypatch):
+    """Texts that link with the unedited one only are found by it, not as candidates of all of the group."""
+    rnd = random.Random(4)
+    base, rows = [f"word{k}" for k in range(150)], [(0, " ".join(f"word{k}" for k in range(150)))]
+    for i in range(1, 400):
+        copy = list(base)
+        for at in rnd.sample(range(5, 145, 6), 4 if i % 2 else 1 + i % 3):
+            copy[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(copy)))
+    made, candidates = [], ngram_join._Join.candidates
+
+    def counted(self, *given):
+        out = candidates(self, *given)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join._Join, "candidates", counted)
+    assert found(ngram_join.near_duplicate_groups(table(spark, rows)).drop("n_links")) == sorted(groups(rows, 5), key=repr)
+    assert made[0] < len(rows)
+
+
 def test_groups_that_do_not_link_stay_apart(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LONE", 0)
     monkeypatch.setattr(ngram_join, "FEW", 10)
