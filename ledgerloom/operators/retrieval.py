@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ WINDOW, OVERLAP, FUSION = 350, 60, 60
 K1, B = 1.2, 0.75
 #: Queries that one pass over the documents answers; (document, query) cells and bytes of text that a task scores at a time.
 BLOCK, CELLS, BYTES = 1024, 1 << 20, 1 << 22
+#: Vectors in a packed row, vectors that a task compares with a block of queries, and blocks whose best rows a task holds.
+PACK, GROUP, HELD = 2048, 1 << 14, 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -173,19 +176,49 @@ def fuse(rankings: DataFrame, k: int = FUSION) -> DataFrame:
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
     """(query_id, doc_id, score, rank) by exact cosine, without the query itself.
 
-    The queries, a stated set, are taken in blocks of ``block``; each task multiplies its batches by a block and keeps
-    k rows of each query, so what is shuffled is queries x tasks x k.
+    All pairs, so the work is the product of both tables.  Both are packed, ``block`` queries and up to ``PACK`` vectors in
+    a row, and every task compares some ``GROUP`` vectors with one block or two: nothing is collected, and a task holds
+    two packed rows, ``CELLS`` scores and k rows of each query of a few blocks.  Shuffled are the packed vectors once for
+    each block, and k rows of each query for each group.  Vectors that are null, empty or infinite have no cosine.
     """
-    rows = queries.select("query_id", "embedding").orderBy("query_id")
-    count = rows.count()
-    out = None
-    for lo in range(0, max(count, 1), block):
-        own = rows.offset(lo).limit(block).collect()
-        names = np.array([r.query_id for r in own], np.int64)
-        matrix = _unit(np.array([r.embedding for r in own], float).reshape(len(own), -1))
-        part = vectors.select("vec_id", "embedding").mapInArrow(_nearest(names, matrix, k), "query_id long, doc_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    return top(out, k)
+    return compared(packed(vectors, "vec_id"), vectors.count(), queries, k, block)
+
+
+def packed(rows: DataFrame, key: str, *more: str) -> DataFrame:
+    """(ids, units and ints of the columns ``more`` of up to ``PACK`` vectors in a row), as they follow one another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), PACK):
+                part = batch.slice(lo, PACK)
+                units = _unit(dense(part.column("embedding")))
+                has = np.isfinite(units).all(axis=1)
+                ids, *own = (part.column(c).to_numpy(zero_copy_only=False)[has] for c in ("id", *more))
+                cells = [ids.astype(np.int64).tobytes(), units[has].tobytes(), *(x.astype(np.int32).tobytes() for x in own)]
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in cells], names=["ids", "units", *more])
+
+    usable = rows.where(f"size(embedding) > 0 and {key} is not null").select(F.col(key).cast("long").alias("id"), "embedding", *more)
+    return usable.mapInArrow(run, ", ".join(f"{c} binary" for c in ("ids", "units", *more)))
+
+
+def dense(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one width as a matrix."""
+    wide = pc.unique(pc.list_value_length(vectors)).to_pylist()
+    if len(wide) > 1:
+        raise ValueError(f"vectors of different widths: {sorted(wide)}")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), *wide or [0])
+
+
+def compared(packs: DataFrame, count: int, queries: DataFrame, k: int, block: int, choose: Callable | None = None) -> DataFrame:
+    """The k best of each query in ``packs`` of some ``count`` vectors, by a cartesian product of packed rows.
+
+    ``choose``: from a block's matrix of queries, which of them are compared with what value of the column ``own``.
+    """
+    size = math.ceil(queries.count() / block) or 1
+    # Packed again as a whole, so a block is full however many files the queries come from.
+    asked = packed(queries.select("query_id", "embedding").repartition(size), "query_id").toDF("names", "matrix").repartition(size)
+    pairs = packs.repartition(math.ceil(count / GROUP) or 1).hint("shuffle_replicate_nl").crossJoin(asked)
+    return top(pairs.mapInArrow(_nearest(k, choose), "query_id long, doc_id long, score double"), k)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -193,22 +226,70 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _nearest(names: np.ndarray, matrix: np.ndarray, k: int):
+class _Best:
+    """The k best of each query of a block so far, by score, then by id."""
+
+    def __init__(self, names: np.ndarray, matrix: np.ndarray, k: int):
+        self.names, self.matrix, self.k = names, matrix, k
+        self.score, self.id = np.full((len(names), k), -np.inf), np.full((len(names), k), np.iinfo(np.int64).max)
+
+    def offer(self, asking: np.ndarray, ids: np.ndarray, units: np.ndarray) -> None:
+        """Compares the queries at ``asking`` with vectors, ``CELLS`` scores at a time."""
+        size = max(1, CELLS // max(1, len(asking)))
+        matrix = self.matrix if len(asking) == len(self.names) else self.matrix[asking]
+        for lo in range(0, len(ids) if len(asking) else 0, size):
+            self._take(asking, ids[lo : lo + size], matrix @ units[lo : lo + size].T)
+
+    def _take(self, asking: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        # What can't come among the best once it's rounded goes first; of the rest, what its own k + 1 best exclude.
+        near = score >= self.score[asking, -1:] - 2e-6
+        if score.shape[1] > self.k + 1 and np.count_nonzero(near) > 4 * self.k * len(asking):
+            near &= score >= np.partition(score, -self.k - 1, axis=1)[:, [-self.k - 1]] - 2e-6
+        query, at = np.nonzero(near)
+        # Rounded before ranking, so engines that add in another order rank alike.
+        value, query, doc = np.round(score[query, at], 6), asking[query], ids[at]
+        least = self.score[query, -1]
+        keep = (doc != self.names[query]) & ((value > least) | ((value == least) & (doc < self.id[query, -1])))
+        value, query, doc = value[keep], query[keep], doc[keep]
+        own = np.unique(query)
+        query = np.append(query, np.repeat(own, self.k))
+        value, doc = np.append(value, self.score[own]), np.append(doc, self.id[own])
+        order = np.lexsort((doc, -value, query))
+        query, value, doc = query[order], value[order], doc[order]
+        keep = np.arange(len(query)) - np.searchsorted(query, query) < self.k
+        self.score[own], self.id[own] = value[keep].reshape(-1, self.k), doc[keep].reshape(-1, self.k)
+
+    def rows(self) -> pa.RecordBatch:
+        keep = self.score > -np.inf
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.names, keep.sum(axis=1))), pa.array(self.id[keep]), pa.array(self.score[keep])], names=["query_id", "doc_id", "score"])
+
+
+def _nearest(k: int, choose: Callable | None):
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_id = np.full((len(names), 0), -1, np.int64)
-        best = np.full((len(names), 0), -np.inf)
+        held: dict[bytes, tuple[_Best, Callable | None]] = {}
         for batch in batches:
-            if not len(batch) or not len(names):
-                continue
-            ids = batch.column("vec_id").to_numpy()
-            own = _unit(np.array(batch.column("embedding").to_pylist(), float))
-            # Rounded before ranking, so engines that add in another order rank alike.
-            score = np.where(ids[None, :] == names[:, None], -np.inf, np.round(matrix @ own.T, 6))
-            best, best_id = np.concatenate([best, score], axis=1), np.concatenate([best_id, np.broadcast_to(ids, score.shape)], axis=1)
-            order = np.lexsort((best_id, -best), axis=1)[:, :k]
-            best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
-        keep = np.isfinite(best)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best.shape[1]).reshape(best.shape)[keep]), pa.array(best_id[keep]), pa.array(best[keep])], names=["query_id", "doc_id", "score"])
+            for at in range(len(batch)):
+                row = {name: batch.column(name)[at].as_buffer() for name in batch.schema.names}
+                block, ids = row["names"].to_pybytes(), np.frombuffer(row["ids"], np.int64)
+                if not block or not len(ids):
+                    continue
+                if block not in held:
+                    if len(held) == HELD:
+                        yield held.pop(next(iter(held)))[0].rows()
+                    names = np.frombuffer(block, np.int64)
+                    matrix = np.frombuffer(row["matrix"], float).reshape(len(names), -1).copy()
+                    held[block] = _Best(names, matrix, k), choose and choose(matrix)
+                best, chosen = held[block]
+                units = np.frombuffer(row["units"], float).reshape(len(ids), -1)
+                if chosen is None:
+                    best.offer(np.arange(len(best.names)), ids, units)
+                    continue
+                own = np.frombuffer(row["own"], np.int32)
+                order = np.argsort(own, kind="stable")
+                for same in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+                    best.offer(chosen(own[same[0]]), ids[same], units[same])
+        for best, _ in held.values():
+            yield best.rows()
 
     return nearest
 
