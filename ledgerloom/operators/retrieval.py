@@ -296,13 +296,34 @@ def _nearest(k: int, choose: Callable | None):
 
 def quality(ranked: DataFrame, relevant: DataFrame, cutoff: int = 5) -> DataFrame:
     """Per query: hit at 1 and at ``cutoff``, reciprocal rank, nDCG; ``relevant`` (query_id, doc_id) in binary grades."""
-    hits = ranked.join(relevant.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
-    gain = F.when(F.col("hit") == 1, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)
+    hits = ranked.join(relevant.withColumn("hit", F.lit(True)), ["query_id", "doc_id"], "left")
+    return _measures(hits, relevant.groupBy("query_id").agg(F.count("*").alias("n")), cutoff)
+
+
+def label_quality(ranked: DataFrame, labels: DataFrame, queries: DataFrame, cutoff: int = 5) -> DataFrame:
+    """``quality`` where those of a query's label are relevant, without the query itself; (doc_id, label), (query_id, label).
+
+    The pairs of a label, the square of how many have it, are never made: labels are compared where something is ranked,
+    and how many are relevant is a count of the label.
+    """
+    found = labels.select("doc_id", F.col("label").alias("found")).distinct()
+    asked = queries.select("query_id", "label").distinct()
+    # Few rows of a query, and a row of each document: neither side has a key with many rows.
+    hits = ranked.join(found, "doc_id").join(asked, "query_id").withColumn("hit", F.col("found") == F.col("label"))
+    many = labels.groupBy("label").agg(F.count("*").alias("many"))
+    own = asked.join(labels.groupBy(F.col("doc_id").alias("query_id"), "label").agg(F.count("*").alias("own")), ["query_id", "label"], "left")
+    ideal = own.join(many, "label").select("query_id", (F.col("many") - F.coalesce("own", F.lit(0))).alias("n")).where("n > 0")
+    return _measures(hits, ideal, cutoff)
+
+
+def _measures(hits: DataFrame, ideal: DataFrame, cutoff: int) -> DataFrame:
+    """``hits``: ranked rows with their ``hit``; ``ideal``: (query_id, n), how many are relevant, of the queries that have any."""
+    gain = F.when(F.col("hit"), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)
     found = hits.groupBy("query_id").agg(
-        F.max(F.when((F.col("hit") == 1) & (F.col("rank") <= 1), 1).otherwise(0)).alias("hit_1"), F.max(F.when((F.col("hit") == 1) & (F.col("rank") <= cutoff), 1).otherwise(0)).alias("hit_k"),
-        F.coalesce(F.max(F.when(F.col("hit") == 1, 1 / F.col("rank"))), F.lit(0.0)).alias("rr"), F.sum(F.when(F.col("rank") <= cutoff, gain).otherwise(0.0)).alias("dcg"),
+        F.max(F.when(F.col("hit") & (F.col("rank") <= 1), 1).otherwise(0)).alias("hit_1"), F.max(F.when(F.col("hit") & (F.col("rank") <= cutoff), 1).otherwise(0)).alias("hit_k"),
+        F.coalesce(F.max(F.when(F.col("hit"), 1 / F.col("rank"))), F.lit(0.0)).alias("rr"), F.sum(F.when(F.col("rank") <= cutoff, gain).otherwise(0.0)).alias("dcg"),
     )
-    ideal = relevant.groupBy("query_id").agg(F.least(F.count("*"), F.lit(cutoff)).cast("int").alias("m"))
+    ideal = ideal.select("query_id", F.least("n", F.lit(cutoff)).cast("int").alias("m"))
     best = F.aggregate(F.sequence(F.lit(1), F.col("m")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
     return found.join(ideal, "query_id").select("query_id", "hit_1", "hit_k", F.round("rr", 6).alias("rr"), F.round(F.col("dcg") / best, 6).alias("ndcg"))
 

@@ -73,3 +73,24 @@ def test_exact_search_of_odd_vectors(spark):
     wide = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<float>").coalesce(1)
     with pytest.raises(Exception, match="different widths"):
         R.vector_top(wide, wide.select(F.col("vec_id").alias("query_id"), "embedding"), 1).collect()
+
+
+def test_relevance_by_label_makes_no_pairs(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=4).tolist(), None if i % 9 == 0 else 7 if i == 5 else int(rng.integers(3))) for i in range(120)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    asked = table.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
+    ranked = R.vector_top(table, asked, 5)
+    pairs = asked.select("query_id", "label").join(table.select("vec_id", "label"), "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("doc_id"))
+    by_pairs = sorted(map(tuple, R.quality(ranked, pairs).collect()))
+    by_label = R.label_quality(ranked, table.select(F.col("vec_id").alias("doc_id"), "label"), asked)
+    assert sorted(map(tuple, by_label.collect())) == by_pairs and 5 not in [x[0] for x in by_pairs]
+
+
+@pytest.mark.parametrize("name", ["recall_mrr_ndcg", "paired_comparison"])
+def test_labels_meet_their_counts_only(spark, sf, name):
+    from ledgerloom.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    by_label = [x for x in plan if "Join Inner" in x and "(label#" in x]
+    assert by_label and all("many#" in x for x in by_label)
