@@ -7,14 +7,14 @@ that are visited the search is exact, so recall is lost only where a neighbour l
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .retrieval import _unit, top
+from .retrieval import GROUP, PACK, _unit, compared, dense, packed
 
 #: The most vectors that the centres are fitted on, and the most centres; their product with the width bounds the driver.
 SAMPLE, CENTRES = 20_000, 1024
@@ -42,8 +42,8 @@ def assign(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
     """(cell, vec_id, unit) of every vector; those that are null or empty are in no cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = _unit(np.array(batch.column("embedding").to_pylist(), float).reshape(len(batch), -1)) if len(batch) else np.zeros(centres.shape)[:0]
+        for batch in (x for whole in batches for x in _slices(whole)):
+            m = _unit(dense(batch.column("embedding")))
             cell = np.argmax(m @ centres.T, axis=1).astype(np.int32)
             units = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.reshape(-1)))
             yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column("vec_id"), units], names=["cell", "vec_id", "unit"])
@@ -52,58 +52,32 @@ def assign(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
     return usable.mapInArrow(run, "cell int, vec_id long, unit array<double>")
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    yield from (batch.slice(lo, PACK) for lo in range(0, len(batch), PACK))
+
+
+def _order(m: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The cells of each vector, nearest first."""
+    return np.argsort(-(m @ centres.T), axis=1, kind="stable")
+
+
 def search(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, visits: int, block: int = 2048) -> DataFrame:
     """(query_id, doc_id, score, rank) of the k best in the ``visits`` cells nearest to each query, without the query itself.
 
-    The queries, a stated set, are taken in blocks.  A task compares each of its batches with the queries that visit the
-    batch's cells, and keeps k rows of each query: no cell, however large, meets in one task.  ``visits`` as large as the
-    number of centres is an exact search.
+    Vectors are packed by cell, and a task compares each pack of its group with those queries of a block that visit the
+    pack's cells, as ``vector_top`` does: no cell, however large, meets in one task, and no query is collected.
+    ``visits`` as large as the number of centres is an exact search.
     """
-    rows = queries.where("size(embedding) > 0").select("query_id", "embedding").orderBy("query_id")
-    out = None
-    for lo in range(0, max(rows.count(), 1), block):
-        own = rows.offset(lo).limit(block).collect()
-        names = np.array([r.query_id for r in own], np.int64)
-        matrix = _unit(np.array([r.embedding for r in own], float).reshape(len(own), -1)) if own else np.zeros((0, centres.shape[1]))
-        near = np.argsort(-(matrix @ centres.T), axis=1, kind="stable")[:, :visits]
-        part = index.mapInArrow(_visit(names, matrix, near, k), "query_id long, doc_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    return top(out, k)
-
-
-def _visit(names: np.ndarray, matrix: np.ndarray, near: np.ndarray, k: int):
-    visitors: dict[int, list[int]] = {}
-    for q, cells in enumerate(near.tolist()):
-        for cell in cells:
-            visitors.setdefault(cell, []).append(q)
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            if not len(batch):
-                continue
-            cell, ids = batch.column("cell").to_numpy(), batch.column("vec_id").to_numpy()
-            units = batch.column("unit").flatten().to_numpy().reshape(len(batch), -1)
-            order = np.argsort(cell, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
-                asking = visitors.get(int(cell[own[0]]), [])
-                if not asking:
-                    continue
-                score = np.round(matrix[asking] @ units[own].T, 6)
-                for q, line in zip(asking, score, strict=True):
-                    other = ids[own] != names[q]
-                    had = best.get(q, (np.zeros(0), np.zeros(0, np.int64)))
-                    s, i = np.concatenate([had[0], line[other]]), np.concatenate([had[1], ids[own][other]])
-                    keep = np.lexsort((i, -s))[:k]
-                    best[q] = s[keep], i[keep]
-        rows = [(names[q], s, i) for q, (s, i) in best.items()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([np.full(len(s), n) for n, s, _ in rows] or [np.zeros(0)]).astype(np.int64)), pa.array(np.concatenate([i for *_, i in rows] or [np.zeros(0)]).astype(np.int64)),
-             pa.array(np.concatenate([s for _, s, _ in rows] or [np.zeros(0)]).astype(float))],
-            names=["query_id", "doc_id", "score"],
-        )
-
-    return visit
+    count = index.count()
+    # By range of (cell, id): a pack has few cells, and a large cell is in many packs.
+    own = index.select(F.col("cell").alias("own"), "vec_id", F.col("unit").alias("embedding")).repartitionByRange(math.ceil(count / GROUP) or 1, "own", "vec_id").sortWithinPartitions("own", "vec_id")
+
+    def choose(matrix: np.ndarray) -> Callable[[int], np.ndarray]:
+        visited = np.zeros((len(centres), len(matrix)), bool)
+        visited[_order(matrix, centres)[:, :visits].T, np.arange(len(matrix))] = True
+        return lambda cell: np.flatnonzero(visited[cell])
+
+    return compared(packed(own, "vec_id", "own"), count, queries, k, block, choose)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
@@ -116,10 +90,20 @@ def visits_for(index: DataFrame, centres: np.ndarray, trial: DataFrame, exact: D
     """The fewest cells, of an eighth of them, a quarter, a half, three quarters and all, that find ``least`` of ``exact``.
 
     Measured on the trial queries; vectors without clusters need many cells, in the end all, which is the exact search.
+    The search within cells is exact, so it finds what lies in a visited cell: where the cell of each exact neighbour
+    stands among its query's cells tells the recall of any number of visits, without a search.
     """
-    for share in (0.125, 0.25, 0.5, 0.75):
-        visits = max(1, math.ceil(share * len(centres)))
-        found = recall(search(index, centres, trial, k, visits), exact).head()
-        if found.recall is None or found.recall >= least:
-            return visits
-    return max(1, len(centres))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for whole in batches for x in _slices(whole)):
+            near = _order(_unit(dense(batch.column("embedding"))), centres)
+            at = np.argmax(near == batch.column("cell").to_numpy()[:, None], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(at)], names=["at"])
+
+    asked = trial.where("size(embedding) > 0").select("query_id", "embedding")
+    pairs = exact.where(F.col("rank") <= k).select("query_id", F.col("doc_id").alias("vec_id"))
+    placed = pairs.join(index.select("vec_id", "cell"), "vec_id").join(asked, "query_id").select("cell", "embedding").mapInArrow(place, "at long")
+    shares = [max(1, math.ceil(share * len(centres))) for share in (0.125, 0.25, 0.5, 0.75)]
+    total = pairs.count()
+    found = placed.agg(*(F.count(F.when(F.col("at") < visits, 1)).alias(str(i)) for i, visits in enumerate(shares))).head()
+    return next((visits for i, visits in enumerate(shares) if not total or round(found[i] / total, 6) >= least), max(1, len(centres)))

@@ -94,3 +94,37 @@ def test_labels_meet_their_counts_only(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("\n")
     by_label = [x for x in plan if "Join Inner" in x and "(label#" in x]
     assert by_label and all("many#" in x for x in by_label)
+
+
+def test_cells_are_searched_in_packs(spark, peaks, monkeypatch):
+    from ledgerloom.operators import vector_index as V
+
+    rng = np.random.default_rng(4)
+    heart = rng.normal(size=(4, 4))
+    m = [(i, (heart[i % 4] + 0.1 * rng.normal(size=4)).tolist()) for i in range(20_000)]
+    table = spark.createDataFrame(m, "vec_id long, embedding array<float>").coalesce(1)
+    asked = table.where("vec_id % 20 < 2").select(F.col("vec_id").alias("query_id"), "embedding")
+    centres = V.fit(table, sample=200, centres=4)
+    index, exact = V.assign(table, centres), R.vector_top(table, asked, 3).persist()
+    searches = []
+    monkeypatch.setattr(V, "compared", lambda *a: searches.append(a) or R.compared(*a))
+    visits = V.visits_for(index, centres, asked, exact, 3)
+    assert not searches and visits < 4
+    found = V.recall(V.search(index, centres, asked, 3, visits), exact).head()
+    assert found.n == 6000 and found.recall >= 0.95 and max(peaks()) < 120
+    exact.unpersist()
+
+
+def test_places_tell_the_recall_that_a_search_has(spark):
+    from ledgerloom.operators import vector_index as V
+
+    rng = np.random.default_rng(6)
+    table = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(400)], "vec_id long, embedding array<float>").repartition(3)
+    asked = table.where("vec_id % 7 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    centres, exact = V.fit(table), R.vector_top(table, asked, 4).persist()
+    index = V.assign(table, centres)
+    searched = [V.recall(V.search(index, centres, asked, 4, n), exact).head().recall for n in (5, 10, 15)]
+    for n, least in zip((5, 10, 15), searched, strict=True):
+        assert V.visits_for(index, centres, asked, exact, 4, least) <= n
+    assert searched[0] < 1 and V.visits_for(index, centres, asked, exact, 4, searched[0] + 1e-6) == 10 and len(centres) == 20
+    exact.unpersist()
