@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TARGET, MOST, OVERLAP = 350, 500, 60
-#: Documents that a task holds as chunks before it hands them on.
-ROWS = 2000
+#: Code points of text, and rows, that a task holds as blocks or chunks before it hands them on; one longer block more.
+CHARS, ROWS = 1 << 20, 4096
 _HEADING = re.compile(r"(#{1,6})[ \t]+(.*)")
 _WORD = re.compile(r"[^ \t\n\r]+")
 _SENTENCE_END = re.compile(r"[.!?][ \t]+")
@@ -112,34 +112,38 @@ def chunks(text: str, target: int = TARGET, most: int = MOST, overlap: int = OVE
 def document_blocks(docs: DataFrame) -> DataFrame:
     """(doc_id, ord, kind, heading_path, start, length, text) of each block; a null or blank text has none."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, len(batch), ROWS):
-                part = batch.slice(lo, ROWS)
-                rows = [
-                    (doc, i, b.kind, b.path, b.start, b.end - b.start, text[b.start : b.end])
-                    for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) for i, b in enumerate(blocks(text or ""))
-                ]
-                yield _batch(rows, BLOCKS)
+    def rows(doc: int, text: str) -> Iterator[tuple]:
+        return ((doc, i, b.kind, b.path, b.start, b.end - b.start, text[b.start : b.end]) for i, b in enumerate(blocks(text)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ddl(BLOCKS))
+    return _each_text(docs, rows, BLOCKS)
 
 
 def structure_chunks(docs: DataFrame, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, chunk_no, heading_path, start, length, n_words, text) of each chunk, made within the scan's stage."""
 
+    def rows(doc: int, text: str) -> Iterator[tuple]:
+        return ((doc, i, path, a, b - a, n, text[a:b]) for i, (a, b, n, path) in enumerate(chunks(text, target, most, overlap)))
+
+    return _each_text(docs, rows, CHUNKS)
+
+
+def _each_text(docs: DataFrame, rows: Callable[[int, str], Iterator[tuple]], columns: dict[str, str]) -> DataFrame:
+    """The rows of every text, one text at a time; they go on when their strings come to ``CHARS`` or they to ``ROWS``."""
+    strings = [i for i, kind in enumerate(columns.values()) if kind == "string"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for lo in range(0, len(batch), ROWS):
-                part = batch.slice(lo, ROWS)
-                rows = [
-                    (doc, i, path, a, b - a, n, text[a:b])
-                    for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)
-                    for i, (a, b, n, path) in enumerate(chunks(text or "", target, most, overlap))
-                ]
-                yield _batch(rows, CHUNKS)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ddl(CHUNKS))
+            for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                for row in rows(doc.as_py(), text.as_py() or ""):
+                    held.append(row)
+                    size += sum(len(row[i]) for i in strings)
+                    if size >= CHARS or len(held) >= ROWS:
+                        yield _batch(held, columns)
+                        held, size = [], 0
+        yield _batch(held, columns)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ddl(columns))
 
 
 BLOCKS = {"doc_id": "long", "ord": "long", "kind": "string", "heading_path": "string", "start": "long", "length": "long", "text": "string"}

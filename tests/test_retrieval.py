@@ -128,3 +128,14 @@ def test_places_tell_the_recall_that_a_search_has(spark):
         assert V.visits_for(index, centres, asked, exact, 4, least) <= n
     assert searched[0] < 1 and V.visits_for(index, centres, asked, exact, 4, searched[0] + 1e-6) == 10 and len(centres) == 20
     exact.unpersist()
+
+
+@pytest.mark.parametrize("name", ["document_blocks", "structure_chunks"])
+def test_blocks_go_on_before_many_long_texts_are_held(spark, peaks, name):
+    from ledgerloom.operators import chunking as K
+
+    line = F.concat(F.lit("# h"), F.col("id").cast("string"), F.repeat(F.lit(" word"), 200), F.lit("\n"))
+    docs = spark.range(0, 1500, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(line, 20).alias("text"))
+    rows = getattr(K, name)(docs).groupBy().agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"), F.sum("length").alias("size"))
+    assert tuple(rows.head()) == (30_000, 1500, 20 * sum(1003 + len(str(i)) for i in range(1500)))
+    assert max(peaks()) < 75
